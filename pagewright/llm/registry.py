@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import exact_dedup, url_filter
+from pagewright.llm import bpe, exact_dedup, packing, url_filter
 
 #: Rules of the url query: (host and path, blocked?).
 URL_RULES = [("org/", False), ("example.org/es/", True), ("example.org/en/1", True), ("com/fr/", False), ("com/de/", True)]
@@ -18,12 +19,20 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {"op1_url_filter": op1_url_filter, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_url_filter": op1_url_filter, "op3_bpe": op3_bpe, "op6_packing": op6_packing, "op10_exact_dedup": op10_exact_dedup}
 
 
 OP1_SQL = """

@@ -34,10 +34,11 @@ from pyspark.sql import functions as F
 MAX_FILE = 2 << 30
 
 _open: dict[str, "DigestArray"] = {}
+_published: set[tuple[str, str]] = set()
 
 
-def host_of(url: Column) -> Column:
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(__u, instr(__u, '://') + 3)")).otherwise(F.lit(""))
+def host_of(rest: Column) -> Column:
+    """The host of what follows ``://``, A-Z lower-cased."""
     return F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -45,7 +46,7 @@ def split_urls(pages: DataFrame, url_column: str = "url", keep: tuple[str, ...]
     """keep columns, host and path of every url."""
     base = pages.select(*[F.col(c) for c in keep], F.coalesce(F.col(url_column), F.lit("")).alias("__u"))
     rest = F.when(F.instr(F.col("__u"), "://") > 0, F.expr("substring(__u, instr(__u, '://') + 3)")).otherwise(F.lit(""))
-    return base.withColumn("__r", rest).select(*keep, host_of(F.col("__u")).alias("host"), F.regexp_extract("__r", r"^[^/?#]*([^?#]*)", 1).alias("path"))
+    return base.withColumn("__r", rest).select(*keep, host_of(F.col("__r")).alias("host"), F.regexp_extract("__r", r"^[^/?#]*([^?#]*)", 1).alias("path"))
 
 
 class DigestArray:
@@ -128,11 +129,14 @@ class DigestArray:
 
 
 def publish(spark: SparkSession, rules: list[tuple[str, bool]]) -> str:
-    """Send the rule file to the executors; its name."""
+    """Send the rule file to the executors, once an application; its name."""
     name = "rules-" + hashlib.sha256(repr(rules).encode()).hexdigest()[:24] + ".bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="pagewright-rules-"), name)
-    DigestArray.write(path, rules)
-    spark.sparkContext.addFile(path)
+    known = (spark.sparkContext.applicationId, name)
+    if known not in _published:
+        path = os.path.join(tempfile.mkdtemp(prefix="pagewright-rules-"), name)
+        DigestArray.write(path, rules)
+        spark.sparkContext.addFile(path)
+        _published.add(known)
     return name
 
 
