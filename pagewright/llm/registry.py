@@ -5,13 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, exact_dedup, packing, url_filter
+from pagewright.llm import bpe, embedding_dedup, exact_dedup, packing, quality, scratch, url_filter
 
 #: Rules of the url query: (host and path, blocked?).
 URL_RULES = [("org/", False), ("example.org/es/", True), ("example.org/en/1", True), ("com/fr/", False), ("com/de/", True)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    scratch.ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -23,16 +24,24 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {"op1_url_filter": op1_url_filter, "op3_bpe": op3_bpe, "op6_packing": op6_packing, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_url_filter": op1_url_filter, "op3_bpe": op3_bpe, "op5_quality": op5_quality, "op6_packing": op6_packing, "op9_embedding_dedup": op9_embedding_dedup, "op10_exact_dedup": op10_exact_dedup}
 
 
 OP1_SQL = """
@@ -62,5 +71,22 @@ FROM t JOIN g ON t.normal = g.normal
 """
 
 
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+), u AS (
+  SELECT vec_id, list_transform(e, x -> x / sqrt(list_dot_product(e, e))) AS e FROM v
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) >= 0.9
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN comp ON vec_id = comp.a LEFT JOIN degree ON vec_id = degree.a
+"""
+
+
 def oracle_sql():
-    return {"op1_url_filter": OP1_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op9_embedding_dedup": OP9_SQL, "op1_url_filter": OP1_SQL, "op10_exact_dedup": OP10_SQL}
