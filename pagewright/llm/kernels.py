@@ -67,12 +67,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(offs: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
-    """Ranges of documents with at most ``limit`` bytes, or of a single one."""
+    """Ranges of at most 4096 documents with at most ``limit`` bytes, or of a single one."""
     a, n = 0, len(offs) - 1
     while a < n:
         b = max(a + 1, int(np.searchsorted(offs, offs[a] + limit, "right")) - 1)
-        yield a, min(b, n)
-        a = min(b, n)
+        b = min(b, n, a + 4096)
+        yield a, b
+        a = b
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
