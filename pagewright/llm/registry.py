@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, embedding_dedup, exact_dedup, near_dedup, packing, quality, scratch, url_filter
+from pagewright.llm import bpe, embedding_dedup, exact_dedup, language_id, near_dedup, packing, quality, scratch, url_filter
 
 #: Rules of the url query: (host and path, blocked?).
 URL_RULES = [("org/", False), ("example.org/es/", True), ("example.org/en/1", True), ("com/fr/", False), ("com/de/", True)]
@@ -28,6 +28,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predictions(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,7 +49,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_url_filter": op1_url_filter, "op2_near_dedup": op2_near_dedup, "op3_bpe": op3_bpe, "op5_quality": op5_quality, "op6_packing": op6_packing, "op9_embedding_dedup": op9_embedding_dedup, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_url_filter": op1_url_filter, "op2_near_dedup": op2_near_dedup, "op3_bpe": op3_bpe, "op4_language_id": op4_language_id, "op5_quality": op5_quality, "op6_packing": op6_packing, "op9_embedding_dedup": op9_embedding_dedup, "op10_exact_dedup": op10_exact_dedup}
 
 
 OP1_SQL = """
