@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, embedding_dedup, exact_dedup, language_id, lm_scoring, near_dedup, packing, quality, scratch, url_filter
+from pagewright.llm import bpe, embedding_dedup, exact_dedup, language_id, lm_scoring, near_dedup, packing, quality, scratch, substring_dedup, url_filter
 
 #: Rules of the url query: (host and path, blocked?).
 URL_RULES = [("org/", False), ("example.org/es/", True), ("example.org/en/1", True), ("com/fr/", False), ("com/de/", True)]
@@ -40,6 +40,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.scores(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_url_filter": op1_url_filter, "op2_near_dedup": op2_near_dedup, "op3_bpe": op3_bpe, "op4_language_id": op4_language_id, "op5_quality": op5_quality, "op6_packing": op6_packing, "op8_lm_scoring": op8_lm_scoring, "op9_embedding_dedup": op9_embedding_dedup, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_url_filter": op1_url_filter, "op2_near_dedup": op2_near_dedup, "op3_bpe": op3_bpe, "op4_language_id": op4_language_id, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_substring_dedup": op7_substring_dedup, "op8_lm_scoring": op8_lm_scoring, "op9_embedding_dedup": op9_embedding_dedup, "op10_exact_dedup": op10_exact_dedup}
 
 
 OP1_SQL = """
