@@ -1,0 +1,22 @@
+"""Following next-pointers inside groups without a driver loop over rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def follow(step: DataFrame, start: DataFrame) -> DataFrame:
+    """(doc_id, page) reached from ``start`` by ``step`` (doc_id, page, next), start included.
+
+    The pointers of a document (at most one a page) are held as a map and folded over; the
+    fold takes as many steps as the document has pointers at most.
+    """
+    maps = step.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("page", "next"))).alias("to"))
+    got = start.join(maps, "doc_id", "left").select("doc_id", "page", F.coalesce("to", F.create_map().cast("map<int,int>")).alias("to"))
+    path = F.aggregate(
+        F.sequence(F.lit(1), F.greatest(F.size("to"), F.lit(1))),
+        F.array(F.col("page").cast("int")),
+        lambda acc, _: F.when(F.col("to")[F.element_at(acc, -1)].isNotNull(), F.concat(acc, F.array(F.col("to")[F.element_at(acc, -1)].cast("int")))).otherwise(acc),
+    )
+    return got.select("doc_id", F.explode(path).alias("page"))
