@@ -7,8 +7,9 @@ the first ``MIN_DEPTH`` of them. Candidates come in two steps:
 1. In a few trees, kept in sorted order, each class meets its next neighbour, i.e. one
    with the longest common prefix. Confirmed links give preliminary components; a large
    group of near copies mostly becomes one here, with a handful of pairs a class.
-2. In all trees, every region that still holds several components yields the pairs
-   between different components whose signatures agree enough. A region of more than
+2. In all trees, every region that still holds several components yields pairs between
+   different components whose signatures agree enough: first each class with the nearest
+   one of another component, then, with what is still apart, all of them. A region of more than
    ``CROWD`` classes is taken one min-hash deeper (adaptive depth), down to ``DEPTH``.
    Regions larger than ``BLOCK`` are dealt as pairs of blocks to many tasks.
 
@@ -124,8 +125,11 @@ def _next_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         tail = t[-1:], rep[-1:], key[-1:]
 
 
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs between components in the regions of sorted rows (t, region, i, j, block, rep, label, sig)."""
+def _crossing(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs between components in the regions of sorted rows (t, region, i, j, block, rep, label, sig).
+
+    With ``best``, each class gives only the pair with the nearest signature of another component.
+    """
     agree = int(LEAST_AGREE * TREES * DEPTH)
     for table in grouped.whole(batches, ["t", "region", "i", "j"]):
         keys = [table[k].to_numpy() for k in ("t", "region", "i", "j")]
@@ -146,17 +150,26 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ends = grouped.runs([deeper[order]])
                     todo += [(rows[order[a:b]], depth + 1) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                     continue
-                for a in range(0, len(rows), 128):
-                    left = rows[a : a + 128]
+                for a in range(0, len(rows), 64):
+                    left = rows[a : a + 64]
                     mask = label[left][:, None] != label[rows][None, :]
                     if keys[2][lo] != keys[3][lo]:
                         mask &= block[left][:, None] != block[rows][None, :]
-                    mask &= rep[left][:, None] < rep[rows][None, :]
+                    if not best:
+                        mask &= rep[left][:, None] < rep[rows][None, :]
                     x, y = np.nonzero(mask)
-                    for k in range(0, len(x), 200_000):
-                        p, q = left[x[k : k + 200_000]], rows[y[k : k + 200_000]]
-                        same = (sig[p] == sig[q]).sum(1) >= agree
-                        found.append((rep[p[same]], rep[q[same]]))
+                    if not len(x):
+                        continue
+                    same = np.concatenate([(sig[left[x[k : k + 100_000]]] == sig[rows[y[k : k + 100_000]]]).sum(1) for k in range(0, len(x), 100_000)])
+                    good = same >= agree
+                    if best:
+                        order = np.lexsort((rep[rows[y]], -same, x))
+                        first = np.ones(len(order), bool)
+                        first[1:] = x[order][1:] != x[order][:-1]
+                        pick = order[first]
+                        good &= np.isin(np.arange(len(x)), pick)
+                    p, q = rep[left[x[good]]], rep[rows[y[good]]]
+                    found.append((np.minimum(p, q), np.maximum(p, q)))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
 
@@ -187,6 +200,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return both.where(similar("x", "y")).select("a", "b")
 
 
+def labels_of(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, label) of every class: the smallest id of its component so far."""
+    found = components(links)
+    return scratch.written(classes.select("rep").distinct().join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("label")), "label")
+
+
 def components_of(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
@@ -201,29 +220,31 @@ def components_of(docs: DataFrame, width: int = 5, percent: int = 80, id_column:
     ordered = orders(FIRST_TREES).select("t", "key", "rep").repartitionByRange("t", "key", "rep").sortWithinPartitions("t", "key", "rep")
     pairs = scratch.written(ordered.mapInArrow(_next_neighbours, "a long, b long").distinct(), "pairs")
     links = scratch.written(confirmed(pairs, docs, width, percent), "links")
-    first = components(links)
-    label = scratch.written(classes.select("rep").distinct().join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("label")), "label")
+    label = labels_of(classes, links)
 
-    # Step 2: pairs between components in every region that has several.
+    # Step 2: pairs between components in every region that has several, the nearest first.
     region = F.xxhash64(F.expr(f"substring(key, 1, {4 * MIN_DEPTH})")).alias("region")
-    members = orders(TREES).select("t", region, "rep").join(label, "rep")
-    mixed = members.groupBy("t", "region").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("t", "region", "m")
-    rows = scratch.written(members.join(mixed, ["t", "region"]), "regions")
-    dealt = (
-        rows.join(classes.select("rep", "sig").dropDuplicates(["rep"]), "rep")
-        .withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-        .withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("t", "region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "label", "sig")
-    )
+    members = scratch.written(orders(TREES).select("t", region, "rep"), "members")
     key = ["t", "region", "i", "j"]
-    crossing = dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_crossing, "a long, b long").distinct()
-    crossing = scratch.written(crossing.join(pairs, ["a", "b"], "left_anti"), "crossing")
-    if crossing.take(1):
-        more = scratch.written(confirmed(crossing, docs, width, percent), "more")
-        label = label.where("rep != label").select(F.col("rep").alias("a"), F.col("label").alias("b")).union(more)
-        label = components(label).select(F.col("node").alias("rep"), F.col("component").alias("label"))
-    found = scratch.written(classes.select(*same, "rep").join(label, "rep", "left").select(*same, F.coalesce("label", "rep").alias("component_id")), "found")
+    for best in (True, False):
+        own = members.join(label, "rep")
+        mixed = own.groupBy("t", "region").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("t", "region", "m")
+        rows = scratch.written(own.join(mixed, ["t", "region"]), "regions")
+        dealt = (
+            rows.join(classes.select("rep", "sig").dropDuplicates(["rep"]), "rep")
+            .withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+            .withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("t", "region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "label", "sig")
+        )
+        crossing = dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda it, best=best: _crossing(it, best), "a long, b long").distinct()
+        crossing = scratch.written(crossing.join(pairs, ["a", "b"], "left_anti"), "crossing")
+        if not crossing.take(1):
+            break
+        pairs = pairs.union(crossing)
+        links = links.union(scratch.written(confirmed(crossing, docs, width, percent), "more"))
+        label = labels_of(classes, links)
+    found = scratch.written(classes.select(*same, "rep").join(label, "rep").select(*same, F.col("label").alias("component_id")), "found")
     out = signed.select("doc_id", *same).join(found, same, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
