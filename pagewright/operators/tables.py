@@ -70,9 +70,8 @@ def caption_number(caption: Column) -> Column:
 
 def clean_caption(half: Column) -> Column:
     """Of a caption in NFKC: lower case, without end markers and all but word characters."""
-    c = F.lower(half)
-    for marker in END_MARKERS:
-        c = F.when(F.endswith(c, F.lit(marker)), F.left(c, F.length(c) - len(marker))).otherwise(c)
+    drop = lambda c, m: F.when(F.endswith(c, m), F.left(c, F.length(c) - F.length(m))).otherwise(c)
+    c = F.aggregate(F.array(*[F.lit(m) for m in END_MARKERS]), F.lower(half), drop)
     return F.regexp_replace(c, r"[^\p{L}\p{N}_一-龥]", "")
 
 

@@ -102,11 +102,11 @@ for _number, _vendor in (("04", "paddle"), ("05", "mineru"), ("06", "dolphin"),
 
     @query(
         f"prj_{_number}_map_{_vendor}_label",
-        f"WITH {D.DOC_BLOCKS}, l AS (SELECT doc_id, pos, {_known}[pos % {len(_known)} + 1] AS label FROM doc_blocks) SELECT doc_id, pos, label, CASE WHEN {_sec} THEN 'title' ELSE {_label_case(_vendor, 0)} END AS canonical, CASE WHEN {_sec} THEN 'title' ELSE {_label_case(_vendor, 1)} END AS fine, {_level} AS level FROM l",
+        f"WITH {D.DOC_BLOCKS}, l AS (SELECT doc_id, pos, {_known}[pos % {len(_known)} + 1] AS label FROM doc_blocks) SELECT doc_id, pos, label, CASE WHEN {_sec} THEN 'title' ELSE {_label_case(_vendor, 0)} END AS canonical, CASE WHEN {_sec} THEN 'title' ELSE {_label_case(_vendor, 1)} END AS fine, coalesce({_level}, -1) AS level FROM l",
     )
     def _(s, d, vendor=_vendor):
         b, _ = _labelled(s, d, vendor)
-        return b.select("doc_id", "pos", "label", labels.canonical(vendor, C("label")).alias("canonical"), labels.fine(vendor, C("label")).alias("fine"), labels.title_level(vendor, C("label")).cast("int").alias("level"))
+        return b.select("doc_id", "pos", "label", labels.canonical(vendor, C("label")).alias("canonical"), labels.fine(vendor, C("label")).alias("fine"), F.coalesce(labels.title_level(vendor, C("label")).cast("int"), F.lit(-1)).alias("level"))
 
 
 _FURN = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.FURNITURE.items())
@@ -541,9 +541,9 @@ def _(s, d):
     return got.select("doc_id", "comp", "title", "level", "content", F.array_join(C("block_ids").cast("array<string>"), ",").alias("ids"))
 
 
-@query("tree_02_win_07_parents", f"WITH RECURSIVE {D.MIXED}, {_COMP}, {_NEST} SELECT p.doc_id, p.comp, CAST(parent AS BIGINT) AS parent, CAST(depth AS INTEGER) AS depth FROM placed p JOIN deep ON deep.doc_id = p.doc_id AND deep.comp = p.comp")
+@query("tree_02_win_07_parents", f"WITH RECURSIVE {D.MIXED}, {_COMP}, {_NEST} SELECT p.doc_id, p.comp, CAST(coalesce(parent, -1) AS BIGINT) AS parent, CAST(depth AS INTEGER) AS depth FROM placed p JOIN deep ON deep.doc_id = p.doc_id AND deep.comp = p.comp")
 def _(s, d):
-    return tree.nested(tree.components(D.mixed_blocks(s, d))).select("doc_id", "comp", "parent", "depth")
+    return tree.nested(tree.components(D.mixed_blocks(s, d))).select("doc_id", "comp", F.coalesce("parent", F.lit(-1)).alias("parent"), "depth")
 
 
 _TITLED = D.DOC_BLOCKS + """, mixed AS (SELECT *, CASE WHEN type = 'title' THEN pos % 3 + 1 ELSE -1 END AS level, -1 AS contd FROM doc_blocks)"""
@@ -560,10 +560,11 @@ def _(s, d):
     return tree.figures(D.mixed_blocks(s, d)).select("doc_id", "id", "type", "title", "metadata", F.array_join(C("block_ids").cast("array<string>"), ",").alias("ids"))
 
 
-@query("tree_03_join_08_09_10_figure_parents", f"WITH {D.MIXED}, {_COMP}, n AS (SELECT doc_id, image AS v, id FROM mixed WHERE contains(type, 'caption') OR contains(type, 'footnote')), vis AS (SELECT doc_id, id, type, image FROM mixed WHERE type IN ('image', 'table', 'image_block')), held AS (SELECT doc_id, id AS v, id FROM vis UNION ALL SELECT n.doc_id, n.v, n.id FROM n JOIN vis ON vis.doc_id = n.doc_id AND vis.id = n.v), lnk AS (SELECT v.doc_id, v.id, CASE WHEN image >= 0 AND NOT EXISTS (SELECT 1 FROM held h WHERE h.doc_id = v.doc_id AND h.v = v.id AND h.id = v.image) THEN image END AS link, (SELECT min(h.id) FROM held h WHERE h.doc_id = v.doc_id AND h.v = v.id) AS least FROM vis v), r AS (SELECT l.*, (SELECT min(h.v) FROM held h WHERE h.doc_id = l.doc_id AND h.id = l.link AND h.v <> l.id) AS holder, coalesce(link, (SELECT max(m.id) FROM mixed m WHERE m.doc_id = l.doc_id AND m.type = 'title' AND m.id < l.least)) AS at FROM lnk l), spots AS (SELECT c.doc_id, c.comp, CAST(unnest(string_split(ids, ',')) AS BIGINT) AS at FROM comps c) SELECT r.doc_id, r.id, CASE WHEN holder IS NOT NULL THEN 'figure' WHEN s.comp IS NOT NULL THEN 'text' END AS parent_kind, coalesce(holder, s.comp) AS parent FROM r LEFT JOIN spots s ON s.doc_id = r.doc_id AND s.at = r.at")
+@query("tree_03_join_08_09_10_figure_parents", f"WITH {D.MIXED}, {_COMP}, n AS (SELECT doc_id, image AS v, id FROM mixed WHERE contains(type, 'caption') OR contains(type, 'footnote')), vis AS (SELECT doc_id, id, type, image FROM mixed WHERE type IN ('image', 'table', 'image_block')), held AS (SELECT doc_id, id AS v, id FROM vis UNION ALL SELECT n.doc_id, n.v, n.id FROM n JOIN vis ON vis.doc_id = n.doc_id AND vis.id = n.v), lnk AS (SELECT v.doc_id, v.id, CASE WHEN image >= 0 AND NOT EXISTS (SELECT 1 FROM held h WHERE h.doc_id = v.doc_id AND h.v = v.id AND h.id = v.image) THEN image END AS link, (SELECT min(h.id) FROM held h WHERE h.doc_id = v.doc_id AND h.v = v.id) AS least FROM vis v), r AS (SELECT l.*, (SELECT min(h.v) FROM held h WHERE h.doc_id = l.doc_id AND h.id = l.link AND h.v <> l.id) AS holder, coalesce(link, (SELECT max(m.id) FROM mixed m WHERE m.doc_id = l.doc_id AND m.type = 'title' AND m.id < l.least)) AS at FROM lnk l), spots AS (SELECT c.doc_id, c.comp, CAST(unnest(string_split(ids, ',')) AS BIGINT) AS at FROM comps c) SELECT r.doc_id, r.id, CASE WHEN holder IS NOT NULL THEN 'figure' WHEN s.comp IS NOT NULL THEN 'text' END AS parent_kind, CAST(coalesce(holder, s.comp, -1) AS BIGINT) AS parent FROM r LEFT JOIN spots s ON s.doc_id = r.doc_id AND s.at = r.at")
 def _(s, d):
     m = D.mixed_blocks(s, d)
-    return tree.figure_parents(tree.figures(m), tree.components(m), m.where("type = 'title'"))
+    got = tree.figure_parents(tree.figures(m), tree.components(m), m.where("type = 'title'"))
+    return got.select("doc_id", "id", "parent_kind", F.coalesce("parent", F.lit(-1)).alias("parent"))
 
 
 @query("tree_04_win_04_furniture", f"WITH {D.MIXED}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, type ORDER BY pos) - 1 AS n FROM mixed WHERE type = 'header') SELECT doc_id, id, type, 'Page ' || page || ' - ' || type || CASE WHEN n > 0 THEN ' - ' || n ELSE '' END AS title, content FROM f")
@@ -581,7 +582,8 @@ def _(s, d):
 
 @query("tree_07_split_texts")
 def _(s, d):
-    got = tree.split_texts(tree.components(D.mixed_blocks(s, d)))
+    b = D.doc_blocks(s, d).withColumn("level", F.when(C("type") == "title", (C("pos") % 3 + 1).cast("int")).otherwise(-1)).withColumn("contd", F.lit(-1).cast("long"))
+    got = tree.split_texts(tree.components(b))
     return got.select("doc_id", "comp", "part", "title", "content", F.array_join(C("block_ids").cast("array<string>"), ",").alias("ids"))
 
 
@@ -591,9 +593,9 @@ def _(s, d):
     return tree.enrich(m, m.select("doc_id", "id", F.concat(F.lit("[T]T"), C("id").cast("string"), F.lit("[M]M[C]C")).alias("answer")))
 
 
-@query("ann_01_title_parents", f"WITH {D.DOC_BLOCKS}, t AS (SELECT doc_id, pos, pos % 3 + 1 AS level FROM doc_blocks WHERE type = 'title') SELECT a.doc_id, a.pos, max(b.pos) AS parent FROM t a LEFT JOIN t b ON b.doc_id = a.doc_id AND b.pos > 0 AND b.pos < a.pos AND b.level < a.level GROUP BY 1, 2")
+@query("ann_01_title_parents", f"WITH {D.DOC_BLOCKS}, t AS (SELECT doc_id, pos, pos % 3 + 1 AS level FROM doc_blocks WHERE type = 'title') SELECT a.doc_id, a.pos, coalesce(max(b.pos), -1) AS parent FROM t a LEFT JOIN t b ON b.doc_id = a.doc_id AND b.pos > 0 AND b.pos < a.pos AND b.level < a.level GROUP BY 1, 2")
 def _(s, d):  # also join_11
-    return annotate.title_parents(D.doc_titles(s, d))
+    return annotate.title_parents(D.doc_titles(s, d)).select("doc_id", "pos", F.coalesce("parent", F.lit(-1)).alias("parent"))
 
 
 @query("ann_01_full_sentences", f"WITH {D.DOC_BLOCKS_OPEN}, {_PAIRS}, {_CONTD} SELECT s.doc_id, s.pos AS idx, r.ord, s.joined AS content, s.page, {BOX('s.')} AS box FROM sent s JOIN (SELECT doc_id, pos, CAST(ord AS INTEGER) AS ord FROM ranked) r ON r.doc_id = s.doc_id AND r.pos = s.pos")
@@ -660,7 +662,7 @@ def _reader_sql(form: str, vendor: str, by: str, box: str) -> str:
     return f"""WITH {D.PIXELS}, l AS (SELECT doc_id, pos, page, k, rank, {NORMAL('content')} AS content, {known}[k % {len(known)} + 1] AS label FROM pixels),
 m AS (SELECT *, {canonical} AS type, {fine} AS popo_type, {level} AS title_level FROM l),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, {by}) - 1 AS o FROM m WHERE popo_type <> '__skip__' AND NOT (type IN ('text', 'title', 'caption') AND content = ''))
-SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_id || ':' || o AS block_id, page, CAST(o AS INTEGER) AS "order", type, popo_type, content, CAST(title_level AS INTEGER) AS title_level, label AS source_label,
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_id || ':' || o AS block_id, page, CAST(o AS INTEGER) AS "order", type, popo_type, content, CAST(coalesce(title_level, -1) AS INTEGER) AS title_level, label AS source_label,
   CAST({x[0]} AS DOUBLE) AS x1, CAST({y[0]} AS DOUBLE) AS y1, CAST({x[1]} AS DOUBLE) AS x2, CAST({y[1]} AS DOUBLE) AS y2 FROM r"""
 
 
@@ -668,7 +670,7 @@ for _id, _form, _vendor, _by, _box in (("src_03_paddle", "paddle", "paddle", "ra
 
     @query(_id, _reader_sql(_form, _vendor, _by, _box))
     def _(s, d, form=_form):
-        return readers.blocks(readers.READERS[form](_vendor_json(s, d, form)), form)
+        return readers.blocks(readers.READERS[form](_vendor_json(s, d, form)), form).withColumn("title_level", F.coalesce("title_level", F.lit(-1)))
 
 
 @query("src_14_glm_words", f"WITH {D.PIXELS}, l AS (SELECT doc_id, page, pos, k, {NORMAL('content')} AS content FROM pixels), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS o FROM l WHERE content <> '') SELECT CAST(doc_id AS VARCHAR) AS doc_id, page, CAST(o AS INTEGER) AS \"order\", content, CAST(0.1 AS DOUBLE) AS x1, k * 10.0 / 100.0 AS y1, CAST(0.9 AS DOUBLE) AS x2, (k * 10.0 + 10.0) / 100.0 AS y2 FROM r")
@@ -701,7 +703,7 @@ def _(s, d):
     return readers.input_labels(docs, names, found).select("doc_id", C("label").cast("string").alias("label"))
 
 
-@query("snk_01_02_src_20_pages_round_trip", f"WITH {D.DOC_BLOCKS} SELECT doc_id, pos, id, page, type, content, x1, y1, x2, y2 FROM doc_blocks WHERE doc_id % 1 = 0")
+@query("snk_01_02_src_20_pages_round_trip", f"WITH {D.DOC_BLOCKS} SELECT doc_id, pos, id, page, type, content, x1, y1, x2, y2 FROM doc_blocks")
 def _(s, d):
     b = D.doc_blocks(s, d)
     rows = b.select("doc_id", F.concat_ws(":", C("doc_id").cast("string"), C("pos").cast("string")).alias("block_id"), "page", C("pos").alias("order"), C("type").alias("popo_type"), "content", F.lit(None).cast("int").alias("title_level"), F.lit("x").alias("source_label"), *geometry.BOX)
@@ -788,9 +790,9 @@ def _(s, d):
     return evaluate.scores(evaluate.labelled(evaluate.truth_levels(cases), truth, "content_aware"), evaluate.labelled(nodes, truth, "content_aware"))
 
 
-@query("evl_05_title_tree", f"WITH RECURSIVE {D.DOC_BLOCKS}, comps AS (SELECT doc_id, pos AS comp, pos % 3 + 1 AS level FROM doc_blocks WHERE type = 'title'), {_NEST} SELECT p.doc_id, p.comp AS pos, parent, CAST(depth AS INTEGER) AS depth FROM placed p JOIN deep ON deep.doc_id = p.doc_id AND deep.comp = p.comp")
+@query("evl_05_title_tree", f"WITH RECURSIVE {D.DOC_BLOCKS}, comps AS (SELECT doc_id, pos AS comp, pos % 3 + 1 AS level FROM doc_blocks WHERE type = 'title'), {_NEST} SELECT p.doc_id, p.comp AS pos, coalesce(parent, -1) AS parent, CAST(depth AS INTEGER) AS depth FROM placed p JOIN deep ON deep.doc_id = p.doc_id AND deep.comp = p.comp")
 def _(s, d):
-    return tree.nested(D.doc_titles(s, d), "pos").select("doc_id", "pos", "parent", "depth")
+    return tree.nested(D.doc_titles(s, d), "pos").select("doc_id", "pos", F.coalesce("parent", F.lit(-1)).alias("parent"), "depth")
 
 
 @query("agg_04_snk_06_summary", "WITH x AS (SELECT d.doc_id, l.quality IS NOT NULL AS ok, n_chars % 7 / 7.0 AS score, n_chars FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) SELECT count(*) AS total_docs, count(*) FILTER (ok) AS usable_docs, count(*) FILTER (NOT ok) AS missing_docs, round(coalesce(avg(score) FILTER (ok), 0.0), 9) AS avg_score_usable, round(avg(CASE WHEN ok THEN score ELSE 0.0 END), 9) AS avg_score_with_missing_zero, round(avg(n_chars) FILTER (ok), 6) AS avg_gt_count FROM x")

@@ -201,7 +201,7 @@ def statuses(wanted: DataFrame, files: DataFrame, vendor: str) -> DataFrame:
 
 def input_labels(docs: DataFrame, names: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, label: the mapped name, else an existing file's path, else the id."""
-    return docs.join(names.select("doc_id", "name"), "doc_id", "left").join(found.select("doc_id", "path"), "doc_id", "left").select("doc_id", F.coalesce("name", "path", "doc_id").alias("label"))
+    return docs.join(names.select("doc_id", "name"), "doc_id", "left").join(found.select("doc_id", "path"), "doc_id", "left").select("doc_id", F.coalesce("name", "path", F.col("doc_id").cast("string")).alias("label"))
 
 
 def page_blocks(pages_json: DataFrame) -> DataFrame:
