@@ -22,8 +22,13 @@ from pyspark.sql import functions as F
 _shipped: set[str] = set()
 
 
+#: Rows of an Arrow batch: texts may be long, and both sides of the Python worker hold some batches.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application."""
+    """Send this package to the executors, once an application, and bound Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
