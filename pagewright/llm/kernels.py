@@ -23,7 +23,7 @@ _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers = [np.ones(1, U), np.ones(1, U)]
 #: Bytes handled at a time; a longer document is cut between words.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
