@@ -8,8 +8,9 @@ the first ``MIN_DEPTH`` of them. Candidates come in two steps:
    with the longest common prefix. Confirmed links give preliminary components; a large
    group of near copies mostly becomes one here, with a handful of pairs a class.
 2. In all trees, every region that still holds several components yields pairs between
-   different components whose signatures agree enough: first each class with the nearest
-   one of another component, then, with what is still apart, all of them. A region of more than
+   different components: first each class with the nearest signature of another one; then
+   what is still apart is compared on full sets inside the region's task, which passes on
+   links, never pairs. A region of more than
    ``CROWD`` classes is taken one min-hash deeper (adaptive depth), down to ``DEPTH``.
    Regions larger than ``BLOCK`` are dealt as pairs of blocks to many tasks.
 
@@ -17,7 +18,7 @@ Pairs inside one component need no test, as only components are asked for; so no
 candidate is dropped, though none is listed for a group that is known to be joined.
 All links are confirmed on full shingle sets (52-bit fingerprints). A pair at
 similarity 0.8 shares no region of depth 4 in 20 trees with a chance of 3e-5, one of
-depth 6 with 0.2 %. Its signatures agree in under ``LEAST_AGREE`` places with 1e-4.
+depth 6 with 0.2 %.
 
 Sets are read from the texts again for candidates only, behind a bounded membership map.
 
@@ -43,7 +44,7 @@ from pagewright.llm.components import components
 U = np.uint64
 TREES, DEPTH, MIN_DEPTH, FIRST_TREES = 20, 6, 4, 6
 WIDTH = 4 * DEPTH  # bytes of one tree's order
-CROWD, BLOCK = 512, 2048
+CROWD, BLOCK = 512, 1024
 LEAST_AGREE = 0.66
 _rng = np.random.Generator(np.random.PCG64(11))
 _FLIP = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
@@ -125,61 +126,117 @@ def _next_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         tail = t[-1:], rep[-1:], key[-1:]
 
 
-def _crossing(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs between components in the regions of sorted rows (t, region, i, j, block, rep, label, sig).
+def _subregions(rows: np.ndarray, deeper: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """A region, or where it has more than CROWD rows what agrees in further min-hashes."""
+    if len(rows) <= CROWD or not deeper:
+        yield rows
+        return
+    order = np.argsort(deeper[0][rows], kind="stable")
+    rows = rows[order]
+    ends = grouped.runs([deeper[0][rows]])
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        yield from _subregions(rows[a:b], deeper[1:])
 
-    With ``best``, each class gives only the pair with the nearest signature of another component.
-    """
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each class of a region (t, region, i, j, block, rep, label, sig) the nearest signature of another component."""
     agree = int(LEAST_AGREE * TREES * DEPTH)
     for table in grouped.whole(batches, ["t", "region", "i", "j"]):
         keys = [table[k].to_numpy() for k in ("t", "region", "i", "j")]
-        block, rep, label = (table[k].to_numpy() for k in ("block", "rep", "label"))
+        rep, label = table["rep"].to_numpy(), table["label"].to_numpy()
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), ">u4").astype(np.uint32).reshape(-1, TREES * DEPTH)
         cut = grouped.runs(keys)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
             t = int(keys[0][lo])
-            todo = [(np.arange(lo, hi), MIN_DEPTH)]
-            while todo:
-                rows, depth = todo.pop()
-                if len(rows) < 2:
-                    continue
-                if len(rows) > CROWD and depth < DEPTH:
-                    deeper = sig[rows, t * DEPTH + depth]
-                    order = np.argsort(deeper, kind="stable")
-                    ends = grouped.runs([deeper[order]])
-                    todo += [(rows[order[a:b]], depth + 1) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            for rows in _subregions(np.arange(lo, hi), [sig[:, t * DEPTH + d] for d in range(MIN_DEPTH, DEPTH)]):
+                if len(rows) < 2 or (label[rows] == label[rows[0]]).all():
                     continue
                 for a in range(0, len(rows), 64):
                     left = rows[a : a + 64]
-                    mask = label[left][:, None] != label[rows][None, :]
-                    if keys[2][lo] != keys[3][lo]:
-                        mask &= block[left][:, None] != block[rows][None, :]
-                    if not best:
-                        mask &= rep[left][:, None] < rep[rows][None, :]
-                    x, y = np.nonzero(mask)
-                    if not len(x):
-                        continue
-                    same = np.concatenate([(sig[left[x[k : k + 100_000]]] == sig[rows[y[k : k + 100_000]]]).sum(1) for k in range(0, len(x), 100_000)])
-                    good = same >= agree
-                    if best:
-                        order = np.lexsort((rep[rows[y]], -same, x))
-                        first = np.ones(len(order), bool)
-                        first[1:] = x[order][1:] != x[order][:-1]
-                        pick = order[first]
-                        good &= np.isin(np.arange(len(x)), pick)
-                    p, q = rep[left[x[good]]], rep[rows[y[good]]]
+                    x, y = np.nonzero(label[left][:, None] != label[rows][None, :])
+                    same = np.concatenate([np.zeros(0, np.int64)] + [(sig[left[x[k : k + 100_000]]] == sig[rows[y[k : k + 100_000]]]).sum(1) for k in range(0, len(x), 100_000)])
+                    order = np.lexsort((rep[rows[y]], -same, x))
+                    first = np.ones(len(order), bool)
+                    first[1:] = x[order][1:] != x[order][:-1]
+                    pick = order[first]
+                    pick = pick[same[pick] >= agree]
+                    p, q = rep[left[x[pick]]], rep[rows[y[pick]]]
                     found.append((np.minimum(p, q), np.maximum(p, q)))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have percent * union <= 100 * intersection."""
-    needed = scratch.written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Exact sizes of all intersections, by products of incidence matrices over slices of the shingles."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    flat = np.concatenate(sets)
+    _, spot, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[spot]
+    owner, column = owner[keep], place[spot[keep]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    step = 2048
+    for lo in range(0, int(shared.sum()), step):
+        a, b = np.searchsorted(column, (lo, lo + step))
+        m = np.zeros((len(sets), step), np.float32)
+        m[owner[a:b], column[a:b] - lo] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
+def _links_between(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between components in regions (t, region, i, j, rep, label, deeper, shingles), compared on full sets in the task.
+
+    Passes on a forest over the components of each region, never its pairs.
+    """
+    for table in grouped.whole(batches, ["t", "region", "i", "j"]):
+        keys = [table[k].to_numpy() for k in ("t", "region", "i", "j")]
+        label = table["label"].to_numpy()
+        deeper = table["deeper"].to_numpy().view(np.uint64)
+        shingles = table["shingles"].combine_chunks() if isinstance(table["shingles"], pa.ChunkedArray) else table["shingles"]
+        found: set[tuple[int, int]] = set()
+        cut = grouped.runs(keys)
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            for rows in _subregions(np.arange(lo, hi), [(deeper >> U(32)), deeper & U(0xFFFFFFFF)]):
+                if len(rows) < 2 or (label[rows] == label[rows[0]]).all():
+                    continue
+                sets = [np.frombuffer(shingles[int(r)].as_buffer(), U) for r in rows]
+                size = np.array([len(x) for x in sets])
+                common = common_counts(sets)
+                link = (100 * common >= percent * (size[:, None] + size[None, :] - common)) & (label[rows][:, None] != label[rows][None, :])
+                x, y = np.nonzero(np.triu(link))
+                pairs = np.unique(np.stack([label[rows[x]], label[rows[y]]], 1), axis=0) if len(x) else []
+                root: dict[int, int] = {}
+
+                def top(n: int) -> int:
+                    while root.get(n, n) != n:
+                        n = root[n]
+                    return n
+
+                for p, q in (map(int, pq) for pq in pairs):
+                    u, v = top(p), top(q)
+                    if u != v:
+                        root[max(u, v)] = min(u, v)
+                        found.add((min(p, q), max(p, q)))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(found), strict=True)], names=["a", "b"])
+
+
+def full_sets(needed: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """doc_id and shingles of the documents of ``needed``, from their texts."""
+    needed = scratch.written(needed.select("doc_id").distinct(), "needed")
     some = docs.where(scratch.maybe_in(needed, "doc_id")(F.col("doc_id")))
     sets = some.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(lambda it: _sets(it, width), "doc_id long, shingles binary")
-    sets = scratch.written(sets, "sets").dropDuplicates(["doc_id", "shingles"])
+    return scratch.written(sets, "sets").dropDuplicates(["doc_id", "shingles"])
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets have percent * union <= 100 * intersection."""
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, width)
 
     @F.arrow_udf("boolean")
     def similar(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -206,6 +263,25 @@ def labels_of(classes: DataFrame, links: DataFrame) -> DataFrame:
     return scratch.written(classes.select("rep").distinct().join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("label")), "label")
 
 
+def mixed_regions(members: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows (t, region, deeper, rep, label, m) of regions that hold more than one component."""
+    own = members.join(label, "rep")
+    mixed = own.groupBy("t", "region").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("t", "region", "m")
+    return scratch.written(own.join(mixed, ["t", "region"]), "regions")
+
+
+def dealt(rows: DataFrame, *extra: str) -> DataFrame:
+    """Rows sorted by (t, region, i, j): a region of more than BLOCK rows goes to as many groups as it has pairs of blocks."""
+    key = ["t", "region", "i", "j"]
+    got = (
+        rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+        .withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("t", "region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "label", *extra)
+    )
+    return got.repartition(*key).sortWithinPartitions(*key)
+
+
 def components_of(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
@@ -222,28 +298,23 @@ def components_of(docs: DataFrame, width: int = 5, percent: int = 80, id_column:
     links = scratch.written(confirmed(pairs, docs, width, percent), "links")
     label = labels_of(classes, links)
 
-    # Step 2: pairs between components in every region that has several, the nearest first.
+    # Step 2: regions that hold several components; first the nearest pairs, then all by full sets.
     region = F.xxhash64(F.expr(f"substring(key, 1, {4 * MIN_DEPTH})")).alias("region")
-    members = scratch.written(orders(TREES).select("t", region, "rep"), "members")
-    key = ["t", "region", "i", "j"]
-    for best in (True, False):
-        own = members.join(label, "rep")
-        mixed = own.groupBy("t", "region").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("t", "region", "m")
-        rows = scratch.written(own.join(mixed, ["t", "region"]), "regions")
-        dealt = (
-            rows.join(classes.select("rep", "sig").dropDuplicates(["rep"]), "rep")
-            .withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-            .withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("t", "region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "label", "sig")
-        )
-        crossing = dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda it, best=best: _crossing(it, best), "a long, b long").distinct()
-        crossing = scratch.written(crossing.join(pairs, ["a", "b"], "left_anti"), "crossing")
-        if not crossing.take(1):
-            break
-        pairs = pairs.union(crossing)
-        links = links.union(scratch.written(confirmed(crossing, docs, width, percent), "more"))
+    deeper = F.conv(F.hex(F.expr(f"substring(key, {4 * MIN_DEPTH + 1}, 8)")), 16, -10).cast("long").alias("deeper")
+    members = scratch.written(orders(TREES).select("t", region, deeper, "rep"), "members")
+    rows = mixed_regions(members, label)
+    near = dealt(rows.join(classes.select("rep", "sig").dropDuplicates(["rep"]), "rep"), "sig").mapInArrow(_nearest, "a long, b long").distinct()
+    near = scratch.written(near.join(pairs, ["a", "b"], "left_anti"), "near")
+    if near.take(1):
+        links = links.union(scratch.written(confirmed(near, docs, width, percent), "more"))
         label = labels_of(classes, links)
+        rows = mixed_regions(members, label)
+    if rows.take(1):
+        sets = full_sets(rows.select(F.col("rep").alias("doc_id")), docs, width).withColumnRenamed("doc_id", "rep")
+        rest = dealt(rows.join(sets, "rep"), "deeper", "shingles").mapInArrow(lambda it: _links_between(it, percent), "a long, b long").distinct()
+        rest = scratch.written(rest, "rest")
+        if rest.take(1):
+            label = labels_of(classes, links.union(rest))
     found = scratch.written(classes.select(*same, "rep").join(label, "rep").select(*same, F.col("label").alias("component_id")), "found")
     out = signed.select("doc_id", *same).join(found, same, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
