@@ -263,6 +263,11 @@ def labels_of(classes: DataFrame, links: DataFrame) -> DataFrame:
     return scratch.written(classes.select("rep").distinct().join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("label")), "label")
 
 
+def star_of(label: DataFrame) -> DataFrame:
+    """The links that say what ``label`` says."""
+    return label.where("rep != label").select(F.col("rep").alias("a"), F.col("label").alias("b"))
+
+
 def mixed_regions(members: DataFrame, label: DataFrame) -> DataFrame:
     """The rows (t, region, deeper, rep, label, m) of regions that hold more than one component."""
     own = members.join(label, "rep")
@@ -306,15 +311,14 @@ def components_of(docs: DataFrame, width: int = 5, percent: int = 80, id_column:
     near = dealt(rows.join(classes.select("rep", "sig").dropDuplicates(["rep"]), "rep"), "sig").mapInArrow(_nearest, "a long, b long").distinct()
     near = scratch.written(near.join(pairs, ["a", "b"], "left_anti"), "near")
     if near.take(1):
-        links = links.union(scratch.written(confirmed(near, docs, width, percent), "more"))
-        label = labels_of(classes, links)
+        label = labels_of(classes, star_of(label).union(scratch.written(confirmed(near, docs, width, percent), "more")))
         rows = mixed_regions(members, label)
     if rows.take(1):
         sets = full_sets(rows.select(F.col("rep").alias("doc_id")), docs, width).withColumnRenamed("doc_id", "rep")
         rest = dealt(rows.join(sets, "rep"), "deeper", "shingles").mapInArrow(lambda it: _links_between(it, percent), "a long, b long").distinct()
         rest = scratch.written(rest, "rest")
         if rest.take(1):
-            label = labels_of(classes, links.union(rest))
+            label = labels_of(classes, star_of(label).union(rest))
     found = scratch.written(classes.select(*same, "rep").join(label, "rep").select(*same, F.col("label").alias("component_id")), "found")
     out = signed.select("doc_id", *same).join(found, same, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
