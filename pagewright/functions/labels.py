@@ -25,7 +25,7 @@ TABLES: dict[str, dict[str, tuple[str, str]]] = {
         "table": ("table", "table"), "figure_title": ("caption", "image_caption"), "vision_footnote": ("caption", "image_footnote"),
         "inline_formula": ("text", "equation"), "display_formula": ("text", "equation"),
     },
-    "mineru": {
+    "miner": {
         "title": ("title", "title"), **_SUPPLEMENT, "image": ("image", "image"), "table": ("table", "table"), **_CAPTIONS,
         **{k: ("text", "equation") for k in ("equation", "interline_equation", "inline_equation")},
         "list": ("text", "list_item"), **{k: (SKIP, SKIP) for k in ("discarded", "image_body", "table_body")},
@@ -40,7 +40,7 @@ TABLES: dict[str, dict[str, tuple[str, str]]] = {
         **{k: ("text", "equation") for k in ("display_formula", "inline_formula", "formula")},
     },
 }
-TABLES["monkey"] = TABLES["mineru"]
+TABLES["monkey"] = TABLES["miner"]
 
 
 def lookup(table: dict[str, str], key: Column, default: Column) -> Column:

@@ -95,7 +95,7 @@ def _labelled(s, d, vendor):
     return b.select("doc_id", "pos", F.get(F.array(*[F.lit(k) for k in known]), (C("pos") % len(known)).cast("int")).alias("label")), known
 
 
-for _number, _vendor in (("04", "paddle"), ("05", "mineru"), ("06", "dolphin"), ("07", "glm")):
+for _number, _vendor in (("04", "paddle"), ("05", "miner"), ("06", "dolphin"), ("07", "glm")):
     _known = sorted({*labels.TABLES[_vendor], "other", "sec_0", "sec_1", "sec_12", "sec_x"})
     _sec = "regexp_matches(label, '^sec_[1-9][0-9]*$')" if _vendor == "dolphin" else "false"
     _level = "CASE WHEN label = 'catalogue' THEN 1 WHEN regexp_matches(label, '^sec_[1-9][0-9]*$') THEN CAST(substr(label, 5) AS INTEGER) END" if _vendor == "dolphin" else "CAST(NULL AS INTEGER)"
@@ -179,10 +179,10 @@ _L = f"length(content) >= 10 AND NOT (right({STRIP('content')}, 1) IN {TERM}) AN
 _R = f"length(content) > 0 AND NOT regexp_matches(content, '{LIST}') AND NOT contains(content, chr(9))"
 
 
-@query("flt_01_02_empty_and_skipped", f"WITH {D.DOC_BLOCKS}, l AS (SELECT doc_id, pos, CASE WHEN pos % 3 = 0 THEN '' ELSE content END AS content, {sorted(labels.TABLES['mineru'])}[pos % {len(labels.TABLES['mineru'])} + 1] AS label FROM doc_blocks), m AS (SELECT doc_id, pos, content, {_label_case('mineru', 0)} AS canonical FROM l) SELECT doc_id, pos, canonical FROM m WHERE canonical <> '__skip__' AND NOT (canonical IN ('text', 'title', 'caption') AND content = '')")
+@query("flt_01_02_empty_and_skipped", f"WITH {D.DOC_BLOCKS}, l AS (SELECT doc_id, pos, CASE WHEN pos % 3 = 0 THEN '' ELSE content END AS content, {sorted(labels.TABLES['miner'])}[pos % {len(labels.TABLES['miner'])} + 1] AS label FROM doc_blocks), m AS (SELECT doc_id, pos, content, {_label_case('miner', 0)} AS canonical FROM l) SELECT doc_id, pos, canonical FROM m WHERE canonical <> '__skip__' AND NOT (canonical IN ('text', 'title', 'caption') AND content = '')")
 def _(s, d):
-    known = sorted(labels.TABLES["mineru"])
-    b = D.doc_blocks(s, d).select("doc_id", "pos", F.when(C("pos") % 3 == 0, "").otherwise(C("content")).alias("content"), labels.canonical("mineru", F.get(F.array(*[F.lit(k) for k in known]), (C("pos") % len(known)).cast("int"))).alias("canonical"))
+    known = sorted(labels.TABLES["miner"])
+    b = D.doc_blocks(s, d).select("doc_id", "pos", F.when(C("pos") % 3 == 0, "").otherwise(C("content")).alias("content"), labels.canonical("miner", F.get(F.array(*[F.lit(k) for k in known]), (C("pos") % len(known)).cast("int"))).alias("canonical"))
     return b.where((C("canonical") != labels.SKIP) & ~(C("canonical").isin("text", "title", "caption") & (C("content") == ""))).select("doc_id", "pos", "canonical")
 
 
@@ -609,30 +609,30 @@ def _(s, d):
 def _vendor_json(s, d, form):
     """Documents in a vendor's form, built from their lines."""
     p = D.pixel_items(s, d)
-    known = sorted(labels.TABLES[{"mineru_middle": "mineru", "mineru_list": "mineru", "mineru_model": "mineru", "glm_model": "glm"}.get(form, form)])
+    known = sorted(labels.TABLES[{"miner_middle": "miner", "miner_list": "miner", "miner_model": "miner", "glm_model": "glm"}.get(form, form)])
     label = F.get(F.array(*[F.lit(k) for k in known]), C("k") % len(known))
     thousand = F.transform("bbox", lambda v: v * F.lit(1.0))
     if form == "paddle":
         item = F.struct(label.alias("block_label"), C("content").alias("block_content"), C("bbox").alias("block_bbox"), C("rank").alias("block_order"))
     elif form == "dolphin":
         item = F.struct(label.alias("label"), C("content").alias("text"), "bbox", C("rank").alias("reading_order"))
-    elif form == "mineru_middle":
+    elif form == "miner_middle":
         item = F.struct(label.alias("type"), "bbox", F.array(F.struct(F.array(F.struct("content")).alias("spans"))).alias("lines"))
-    elif form == "mineru_list":
+    elif form == "miner_list":
         item = F.struct(label.alias("type"), thousand.alias("bbox"), C("content").alias("text"), (C("page") - 1).alias("page_idx"), F.when(C("k") == 2, C("page")).alias("text_level"))
-    elif form == "mineru_model":
+    elif form == "miner_model":
         item = F.struct(label.alias("type"), thousand.alias("bbox"), "content")
     else:
         item = F.struct(label.alias("label"), thousand.alias("bbox_2d"), "content")
     lists = lambda df, keys, o, v: df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(C(o).alias("o"), v.alias("v")))), lambda x: x["v"]).alias("l"))
-    if form == "mineru_list":
+    if form == "miner_list":
         return lists(p, ["doc_id"], "pos", item).select(C("doc_id").cast("string").alias("doc_id"), F.to_json("l").alias("json"))
     pages = lists(p, ["doc_id", "page"], "pos", item)
     if form == "paddle":
         page = F.struct(F.struct(F.lit(1000).alias("width"), F.lit(100).alias("height"), C("l").alias("parsing_res_list")).alias("prunedResult"))
     elif form == "dolphin":
         page = F.struct(C("page").alias("page_number"), C("l").alias("elements"))
-    elif form == "mineru_middle":
+    elif form == "miner_middle":
         page = F.struct((C("page") - 1).alias("page_idx"), F.array(F.lit(1000), F.lit(100)).alias("page_size"), C("l").alias("para_blocks"))
     else:
         page = C("l")
@@ -641,7 +641,7 @@ def _vendor_json(s, d, form):
         body = F.to_json(F.struct(F.struct(C("l").alias("layoutParsingResults")).alias("result")))
     elif form == "dolphin":
         body = F.to_json(F.struct(C("l").alias("pages")))
-    elif form == "mineru_middle":
+    elif form == "miner_middle":
         body = F.to_json(F.struct(C("l").alias("pdf_info")))
     else:
         body = F.to_json("l")
@@ -652,7 +652,7 @@ def _reader_sql(form: str, vendor: str, by: str, box: str) -> str:
     known = sorted(labels.TABLES[vendor])
     canonical, fine = _label_case(vendor, 0), _label_case(vendor, 1)
     level = "CASE WHEN label = 'catalogue' THEN 1 END" if vendor == "dolphin" else "CAST(NULL AS INTEGER)"
-    if form == "mineru_list":
+    if form == "miner_list":
         titled = f"k = 2 AND {canonical} <> '__skip__'"
         canonical, fine, level = f"CASE WHEN {titled} THEN 'title' ELSE {canonical} END", f"CASE WHEN {titled} THEN 'title' ELSE {fine} END", f"CASE WHEN {titled} THEN page END"
     y = {"px": ("k * 10.0 / 100.0", "(k * 10.0 + 10.0) / 100.0"), "th": ("k * 10.0 / 1000.0", "(k * 10.0 + 10.0) / 1000.0"), "raw": ("k * 10.0", "k * 10.0 + 10.0")}[box]
@@ -660,13 +660,13 @@ def _reader_sql(form: str, vendor: str, by: str, box: str) -> str:
     if box == "px":
         x = ("100.0 / 1000.0", "900.0 / 1000.0")
     return f"""WITH {D.PIXELS}, l AS (SELECT doc_id, pos, page, k, rank, {NORMAL('content')} AS content, {known}[k % {len(known)} + 1] AS label FROM pixels),
-m AS (SELECT *, {canonical} AS type, {fine} AS popo_type, {level} AS title_level FROM l),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, {by}) - 1 AS o FROM m WHERE popo_type <> '__skip__' AND NOT (type IN ('text', 'title', 'caption') AND content = ''))
-SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_id || ':' || o AS block_id, page, CAST(o AS INTEGER) AS "order", type, popo_type, content, CAST(coalesce(title_level, -1) AS INTEGER) AS title_level, label AS source_label,
+m AS (SELECT *, {canonical} AS type, {fine} AS fine_type, {level} AS title_level FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, {by}) - 1 AS o FROM m WHERE fine_type <> '__skip__' AND NOT (type IN ('text', 'title', 'caption') AND content = ''))
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_id || ':' || o AS block_id, page, CAST(o AS INTEGER) AS "order", type, fine_type, content, CAST(coalesce(title_level, -1) AS INTEGER) AS title_level, label AS source_label,
   CAST({x[0]} AS DOUBLE) AS x1, CAST({y[0]} AS DOUBLE) AS y1, CAST({x[1]} AS DOUBLE) AS x2, CAST({y[1]} AS DOUBLE) AS y2 FROM r"""
 
 
-for _id, _form, _vendor, _by, _box in (("src_03_paddle", "paddle", "paddle", "rank", "px"), ("src_08_15_mineru_model", "mineru_model", "mineru", "pos", "th"), ("src_09_11_16_mineru_middle", "mineru_middle", "mineru", "pos", "px"), ("src_10_mineru_content_list", "mineru_list", "mineru", "pos", "th"), ("src_12_dolphin", "dolphin", "dolphin", "rank", "raw"), ("src_13_glm_model", "glm_model", "glm", "pos", "th")):
+for _id, _form, _vendor, _by, _box in (("src_03_paddle", "paddle", "paddle", "rank", "px"), ("src_08_15_miner_model", "miner_model", "miner", "pos", "th"), ("src_09_11_16_miner_middle", "miner_middle", "miner", "pos", "px"), ("src_10_miner_content_list", "miner_list", "miner", "pos", "th"), ("src_12_dolphin", "dolphin", "dolphin", "rank", "raw"), ("src_13_glm_model", "glm_model", "glm", "pos", "th")):
 
     @query(_id, _reader_sql(_form, _vendor, _by, _box))
     def _(s, d, form=_form):
@@ -686,8 +686,8 @@ def _(s, d):
 @query("src_07_17_precedence_and_status", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 4 = 3 THEN 'missing' WHEN doc_id % 8 = 2 THEN 'invalid' ELSE 'ok' END AS status FROM documents")
 def _(s, d):
     docs = D.table(s, d, "documents").select(C("doc_id"))
-    forms = docs.where("doc_id % 4 != 3").select(C("doc_id").cast("string").alias("doc_id"), F.explode(F.when(C("doc_id") % 4 == 0, F.array(F.lit("mineru_list"), F.lit("mineru_model"))).otherwise(F.array(F.lit("mineru_middle")))).alias("form"), F.when(C("doc_id") % 8 == 2, "{broken").otherwise("[]").alias("json"))
-    return readers.statuses(docs.select(C("doc_id").cast("string").alias("doc_id")), forms, "mineru").select("doc_id", "status")
+    forms = docs.where("doc_id % 4 != 3").select(C("doc_id").cast("string").alias("doc_id"), F.explode(F.when(C("doc_id") % 4 == 0, F.array(F.lit("miner_list"), F.lit("miner_model"))).otherwise(F.array(F.lit("miner_middle")))).alias("form"), F.when(C("doc_id") % 8 == 2, "{broken").otherwise("[]").alias("json"))
+    return readers.statuses(docs.select(C("doc_id").cast("string").alias("doc_id")), forms, "miner").select("doc_id", "status")
 
 
 @query("src_18_doc_ids", "SELECT DISTINCT doc_id FROM (SELECT CASE WHEN regexp_matches(f, '[^.]\\.[^.]*$') THEN regexp_replace(f, '\\.[^.]*$', '') ELSE f END AS doc_id FROM (SELECT regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1) AS f FROM pages)) WHERE doc_id <> ''")
@@ -706,7 +706,7 @@ def _(s, d):
 @query("snk_01_02_src_20_pages_round_trip", f"WITH {D.DOC_BLOCKS} SELECT doc_id, pos, id, page, type, content, x1, y1, x2, y2 FROM doc_blocks")
 def _(s, d):
     b = D.doc_blocks(s, d)
-    rows = b.select("doc_id", F.concat_ws(":", C("doc_id").cast("string"), C("pos").cast("string")).alias("block_id"), "page", C("pos").alias("order"), C("type").alias("popo_type"), "content", F.lit(None).cast("int").alias("title_level"), F.lit("x").alias("source_label"), *geometry.BOX)
+    rows = b.select("doc_id", F.concat_ws(":", C("doc_id").cast("string"), C("pos").cast("string")).alias("block_id"), "page", C("pos").alias("order"), C("type").alias("fine_type"), "content", F.lit(None).cast("int").alias("title_level"), F.lit("x").alias("source_label"), *geometry.BOX)
     js = sinks.serialized(rows, "post-processing", "m")
     return readers.page_blocks(js).select("doc_id", "pos", "id", "page", "type", "content", *geometry.BOX)
 

@@ -20,7 +20,7 @@ ITEM = (
 )
 #: Of each vendor: label field, box field and the assumed scale of boxes (none: by page size).
 FORMS = {
-    "paddle": ("block_label", "block_bbox", None), "mineru_model": ("type", "bbox", 1000.0), "mineru_middle": ("type", "bbox", None), "mineru_list": ("type", "bbox", 1000.0),
+    "paddle": ("block_label", "block_bbox", None), "miner_model": ("type", "bbox", 1000.0), "miner_middle": ("type", "bbox", None), "miner_list": ("type", "bbox", 1000.0),
     "monkey": ("type", "bbox", None), "dolphin": ("label", "bbox", None), "glm_model": ("label", "bbox_2d", 1000.0), "glm_words": ("label", "bbox", None),
 }
 
@@ -126,9 +126,9 @@ def block_text(item: Column) -> Column:
 
 
 def blocks(items: DataFrame, form: str, scale: str = "source") -> DataFrame:
-    """doc_id, block_id, page, order, type, popo_type, content, title_level, source_label, x1..y2."""
+    """doc_id, block_id, page, order, type, fine_type, content, title_level, source_label, x1..y2."""
     label_field, box_field, assumed = FORMS[form]
-    vendor = {"mineru_model": "mineru", "mineru_middle": "mineru", "mineru_list": "mineru", "glm_model": "glm", "glm_words": "glm"}.get(form, form)
+    vendor = {"miner_model": "miner", "miner_middle": "miner", "miner_list": "miner", "glm_model": "glm", "glm_words": "glm"}.get(form, form)
     rows = items.withColumn("i", F.from_json("item", ITEM))
     i = F.col("i")
     label = F.coalesce(i[label_field], F.lit("" if vendor == "dolphin" else "text"))
@@ -143,7 +143,7 @@ def blocks(items: DataFrame, form: str, scale: str = "source") -> DataFrame:
     kind, fine, level = labels.canonical(vendor, label), labels.fine(vendor, label), labels.title_level(vendor, label)
     if form == "glm_words":
         kind = fine = F.lit("text")
-    if form == "mineru_list":
+    if form == "miner_list":
         is_title = i["text_level"].isNotNull() & (kind != labels.SKIP)
         kind, fine, level = F.when(is_title, "title").otherwise(kind), F.when(is_title, "title").otherwise(fine), F.when(is_title, i["text_level"])
     box = F.coalesce(i[box_field], i["bbox"] if form == "glm_model" else F.lit(None), F.array(*[F.lit(0.0)] * 4))
@@ -152,8 +152,8 @@ def blocks(items: DataFrame, form: str, scale: str = "source") -> DataFrame:
         box = F.array(left, top, left + w, top + h)
     four = [F.when(F.size(box) >= 4, F.get(box, F.lit(k))).otherwise(0.0) for k in range(4)]
     shown = F.when(i[label_field].isNotNull(), i[label_field]).otherwise("words_result" if form == "glm_words" else "")
-    got = rows.select("doc_id", "page", "seq", kind.alias("type"), fine.alias("popo_type"), body.alias("content"), level.cast("int").alias("title_level"), shown.alias("source_label"), *[v.alias(c) for v, c in zip(four, geometry.BOX, strict=True)], "width", "height")
-    got = got.where((F.col("popo_type") != labels.SKIP) & ~(F.col("type").isin("text", "title", "caption") & (F.col("content") == "")))
+    got = rows.select("doc_id", "page", "seq", kind.alias("type"), fine.alias("fine_type"), body.alias("content"), level.cast("int").alias("title_level"), shown.alias("source_label"), *[v.alias(c) for v, c in zip(four, geometry.BOX, strict=True)], "width", "height")
+    got = got.where((F.col("fine_type") != labels.SKIP) & ~(F.col("type").isin("text", "title", "caption") & (F.col("content") == "")))
     unit = geometry.to_unit([F.col(c) for c in geometry.BOX], F.col("width"), F.col("height"), assumed)
     got = got.withColumns(dict(zip(geometry.BOX, unit, strict=True)))
     got = got.withColumns(dict(zip(geometry.BOX, geometry.convert([F.col(c) for c in geometry.BOX], F.col("width"), F.col("height"), scale), strict=True)))
@@ -164,13 +164,13 @@ def numbered(rows: DataFrame) -> DataFrame:
     """Blocks in page, source and box order with new ids."""
     w = Window.partitionBy("doc_id").orderBy("page", "seq", "y1", "x1")
     got = rows.withColumn("order", (F.row_number().over(w) - 1).cast("int"))
-    return got.select("doc_id", F.concat_ws(":", "doc_id", F.col("order").cast("string")).alias("block_id"), "page", "order", F.when(F.col("type").isin(*labels.CANONICAL), F.col("type")).otherwise("text").alias("type"), "popo_type", "content", "title_level", "source_label", *geometry.BOX)
+    return got.select("doc_id", F.concat_ws(":", "doc_id", F.col("order").cast("string")).alias("block_id"), "page", "order", F.when(F.col("type").isin(*labels.CANONICAL), F.col("type")).otherwise("text").alias("type"), "fine_type", "content", "title_level", "source_label", *geometry.BOX)
 
 
 #: Reader of each form.
-READERS = {"paddle": paddle, "mineru_model": model_pages, "mineru_middle": middle, "mineru_list": content_list, "monkey": middle, "dolphin": dolphin, "glm_model": model_pages, "glm_words": glm_words}
+READERS = {"paddle": paddle, "miner_model": model_pages, "miner_middle": middle, "miner_list": content_list, "monkey": middle, "dolphin": dolphin, "glm_model": model_pages, "glm_words": glm_words}
 #: Forms of a vendor in order of precedence.
-PRECEDENCE = {"paddle": ("paddle",), "mineru": ("mineru_model", "mineru_middle", "mineru_list"), "monkey": ("monkey",), "dolphin": ("dolphin",), "glm": ("glm_model", "glm_words")}
+PRECEDENCE = {"paddle": ("paddle",), "miner": ("miner_model", "miner_middle", "miner_list"), "monkey": ("monkey",), "dolphin": ("dolphin",), "glm": ("glm_model", "glm_words")}
 
 
 def read(files: DataFrame, vendor: str, scale: str = "source") -> DataFrame:

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import geometry
 
-FORMATS = ("post-processing", "normalized", "popo-pages", "title-blocks")
+FORMATS = ("post-processing", "normalized", "pages", "title-blocks")
 
 
 def pages_json(blocks: DataFrame) -> DataFrame:
     """doc_id, pages: JSON of a map from page to its blocks in order; null fields are left out."""
-    block = F.struct(F.col("popo_type").alias("type"), "content", F.array(*geometry.BOX).alias("bbox"), "title_level", "source_label", F.col("block_id").alias("source_id"))
+    block = F.struct(F.col("fine_type").alias("type"), "content", F.array(*geometry.BOX).alias("bbox"), "title_level", "source_label", F.col("block_id").alias("source_id"))
     pages = blocks.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("order", block.alias("b")))).alias("l")).select("doc_id", "page", F.transform("l", lambda x: x["b"]).alias("blocks"))
     docs = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "blocks"))).alias("l"))
     return docs.select("doc_id", F.to_json(F.map_from_entries(F.transform("l", lambda x: F.struct(x["page"].cast("string"), x["blocks"])))).alias("pages"))
@@ -26,14 +26,14 @@ def serialized(blocks: DataFrame, fmt: str, model: str) -> DataFrame:
     """doc_id and the JSON text of a format."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format: {fmt}")
-    if fmt in ("post-processing", "popo-pages"):
+    if fmt in ("post-processing", "pages"):
         pages = pages_json(blocks)
-        if fmt == "popo-pages":
+        if fmt == "pages":
             return pages.select("doc_id", F.col("pages").alias("json"))
         head = F.to_json(F.struct(F.lit(model).alias("model"), "doc_id", F.col("doc_id").cast("string").alias("input_label")))
         return pages.select("doc_id", F.concat(F.left(head, F.length(head) - 1), F.lit(',"pages":'), "pages", F.lit("}")).alias("json"))
     rows = blocks.where("type = 'title'") if fmt == "title-blocks" else blocks
-    one = F.struct("block_id", "page", F.array(*geometry.BOX).alias("bbox"), "type", "content", "order", "popo_type", "title_level", "source_label")
+    one = F.struct("block_id", "page", F.array(*geometry.BOX).alias("bbox"), "type", "content", "order", "fine_type", "title_level", "source_label")
     docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("order", one.alias("b")))).alias("l"))
     return docs.select("doc_id", F.to_json(F.struct(F.lit(model).alias("model_name"), "doc_id", F.lit("ok").alias("status"), F.transform("l", lambda x: x["b"]).alias("blocks"))).alias("json"))
 

@@ -124,13 +124,13 @@ def test_full_width_forms(spark):
 
 def test_model_pages_in_all_shapes(spark):
     docs = spark.createDataFrame([("a", '[[{"type":"text","content":"x"}]]'), ("b", '[{"page_idx":4,"blocks":[{"type":"title","content":"y"}]}]'), ("c", '{"pages":[{"type":"text","content":"z"}]}')], "doc_id string, json string")
-    got = {r.doc_id: (r.page, r.type, r.content) for r in readers.blocks(readers.model_pages(docs), "mineru_model").collect()}
+    got = {r.doc_id: (r.page, r.type, r.content) for r in readers.blocks(readers.model_pages(docs), "miner_model").collect()}
     assert got == {"a": (1, "text", "x"), "b": (5, "title", "y"), "c": (1, "text", "z")}
 
 
 def test_each_document_is_read_by_its_first_form(spark):
-    files = spark.createDataFrame([("a", "mineru_list", '[{"type":"text","bbox":[0,0,10,10],"text":"list"}]'), ("a", "mineru_model", '[[{"type":"text","content":"model"}]]')], "doc_id string, form string, json string")
-    assert [r.content for r in readers.read(files, "mineru").collect()] == ["model"]
+    files = spark.createDataFrame([("a", "miner_list", '[{"type":"text","bbox":[0,0,10,10],"text":"list"}]'), ("a", "miner_model", '[[{"type":"text","content":"model"}]]')], "doc_id string, form string, json string")
+    assert [r.content for r in readers.read(files, "miner").collect()] == ["model"]
 
 
 def test_streaming_processes_each_file_once(spark, tmp_path):
