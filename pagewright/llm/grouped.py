@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from pagewright.llm.kernels import release
+
 
 def runs(keys: list[np.ndarray]) -> np.ndarray:
     """Where runs of equal keys begin, and the end."""
@@ -40,3 +42,5 @@ def whole(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 2000)
         least = max(2000, 2 * rows)
     if held:
         yield pa.Table.from_batches(held)
+    held.clear()
+    release()

@@ -8,12 +8,16 @@ hashes, and among n different words a collision has a chance of about n*n/2**65.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+_libc = ctypes.CDLL(None)
+if hasattr(_libc, "mallopt"):
+    _libc.mallopt(-3, 1 << 20)  # blocks of 1 MB and more go back to the system when they are freed
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _BYTE[65:91] = _BYTE[97:123]
@@ -26,6 +30,15 @@ _powers = [np.ones(1, U), np.ones(1, U)]
 SLICE = 1 << 19
 
 
+def release() -> None:
+    """Give unused memory back, as workers are kept and several share an executor."""
+    if len(_powers[0]) > 1 << 20:
+        _powers[:] = [np.ones(1, U), np.ones(1, U)]
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         size = 1 << (n - 1).bit_length()
@@ -74,6 +87,7 @@ def slices(offs: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
         b = min(b, n, a + 4096)
         yield a, b
         a = b
+    release()
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

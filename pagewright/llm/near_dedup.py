@@ -229,7 +229,8 @@ def _links_between(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[
 def full_sets(needed: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """doc_id and shingles of the documents of ``needed``, from their texts."""
     needed = scratch.written(needed.select("doc_id").distinct(), "needed")
-    some = docs.where(scratch.maybe_in(needed, "doc_id")(F.col("doc_id")))
+    # Dealt out between the two Python steps, so that a task has one worker at a time.
+    some = docs.where(scratch.maybe_in(needed, "doc_id")(F.col("doc_id"))).repartition("doc_id")
     sets = some.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(lambda it: _sets(it, width), "doc_id long, shingles binary")
     return scratch.written(sets, "sets").dropDuplicates(["doc_id", "shingles"])
 

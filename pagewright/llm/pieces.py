@@ -87,7 +87,7 @@ def split(codes: np.ndarray, doc_at: np.ndarray, leading_space: bool) -> tuple[n
 class PieceEncoder:
     """Ids of documents; ``encode`` gives the ids of one piece. At most ``most`` pieces stay known."""
 
-    def __init__(self, encode: Callable[[str], list[int]], leading_space: bool, most: int = 1 << 19):
+    def __init__(self, encode: Callable[[str], list[int]], leading_space: bool, most: int = 1 << 18):
         self.encode, self.leading_space, self.most = encode, leading_space, most
         self.forget()
 

@@ -23,7 +23,7 @@ _shipped: set[str] = set()
 
 
 #: Rows of an Arrow batch: texts may be long, and both sides of the Python worker hold some batches.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def ship(spark: SparkSession) -> None:
