@@ -1,24 +1,28 @@
-"""Language-model scores by a weighted backoff automaton over word classes.
-
-Vocabulary. A word whose share of all tokens is at least ``COMMON`` is a class of its
-own (so there are at most 1 / COMMON of them, at any input size); all other words are
-the class RARE; the end of a text is a class too. Every token counts: unigram counts
-are taken over all training documents for all words.
-
-Automaton. States are the class contexts (none, one class, two classes) that occur as
-kept n-grams; an n-gram is kept if its count is at least ``KEPT`` times the training
-tokens (at most 1 / KEPT of an order; those of order n are counted only where both
-parts are kept, so a pass emits few). Weights are interpolated absolute discounting;
-where an arc is missing, the failure arc leads to the shorter context at the price of
-the backoff weight. A text is traversed once from left to right: the state is the
-longest kept context, and every token takes its arc after the failure arcs it needs.
-A slice of documents is traversed at once, one array step for each failure level.
-
-Words of RARE. A rare word has the class's arc and then its own share of the class,
-(c + 1) / (C + V + 1) over the rare tokens C and types V. The exact counts c are joined
-in Spark: each document passes on its rare words (a rare word is in under COMMON of all
-tokens, so no key is hot), and gets back one sum. The same sum serves the base score,
-log10((c + 1) / (N + V + 1)) for each token.
+"""Language-model scores by an interpolated trigram model of all words and all n-grams.
+
+Counts. Every word, pair and triple of the training documents is counted exactly, in
+written tables that grow with the input; none is left out at any count. The end of a
+text is a token.
+
+Weights are interpolated absolute discounting: with D = ``DISCOUNT``, c a count and t the
+number of different tokens after a context,
+
+  p1(w) = (c(w) + 1) / (N + V + 1)
+  p2(w | v) = (c(vw) - D) / c(v) + D t(v) / c(v) p1(w)
+  p3(w | uv) = (c(uvw) - D) / c(uv) + D t(uv) / c(uv) p2(w | v)
+
+where the first term is missing for unseen n-grams and an unseen context passes on to the
+shorter one at no price. Divided by the path of failures, an arc depends on its own n-gram
+alone: log p3 is the sum of log p1(w), the prices log D t / c of both contexts, and the gains
+log(1 + (c - D) / (D t p)) of the pair and the triple, where p is the weight of the shorter
+context. Each token but the end is a context once for each time it occurs, so a text's score
+is a sum of one value for each of its words, pairs and triples, whatever the order.
+
+Join. Values are joined in Spark by the 64-bit key of the n-gram (among n n-grams two share
+a key with a chance of about n * n / 2**65). Words of at least ``COMMON`` of all tokens and
+n-grams of at least ``KEPT`` of the training tokens (at most 1 / COMMON, 1 / KEPT of an order)
+are looked up in the task instead, so no key of the join is hot. That decides where a value is
+found, never whether.
 
 Defined results: null and empty texts are the end token alone; a training set without
 rows gives every token 1 / (V + 1); rows are scored one by one, repeats included (a row
@@ -28,19 +32,19 @@ number inside its batch keeps equal ids apart); extra columns aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import kernels as K
 from pagewright.llm import scratch
 
 U = np.uint64
-#: Share of tokens that makes a word a class; share that keeps an n-gram; discount.
+#: Share of tokens from which a word, an n-gram is looked up in the task; discount.
 COMMON, KEPT, DISCOUNT = 2e-6, 1e-5, 0.7
 RARE, END = 0, 1
 END_HASH = K.mixed(np.array([0xE0D], U))[0]
@@ -53,11 +57,6 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, first[1:], END_HASH), first + np.arange(len(first))
 
 
-def summed(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    uniq, back = np.unique(keys, return_inverse=True)
-    return uniq, np.bincount(back, weight, len(uniq)).astype(np.int64)
-
-
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         offs, data = K.buffers(batch.column(1))
@@ -77,26 +76,50 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(uniq.view(np.int64)), pa.array(both[0]), pa.array(both[1])], names=["word", "n", "c"])
 
 
+def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return v ^ ((w << U(17)) | (w >> U(47)))
+
+
+def triple_key(context: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Of the keys of its two pairs."""
+    return context ^ ((low << U(1)) | (low >> U(63)))
+
+
+def _key(a: str, b: str, turn: int) -> Column:
+    return F.col(a).bitwiseXOR(F.shiftleft(b, turn).bitwiseOR(F.shiftrightunsigned(b, 64 - turn)))
+
+
+def grams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the pairs and triples that begin at each token, those across documents too."""
+    pair = pair_key(h[:-1], h[1:])
+    return pair, triple_key(pair[:-1], pair[1:])
+
+
+def inside(first: np.ndarray, order: int) -> np.ndarray:
+    """Last tokens of the n-grams that lie in one document."""
+    place = np.arange(int(first[-1])) - np.repeat(first[:-1], np.diff(first))
+    return np.flatnonzero(place >= order - 1)
+
+
 @dataclass
 class Automaton:
-    """words: sorted hashes of the common words; their class is the place + 2."""
+    """What tasks look up themselves. words: sorted hashes of the common words; their class is the place + 2."""
 
     words: np.ndarray
-    unigram: np.ndarray  # log10 weight of each class's arc at the root
-    counts: np.ndarray  # training count of each class
+    counts: np.ndarray  # training count of each class; 0 for RARE
+    price: np.ndarray  # log10 price of each class as a context
     tokens: int  # N
     types: int  # V
-    rare_tokens: int
-    rare_types: int
-    grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # of order 2, 3: sorted keys and counts
-    arcs: list[np.ndarray] = field(default_factory=list)  # their log10 weights
-    backoff: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # of contexts of 1, 2 classes: keys, log10 weights
+    pairs: tuple[np.ndarray, np.ndarray, np.ndarray]  # sorted keys, log10 gains and prices
+    triples: tuple[np.ndarray, np.ndarray]  # sorted keys, log10 gains
+
+    @property
+    def whole(self) -> float:
+        return np.log10(self.tokens + self.types + 1)
 
     def classes(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.where(h == END_HASH, END, RARE)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        out = np.where(self.words[at] == h, at + 2, RARE)
+        at = self.find(self.words, h)
+        out = np.where(at >= 0, at + 2, RARE)
         out[h == END_HASH] = END
         return out.astype(np.int64)
 
@@ -108,192 +131,144 @@ class Automaton:
         at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
         return np.where(keys[at] == want, at, -1)
 
-    def contexts(self, cls: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """Keys of the n-grams of order 2 and 3 that end at each token (-1 where the document begins later)."""
-        n = len(cls)
-        place = np.arange(n) - np.repeat(first[:-1], np.diff(first))
-        pair = np.full(n, -1, np.int64)
-        pair[1:] = (cls[:-1] << 21) | cls[1:]
-        pair[place < 1] = -1
-        triple = np.full(n, -1, np.int64)
-        triple[2:] = (cls[:-2] << 42) | (cls[1:-1] << 21) | cls[2:]
-        triple[place < 2] = -1
-        return [pair, triple]
+    def looked_up(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """log10 weight of each token by what is held here, its class, and (tokens, keys) of what is to be joined."""
+        cls = self.classes(h)
+        score = np.log10(self.counts[cls] + 1.0) - self.whole
+        after = inside(first, 2)
+        score[after] += self.price[cls[after - 1]]
+        rare = np.flatnonzero(cls == RARE)
+        asked = [(rare, h[rare])]
+        pair, triple = grams(h)
+        at = self.find(self.pairs[0], pair[after - 1])
+        hit = at >= 0
+        score[after[hit]] += self.pairs[1][at[hit]]
+        asked.append((after[~hit], pair[after - 1][~hit]))
+        last = inside(first, 3)
+        at = self.find(self.pairs[0], pair[last - 2])
+        score[last[at >= 0]] += self.pairs[2][at[at >= 0]]
+        at = self.find(self.triples[0], triple[last - 2])
+        hit = at >= 0
+        score[last[hit]] += self.triples[1][at[hit]]
+        asked.append((last[~hit], triple[last - 2][~hit]))
+        return score, cls, asked
 
     def traverse(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 weight of each token's path through the automaton, and its class."""
-        cls = self.classes(h)
-        keys = self.contexts(cls, first)
-        score = np.zeros(len(cls))
-        open_ = np.ones(len(cls), bool)
-        for order in range(len(self.grams) + 1, 1, -1):
-            key = keys[order - 2]
-            # The state is a context of order - 1 classes: that before the token.
-            state = np.full(len(cls), -1, np.int64)
-            before = cls if order == 2 else keys[order - 3]
-            state[1:] = before[:-1]
-            state[key < 0] = -1
-            arc = self.find(self.grams[order - 2][0], key)
-            hit = open_ & (arc >= 0)
-            score[hit] += self.arcs[order - 2][arc[hit]]
-            open_ &= ~hit
-            at = self.find(self.backoff[order - 2][0], state)
-            fail = open_ & (at >= 0) & (state >= 0)
-            score[fail] += self.backoff[order - 2][1][at[fail]]
-        score[open_] += self.unigram[cls[open_]]
-        return score, cls
-
-
-def _gram_counts(batches: Iterator[pa.RecordBatch], model: Automaton, order: int, strong: np.ndarray) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    rows = 0
-
-    def merged() -> pa.RecordBatch:
-        k, n = summed(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["gram", "n"])
+        """log10 weight of each token by what is held here, and its class."""
+        return self.looked_up(h, first)[:2]
 
+
+def _gram_counts(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """Pairs as (first, last word), triples as (first, last pair), with their number in a slice."""
     for batch in batches:
         offs, data = K.buffers(batch.column(0))
-        for a, b in K.slices(offs):
+        for a, b in K.slices(offs, 4 * K.SLICE):
             h, first = tokens(data, offs[a : b + 1])
-            cls = model.classes(h)
-            pair, triple = model.contexts(cls, first)
-            if order == 2:
-                good = pair >= 0
-                good[1:] &= strong[cls[:-1]] & strong[cls[1:]]
-                keys = pair[good]
-            else:
-                kept = Automaton.find(model.grams[0][0], pair) >= 0
-                good = triple >= 0
-                good[1:] &= kept[1:] & kept[:-1]
-                keys = triple[good]
-            uniq, n = np.unique(keys, return_counts=True)
-            held.append((uniq, n))
-            rows += len(uniq)
-            if rows > 2_000_000:
-                yield merged()
-                rows = 0
-    if held:
-        yield merged()
-
-
-def _completed(model: Automaton, order: int, keys: np.ndarray, counts: np.ndarray) -> None:
-    """Add the arcs of an order and the backoff weights of its contexts."""
-    sort = np.argsort(keys)
-    keys, counts = keys[sort], counts[sort].astype(float)
-    context = keys >> 21
-    last = keys & ((1 << 21) - 1)
-    states, back = np.unique(context, return_inverse=True)
-    if order == 2:
-        total = model.counts[states]
-        shorter = 10 ** model.unigram[last]
-    else:
-        low_keys, low_counts = model.grams[0]
-        total = low_counts[Automaton.find(low_keys, states)]
-        low = Automaton.find(low_keys, keys & ((1 << 42) - 1))
-        shorter = 10 ** model.arcs[0][low]
-    total = np.maximum(total.astype(float), np.bincount(back, counts, len(states)))
-    types = np.bincount(back, minlength=len(states))
-    seen = np.bincount(back, counts, len(states))
-    # Mass for the shorter context: the discounts and the occurrences whose n-grams aren't kept.
-    rest = (DISCOUNT * types + (total - seen)) / total
-    weight = (counts - DISCOUNT) / total[back] + rest[back] * shorter
-    model.grams.append((keys, counts))
-    model.arcs.append(np.log10(weight))
-    # Interpolated weights already hold the shorter context; a missing arc costs `rest` alone.
-    model.backoff.append((states, np.log10(np.maximum(rest, 1e-12))))
-
-
-def train(docs: DataFrame, rule: str = TRAIN, orders: int = 3) -> tuple[Automaton, DataFrame]:
-    """The automaton and the table of word counts (word, n: in all documents, c: in training documents)."""
+            last = inside(first, order)
+            pair, triple = grams(h)
+            key, parts = (pair, h) if order == 2 else (triple, pair)
+            uniq, at, n = np.unique(key[last - order + 1], return_index=True, return_counts=True)
+            end = last[at] - order + 2
+            for k in range(0, len(uniq), 100_000):
+                e = end[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(parts[e - 1].view(np.int64)), pa.array(parts[e].view(np.int64)), pa.array(n[k : k + 100_000])], names=["a", "b", "n"])
+
+
+def _sorted(df: DataFrame, *columns: str) -> tuple[np.ndarray, ...]:
+    got = df.select("key", *columns).toPandas()
+    keys = got["key"].to_numpy(np.int64).view(U)
+    order = np.argsort(keys)
+    return (keys[order], *(got[c].to_numpy(np.float64)[order] for c in columns))
+
+
+def train(docs: DataFrame, rule: str = TRAIN) -> tuple[Automaton, DataFrame]:
+    """What tasks look up, and the values of all n-grams of the training documents (key, known, base, value)."""
     flagged = docs.select(F.coalesce(F.expr(rule), F.lit(False)).alias("train"), "text")
     words = flagged.mapInArrow(_word_counts, "word long, n long, c long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
     words = scratch.written(words, "words")
-    n_all, n, v, m = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0)), F.count(F.expr("case when c > 0 then 1 end")), F.count(F.lit(1))).first()
-    # At most 1 / COMMON rows.
-    common = words.where(F.col("n") >= max(2, COMMON * n_all)).toPandas()
-    end = common[common["word"] == END_HASH.view(np.int64)]
-    common = common[common["word"] != END_HASH.view(np.int64)]
+    n_all, n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0)), F.count(F.expr("case when c > 0 then 1 end"))).first()
+    texts = flagged.where("train").select("text")
+
+    def counted(order: int) -> DataFrame:
+        rows = texts.mapInArrow(lambda it: _gram_counts(it, order), "a long, b long, n long")
+        return scratch.written(rows.groupBy("a", "b").agg(F.sum("n").alias("n")), f"grams-{order}")
+
+    pairs, triples = counted(2), counted(3)
+    # The price of a context is log10 D t / c; the end of a text is none.
+    words = words.join(pairs.groupBy(F.col("a").alias("word")).agg(F.count(F.lit(1)).alias("t")), "word", "left")
+    words = scratch.written(words.select("word", "n", "c", "t", F.coalesce(F.log10(DISCOUNT * F.col("t") / F.col("c")), F.lit(0.0)).alias("price")), "contexts")
+    known = words.where("c > 0")
+    p1 = (F.col("cw") + 1.0) / float(n + v + 1)
+    weighed = pairs.join(known.select(F.col("word").alias("a"), "c", "t"), "a").join(known.select(F.col("word").alias("b"), F.col("c").alias("cw")), "b")
+    weighed = weighed.select(
+        _key("a", "b", 17).alias("key"), "n", ((F.col("n") - DISCOUNT) / F.col("c") + DISCOUNT * F.col("t") / F.col("c") * p1).alias("p"), F.log10(1 + (F.col("n") - DISCOUNT) / (DISCOUNT * F.col("t") * p1)).alias("gain")
+    )
+    weighed = weighed.join(triples.groupBy(F.col("a").alias("key")).agg(F.count(F.lit(1)).alias("t")), "key", "left")
+    weighed = scratch.written(weighed.select("key", "n", "p", "t", "gain", F.coalesce(F.log10(DISCOUNT * F.col("t") / F.col("n")), F.lit(0.0)).alias("price")), "pairs")
+
+    def gains(rows: DataFrame) -> DataFrame:
+        both = rows.join(weighed.select(F.col("key").alias("a"), "t"), "a").join(weighed.select(F.col("key").alias("b"), "p"), "b")
+        return both.select(_key("a", "b", 1).alias("key"), F.log10(1 + (F.col("n") - DISCOUNT) / (DISCOUNT * F.col("t") * F.col("p"))).alias("gain"))
+
+    # At most 1 / COMMON words and 1 / KEPT n-grams of an order, and the end.
+    common = words.where((F.col("n") >= COMMON * n_all) | (F.col("word") == int(END_HASH.view(np.int64)))).toPandas()
+    is_end = (common["word"] == END_HASH.view(np.int64)).to_numpy()
+    end, common = common[is_end], common[~is_end]
     hashes = common["word"].to_numpy(np.int64).view(U)
     order = np.argsort(hashes)
-    own = common["c"].to_numpy(np.int64)[order]
-    end_count = int(end["c"].sum()) if len(end) else int(words.where(F.col("word") == int(END_HASH.view(np.int64))).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
-    rare = n - int(own.sum()) - end_count
-    counts = np.concatenate([[rare, end_count], own])
-    unigram = np.log10((counts + 1) / (counts.sum() + len(counts)))
-    rare_types = max(0, v - int((own > 0).sum()) - (end_count > 0))
-    model = Automaton(hashes[order], unigram, counts, n, v, rare, rare_types)
-    least = max(2, KEPT * n)
-    strong = counts >= least
-    texts = flagged.where("train").select("text")
-    for k in range(2, orders + 1):
-        grams = texts.mapInArrow(lambda it, k=k: _gram_counts(it, model, k, strong), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        got = grams.toPandas()  # at most 1 / KEPT rows
-        _completed(model, k, got["gram"].to_numpy(np.int64), got["n"].to_numpy(np.int64))
-    return model, words
+    counts = np.concatenate([[0, int(end["c"].sum())], common["c"].to_numpy(np.int64)[order]])
+    price = np.concatenate([[0.0, 0.0], common["price"].to_numpy(np.float64)[order]])
+    hot = F.col("n") >= KEPT * n
+    model = Automaton(hashes[order], counts, price, n, v, _sorted(weighed.where(hot), "gain", "price"), _sorted(gains(triples.where(hot)), "gain"))
+    # The rest, which is joined.
+    base = F.log10(F.col("c") + 1.0)
+    rest = known.where((F.col("n") < COMMON * n_all) & (F.col("word") != int(END_HASH.view(np.int64)))).select(F.col("word").alias("key"), F.lit(1).alias("known"), base.alias("base"), (base + F.col("price")).alias("value"))
+    rest = rest.unionByName(weighed.where(~hot).select("key", F.lit(0).alias("known"), F.lit(0.0).alias("base"), (F.col("gain") + F.col("price")).alias("value")))
+    return model, rest.unionByName(gains(triples.where(~hot)).select("key", F.lit(0).alias("known"), F.lit(0.0).alias("base"), F.col("gain").alias("value")))
+
+
+SCORED = "row long, key long, doc_id long, n_tokens long, n_known long, base double, score double"
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Automaton) -> Iterator[pa.RecordBatch]:
-    """One row a document with its sums, and one row for each of its rare words."""
-    base = TaskContext.get().partitionId() << 40
+    """One row a document with its sums, and one for each of its n-grams that is to be joined."""
+    start = TaskContext.get().partitionId() << 40
     serial = 0
-    shared = np.log10(model.rare_tokens + model.rare_types + 1)
-    whole = np.log10(model.tokens + model.types + 1)
     for batch in batches:
         offs, data = K.buffers(batch.column(1))
         for a, b in K.slices(offs):
             h, first = tokens(data, offs[a : b + 1])
             docs = b - a
-            weight, cls = model.traverse(h, first)
+            weight, cls, asked = model.looked_up(h, first)
             doc = np.repeat(np.arange(docs), np.diff(first))
-            rare = cls == RARE
-            weight[rare] -= shared
             c = model.counts[cls]
-            exact = np.where(rare, 0.0, np.log10(c + 1.0)) - whole
-            row = base + serial + np.arange(docs)
+            row = start + serial + np.arange(docs)
             serial += docs
-            out_rows = pa.RecordBatch.from_arrays(
-                [
-                    pa.array(row),
-                    batch.column(0).slice(a, docs),
-                    pa.array(np.diff(first)),
-                    pa.array(np.bincount(doc, (c > 0) & ~rare, docs).astype(np.int64)),
-                    pa.array(np.bincount(doc, exact, docs)),
-                    pa.array(np.bincount(doc, weight, docs)),
-                    pa.nulls(docs, pa.int64()),
-                    pa.nulls(docs, pa.int32()),
-                ],
-                names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "word", "times"],
-            )
-            yield out_rows
-            # A document's rare words, equal ones together.
-            order = np.lexsort((h[rare], doc[rare]))
-            rd, rh = doc[rare][order], h[rare][order]
-            new = np.ones(len(rd), bool)
-            new[1:] = (rd[1:] != rd[:-1]) | (rh[1:] != rh[:-1])
-            at = np.flatnonzero(new)
-            if len(at):
-                none = pa.nulls(len(at), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row[rd[at]]), none, none, none, pa.nulls(len(at), pa.float64()), pa.nulls(len(at), pa.float64()), pa.array(rh[at].view(np.int64)), pa.array(np.diff(np.append(at, len(rd))).astype(np.int32))],
-                    names=out_rows.schema.names,
-                )
+            sums = [np.bincount(doc, c > 0, docs).astype(np.int64), np.bincount(doc, np.log10(c + 1.0) - model.whole, docs), np.bincount(doc, weight, docs)]
+            # Keys of no n-gram, spread over the tasks of the join.
+            own = K.mixed(row.astype(U) ^ U(0x5EED)).view(np.int64)
+            out = pa.RecordBatch.from_arrays([pa.array(row), pa.array(own), batch.column(0).slice(a, docs), pa.array(np.diff(first)), *(pa.array(x) for x in sums)], names=NAMES)
+            yield out
+            at, keys = (np.concatenate(x) for x in zip(*asked, strict=True))
+            for k in range(0, len(keys), 100_000):
+                part = slice(k, k + 100_000)
+                n = len(keys[part])
+                yield pa.RecordBatch.from_arrays([pa.array(row[doc[at[part]]]), pa.array(keys[part].view(np.int64)), *(pa.nulls(n, f.type) for f in list(out.schema)[2:])], names=NAMES)
+
+
+NAMES = [c.split()[0] for c in SCORED.split(", ")]
 
 
 def scores(docs: DataFrame, rule: str = TRAIN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    model, words = train(docs, rule)
-    rows = docs.mapInArrow(lambda it: _scored(it, model), "row long, doc_id long, n_tokens long, n_known long, base double, score double, word long, times int")
-    rows = scratch.written(rows, "scored")
-    known = rows.where("word is not null").select("row", "word", "times").join(words.where("c > 0").select("word", "c"), "word")
-    sums = known.select("row", F.col("times").cast("long").alias("k"), (F.log10(F.col("c") + 1.0) * F.col("times")).alias("extra"))
-    texts = rows.where("word is null").select("row", F.col("n_known").alias("k"), F.lit(0.0).alias("extra"), "doc_id", "n_tokens", "base", "score")
-    every = texts.unionByName(sums, allowMissingColumns=True)
-    # One row of the union has a document's own sums; all others add to them.
-    got = every.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("k").alias("n_known"), F.sum("extra").alias("extra"), F.max("base").alias("base"), F.max("score").alias("score"))
-    held = F.coalesce(F.expr(f"not ({rule})"), F.lit(True))
-    return got.select(
-        "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + F.col("extra")).alias("base_score"), (F.col("score") + F.col("extra")).alias("score")
+    model, values = train(docs, rule)
+    rows = docs.mapInArrow(lambda it: _scored(it, model), SCORED)
+    found = rows.join(values.withColumnsRenamed({"base": "more_base"}), "key", "left")
+    # One row has a document's own sums; all others add to them.
+    total = lambda *c: sum((F.coalesce(F.sum(x), F.lit(0)) for x in c[1:]), F.coalesce(F.sum(c[0]), F.lit(0)))
+    got = found.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), total("n_known", "known").cast("long").alias("n_known"), total("base", "more_base").alias("base_score"), total("score", "value").alias("score")
     )
+    held = F.coalesce(F.expr(f"not ({rule})"), F.lit(True))
+    return got.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -271,6 +271,35 @@ def test_automaton_weights_sum_to_one(docs):
         assert abs((10 ** weight[1::2]).sum() - 1) < 1e-6
 
 
+@pytest.mark.parametrize("share", [None, 1e-3, 2.0])
+def test_lm_scores_count_every_ngram(docs, monkeypatch, share):
+    """A direct backoff computation, wherever the values are looked up: in the task, some there, all joined."""
+    if share:
+        monkeypatch.setattr(lm_scoring, "COMMON", share)
+        monkeypatch.setattr(lm_scoring, "KEPT", share)
+    rows = [(i, [*words(t), None]) for i, t in pairs(docs)]
+    own = [w for i, w in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    count, after = Counter(), {}
+    for w in own:
+        for n in (1, 2, 3):
+            for k in range(len(w) - n + 1):
+                count[tuple(w[k : k + n])] += 1
+                after.setdefault(tuple(w[k : k + n - 1]), set()).add(w[k + n - 1])
+    total = sum(len(w) for w in own)
+    types = sum(len(g) == 1 for g in count)
+
+    def p(g):
+        if len(g) == 1:
+            return (count[g] + 1) / (total + types + 1)
+        if g[:-1] not in after:
+            return p(g[1:])
+        c, t = count[g[:-1]], len(after[g[:-1]])
+        return max(count[g] - 0.7, 0) / c + 0.7 * t / c * p(g[1:])
+
+    want = Counter((i, round(sum(log10(p(tuple(w[max(0, k - 2) : k + 1]))) for k in range(len(w))), 5)) for i, w in rows)
+    assert Counter((r.doc_id, round(r.score, 5)) for r in lm_scoring.scores(docs).collect()) == want
+
+
 def test_repeated_passages_match_brute_force(docs):
     text = {i: words(t) for i, t in pairs(docs) if i is not None}
     covered = {}
