@@ -316,6 +316,29 @@ def test_repeated_passages_match_brute_force(docs):
     assert substring_dedup.repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("size", "cut"), [(60, 0), (80, 0), (98, 0), (60, 1), (98, 3)])
+def test_inserted_and_deleted_words_stay_in_a_passage(size, cut):
+    """One word put in, or ``cut`` words taken out, in the middle, where each half is under 50 words."""
+    rng = np.random.default_rng(size)
+    base = rng.integers(0, 2**63, 64 + size + 64, dtype=np.uint64)
+    mid = 64 + size // 2
+    other = np.concatenate([rng.integers(0, 2**63, 70, dtype=np.uint64), base[64:mid], base[mid + cut : 64 + size] if cut else np.append(np.uint64(7), base[mid : 64 + size]), rng.integers(0, 2**63, 70, dtype=np.uint64)])
+    for x, y, off in ((base, other, -6), (other, base, 6)):
+        (a, b, c), = substring_dedup.passages(x, y, off)
+        assert (a, c) == ((64, 70) if x is base else (70, 64)) and b == (64 + size if x is base else len(other) - 70)
+
+
+def test_copies_with_an_inserted_word_are_found(spark):
+    rng = random.Random(3)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(100):
+        p = text(98)
+        rows += [(2 * k, " ".join(text(80) + p + text(80))), (2 * k + 1, " ".join(text(90) + p[:49] + ["more"] + p[49:] + text(70)))]
+    got = {r.doc_id for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).where("start <= 92 and start + length >= 187").collect()}
+    assert len(got) >= 90
+
+
 def test_windows_are_the_wide_nodes_of_the_cartesian_tree():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 500, dtype=np.uint64)
