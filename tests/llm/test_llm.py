@@ -339,6 +339,23 @@ def test_copies_with_an_inserted_word_are_found(spark):
     assert len(got) >= 90
 
 
+def test_a_smaller_document_with_a_part_hides_no_pair(spark):
+    rng = random.Random(8)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], {}
+    for k in range(0, 600, 3):
+        p, lead = text(52), text(60)
+        # The middle alone, twice, stands in a smaller document; then two documents have the whole passage.
+        rows += [(k, text(40) + p[3:49] + text(30) + p[3:49] + text(40)), (k + 1, text(70) + p + text(70)), (k + 2, lead + p + text(50))]
+        want[k + 2] = (60, 112)
+    got = {}
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    for r in substring_dedup.repeats(frame).collect():
+        assert rows[r.doc_id][1][r.start : r.start + r.length] == rows[r.source_id][1][r.source_start : r.source_start + r.length]
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.length))
+    assert got == {i: set(range(*span)) for i, span in want.items()}
+
+
 def test_windows_are_the_wide_nodes_of_the_cartesian_tree():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 500, dtype=np.uint64)
