@@ -1,274 +1,249 @@
-"""Language-model scores by an interpolated trigram model of all words and all n-grams.
+"""Language-model scores by a weighted backoff automaton over all words, pairs and triples.
 
-Counts. Every word, pair and triple of the training documents is counted exactly, in
-written tables that grow with the input; none is left out at any count. The end of a
-text is a token.
-
-Weights are interpolated absolute discounting: with D = ``DISCOUNT``, c a count and t the
-number of different tokens after a context,
+Weights. With c a count in the training documents, N their tokens and V their different
+tokens (the end of a text is a token; a start mark is a context only):
 
   p1(w) = (c(w) + 1) / (N + V + 1)
-  p2(w | v) = (c(vw) - D) / c(v) + D t(v) / c(v) p1(w)
-  p3(w | uv) = (c(uvw) - D) / c(uv) + D t(uv) / c(uv) p2(w | v)
-
-where the first term is missing for unseen n-grams and an unseen context passes on to the
-shorter one at no price. Divided by the path of failures, an arc depends on its own n-gram
-alone: log p3 is the sum of log p1(w), the prices log D t / c of both contexts, and the gains
-log(1 + (c - D) / (D t p)) of the pair and the triple, where p is the weight of the shorter
-context. Each token but the end is a context once for each time it occurs, so a text's score
-is a sum of one value for each of its words, pairs and triples, whatever the order.
-
-Join. Values are joined in Spark by the 64-bit key of the n-gram (among n n-grams two share
-a key with a chance of about n * n / 2**65). Words of at least ``COMMON`` of all tokens and
-n-grams of at least ``KEPT`` of the training tokens (at most 1 / COMMON, 1 / KEPT of an order)
-are looked up in the task instead, so no key of the join is hot. That decides where a value is
-found, never whether.
-
-Defined results: null and empty texts are the end token alone; a training set without
-rows gives every token 1 / (V + 1); rows are scored one by one, repeats included (a row
-number inside its batch keeps equal ids apart); extra columns aren't read.
+  p2(w | v) = (1 - b(v)) c(vw) / c(v) + b(v) p1(w),     b(v) = PAIR_MASS c(v) ** -PAIR_FALL
+  p3(w | uv) = (1 - TRIPLE_MASS) c(uvw) / c(uv) + TRIPLE_MASS p2(w | v)
+
+(Jelinek-Mercer interpolation; the weight passed on depends on the context's count only.)
+An unseen context passes everything on. As an automaton: the states are the root, each word
+and each pair of the training documents. A state has an arc for each word seen after it, with
+its log10 weight, and a failure arc to the state of its shorter context, with log10 of the
+mass it passes on. Every n-gram has its arc, whatever its count.
+
+Counts. Documents are dealt into parts of about ``PART_TOKENS`` tokens. A part sends each of
+its different n-grams once, with its number in the part's training documents, to the buckets
+of ``keyruns``; a bucket adds up the parts' numbers and answers each part. So the tables grow
+with the input, a frequent n-gram costs one entry a part, and no key is hot. N-grams are told
+apart by 52 and more bits: two of n keys agree with a chance of about n * 2**-bits.
+
+Traversal. From the answers a part builds the states and arcs that its own texts can meet, and
+walks each text once from left to right: the state is carried from token to token, failure
+arcs are followed until an arc fits, and the logarithms are added up. All texts of a part walk
+at the same time; a text of over ``STRETCH`` tokens is cut into stretches, each of which starts
+in the state that its predecessor's last two tokens lead to.
+
+Defined results: null and empty texts are the end token alone; a training set without rows
+gives every token 1 (base: 1 / (V + 1)); rows are scored one by one, repeats included; a null id is
+held out; extra columns aren't read. An empty table gives no rows. Texts of any length are whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm import grouped, keyruns, scratch
 from pagewright.llm import kernels as K
-from pagewright.llm import scratch
 
 U = np.uint64
-#: Share of tokens from which a word, an n-gram is looked up in the task; discount.
-COMMON, KEPT, DISCOUNT = 2e-6, 1e-5, 0.7
-RARE, END = 0, 1
-END_HASH = K.mixed(np.array([0xE0D], U))[0]
+#: Masses passed on by contexts, chosen on training rows (one seventh of them held back).
+PAIR_MASS, PAIR_FALL, TRIPLE_MASS = 0.75, 0.06, 0.5
+PART_TOKENS, STRETCH = 2_000_000, 512
+END_HASH, START_HASH = K.mixed(np.array([0xE0D, 0x57A], U))
 TRAIN = "crc32(cast(doc_id as string)) % 7 != 2"
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes with an end token after each document, and where documents begin."""
+    """Word hashes with a start mark before and an end token after each document, and where documents begin."""
     h, _, _, first = K.words(data, offs)
-    return np.insert(h, first[1:], END_HASH), first + np.arange(len(first))
+    n = len(first) - 1
+    both = np.concatenate([first[1:], first[:-1]])
+    return np.insert(h, both, np.repeat([END_HASH, START_HASH], n)), first + 2 * np.arange(n + 1)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and ends: how often in all and in the training documents."""
     for batch in batches:
         offs, data = K.buffers(batch.column(1))
-        train = batch.column(0).to_numpy(zero_copy_only=False)
-        keys, counts, learnt = [], [], []
-        for a, b in K.slices(offs, 4 * K.SLICE):
-            h, first = tokens(data, offs[a : b + 1])
-            own = np.repeat(train[a:b], np.diff(first))
-            uniq, back = np.unique(h, return_inverse=True)
-            keys.append(uniq)
-            counts.append(np.bincount(back, minlength=len(uniq)))
-            learnt.append(np.bincount(back, own, len(uniq)).astype(np.int64))
-        if keys:
-            k = np.concatenate(keys)
-            uniq, back = np.unique(k, return_inverse=True)
-            both = [np.bincount(back, np.concatenate(x), len(uniq)).astype(np.int64) for x in (counts, learnt)]
-            yield pa.RecordBatch.from_arrays([pa.array(uniq.view(np.int64)), pa.array(both[0]), pa.array(both[1])], names=["word", "n", "c"])
-
-
-def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return v ^ ((w << U(17)) | (w >> U(47)))
-
+        learn = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for a, b in K.slices(offs, 8 * K.SLICE):
+            h, _, _, first = K.words(data, offs[a : b + 1])
+            own = np.repeat(learn[a:b], np.diff(first))
+            uniq, back = np.unique(np.append(h, END_HASH), return_inverse=True)
+            n = np.bincount(back[:-1], minlength=len(uniq))
+            c = np.bincount(back[:-1], own, len(uniq)).astype(np.int64)
+            n[back[-1]] += b - a
+            c[back[-1]] += int(learn[a:b].sum())
+            yield pa.RecordBatch.from_arrays([pa.array(uniq.view(np.int64)), pa.array(n), pa.array(c)], names=["word", "n", "c"])
 
-def triple_key(context: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Of the keys of its two pairs."""
-    return context ^ ((low << U(1)) | (low >> U(63)))
 
+@dataclass
+class Grams:
+    """The n-grams of some documents: sorted different keys, and for each token the places of the word, pair and triple that end there."""
 
-def _key(a: str, b: str, turn: int) -> Column:
-    return F.col(a).bitwiseXOR(F.shiftleft(b, turn).bitwiseOR(F.shiftrightunsigned(b, 64 - turn)))
-
-
-def grams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the pairs and triples that begin at each token, those across documents too."""
-    pair = pair_key(h[:-1], h[1:])
-    return pair, triple_key(pair[:-1], pair[1:])
-
+    keys: np.ndarray
+    word: np.ndarray
+    pair: np.ndarray
+    triple: np.ndarray
+    first: np.ndarray  # where documents begin, with their start mark
+    seen: Callable[[np.ndarray], np.ndarray]  # numbers of each key in the documents that a 0/1 array marks
 
-def inside(first: np.ndarray, order: int) -> np.ndarray:
-    """Last tokens of the n-grams that lie in one document."""
-    place = np.arange(int(first[-1])) - np.repeat(first[:-1], np.diff(first))
-    return np.flatnonzero(place >= order - 1)
+    @staticmethod
+    def of(h: np.ndarray, first: np.ndarray, bits: int, width: int) -> Grams:
+        place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+        two = np.flatnonzero(place >= 1)
+        three = np.flatnonzero(place >= 2)
+        turned = (h << U(23)) | (h >> U(41))
+        pair = K.mixed(h[two - 1] * U(0x9E3779B97F4A7C15) + turned[two])
+        triple = K.mixed(K.mixed(h[three - 2] * U(0xD6E8FEB86659FD93) + turned[three - 1]) + h[three])
+        every = keyruns.cut(np.concatenate([K.mixed(h ^ U(0x1F)), pair, triple]), bits, width)
+        keys, back = np.unique(every, return_inverse=True)
+        spot = np.zeros((2, len(h)), np.int64)
+        spot[0, two] = back[len(h) : len(h) + len(two)]
+        spot[1, three] = back[len(h) + len(two) :]
+        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        of_doc = np.concatenate([doc, doc[two], doc[three]])
+        return Grams(keys, back[: len(h)], spot[0], spot[1], first, lambda learn: np.bincount(back, learn[of_doc], len(keys)).astype(np.int64))
 
 
 @dataclass
 class Automaton:
-    """What tasks look up themselves. words: sorted hashes of the common words; their class is the place + 2."""
-
-    words: np.ndarray
-    counts: np.ndarray  # training count of each class; 0 for RARE
-    price: np.ndarray  # log10 price of each class as a context
-    tokens: int  # N
-    types: int  # V
-    pairs: tuple[np.ndarray, np.ndarray, np.ndarray]  # sorted keys, log10 gains and prices
-    triples: tuple[np.ndarray, np.ndarray]  # sorted keys, log10 gains
-
-    @property
-    def whole(self) -> float:
-        return np.log10(self.tokens + self.types + 1)
-
-    def classes(self, h: np.ndarray) -> np.ndarray:
-        at = self.find(self.words, h)
-        out = np.where(at >= 0, at + 2, RARE)
-        out[h == END_HASH] = END
-        return out.astype(np.int64)
+    """States and arcs of the n-grams with the places of ``Grams``: state 0 is the root, 1 + place that of a word or pair.
+
+    arc: log10 weight of the arc that ends with the n-gram, from the state of its context; failure: the state of a
+    state's shorter context; passed: log10 of the mass it passes on; count: of each n-gram.
+    """
+
+    arc: np.ndarray
+    failure: np.ndarray
+    passed: np.ndarray
+    count: np.ndarray
+    root: np.ndarray  # log10 weight of each word from the root
 
     @staticmethod
-    def find(keys: np.ndarray, want: np.ndarray) -> np.ndarray:
-        """Place of each key, or -1."""
-        if not len(keys):
-            return np.full(len(want), -1)
-        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        return np.where(keys[at] == want, at, -1)
-
-    def looked_up(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """log10 weight of each token by what is held here, its class, and (tokens, keys) of what is to be joined."""
-        cls = self.classes(h)
-        score = np.log10(self.counts[cls] + 1.0) - self.whole
-        after = inside(first, 2)
-        score[after] += self.price[cls[after - 1]]
-        rare = np.flatnonzero(cls == RARE)
-        asked = [(rare, h[rare])]
-        pair, triple = grams(h)
-        at = self.find(self.pairs[0], pair[after - 1])
-        hit = at >= 0
-        score[after[hit]] += self.pairs[1][at[hit]]
-        asked.append((after[~hit], pair[after - 1][~hit]))
-        last = inside(first, 3)
-        at = self.find(self.pairs[0], pair[last - 2])
-        score[last[at >= 0]] += self.pairs[2][at[at >= 0]]
-        at = self.find(self.triples[0], triple[last - 2])
-        hit = at >= 0
-        score[last[hit]] += self.triples[1][at[hit]]
-        asked.append((last[~hit], triple[last - 2][~hit]))
-        return score, cls, asked
-
-    def traverse(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 weight of each token by what is held here, and its class."""
-        return self.looked_up(h, first)[:2]
-
-
-def _gram_counts(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """Pairs as (first, last word), triples as (first, last pair), with their number in a slice."""
-    for batch in batches:
-        offs, data = K.buffers(batch.column(0))
-        for a, b in K.slices(offs, 4 * K.SLICE):
-            h, first = tokens(data, offs[a : b + 1])
-            last = inside(first, order)
-            pair, triple = grams(h)
-            key, parts = (pair, h) if order == 2 else (triple, pair)
-            uniq, at, n = np.unique(key[last - order + 1], return_index=True, return_counts=True)
-            end = last[at] - order + 2
-            for k in range(0, len(uniq), 100_000):
-                e = end[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(parts[e - 1].view(np.int64)), pa.array(parts[e].view(np.int64)), pa.array(n[k : k + 100_000])], names=["a", "b", "n"])
-
-
-def _sorted(df: DataFrame, *columns: str) -> tuple[np.ndarray, ...]:
-    got = df.select("key", *columns).toPandas()
-    keys = got["key"].to_numpy(np.int64).view(U)
-    order = np.argsort(keys)
-    return (keys[order], *(got[c].to_numpy(np.float64)[order] for c in columns))
-
-
-def train(docs: DataFrame, rule: str = TRAIN) -> tuple[Automaton, DataFrame]:
-    """What tasks look up, and the values of all n-grams of the training documents (key, known, base, value)."""
-    flagged = docs.select(F.coalesce(F.expr(rule), F.lit(False)).alias("train"), "text")
-    words = flagged.mapInArrow(_word_counts, "word long, n long, c long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
-    words = scratch.written(words, "words")
-    n_all, n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0)), F.count(F.expr("case when c > 0 then 1 end"))).first()
-    texts = flagged.where("train").select("text")
-
-    def counted(order: int) -> DataFrame:
-        rows = texts.mapInArrow(lambda it: _gram_counts(it, order), "a long, b long, n long")
-        return scratch.written(rows.groupBy("a", "b").agg(F.sum("n").alias("n")), f"grams-{order}")
-
-    pairs, triples = counted(2), counted(3)
-    # The price of a context is log10 D t / c; the end of a text is none.
-    words = words.join(pairs.groupBy(F.col("a").alias("word")).agg(F.count(F.lit(1)).alias("t")), "word", "left")
-    words = scratch.written(words.select("word", "n", "c", "t", F.coalesce(F.log10(DISCOUNT * F.col("t") / F.col("c")), F.lit(0.0)).alias("price")), "contexts")
-    known = words.where("c > 0")
-    p1 = (F.col("cw") + 1.0) / float(n + v + 1)
-    weighed = pairs.join(known.select(F.col("word").alias("a"), "c", "t"), "a").join(known.select(F.col("word").alias("b"), F.col("c").alias("cw")), "b")
-    weighed = weighed.select(
-        _key("a", "b", 17).alias("key"), "n", ((F.col("n") - DISCOUNT) / F.col("c") + DISCOUNT * F.col("t") / F.col("c") * p1).alias("p"), F.log10(1 + (F.col("n") - DISCOUNT) / (DISCOUNT * F.col("t") * p1)).alias("gain")
-    )
-    weighed = weighed.join(triples.groupBy(F.col("a").alias("key")).agg(F.count(F.lit(1)).alias("t")), "key", "left")
-    weighed = scratch.written(weighed.select("key", "n", "p", "t", "gain", F.coalesce(F.log10(DISCOUNT * F.col("t") / F.col("n")), F.lit(0.0)).alias("price")), "pairs")
-
-    def gains(rows: DataFrame) -> DataFrame:
-        both = rows.join(weighed.select(F.col("key").alias("a"), "t"), "a").join(weighed.select(F.col("key").alias("b"), "p"), "b")
-        return both.select(_key("a", "b", 1).alias("key"), F.log10(1 + (F.col("n") - DISCOUNT) / (DISCOUNT * F.col("t") * F.col("p"))).alias("gain"))
-
-    # At most 1 / COMMON words and 1 / KEPT n-grams of an order, and the end.
-    common = words.where((F.col("n") >= COMMON * n_all) | (F.col("word") == int(END_HASH.view(np.int64)))).toPandas()
-    is_end = (common["word"] == END_HASH.view(np.int64)).to_numpy()
-    end, common = common[is_end], common[~is_end]
-    hashes = common["word"].to_numpy(np.int64).view(U)
-    order = np.argsort(hashes)
-    counts = np.concatenate([[0, int(end["c"].sum())], common["c"].to_numpy(np.int64)[order]])
-    price = np.concatenate([[0.0, 0.0], common["price"].to_numpy(np.float64)[order]])
-    hot = F.col("n") >= KEPT * n
-    model = Automaton(hashes[order], counts, price, n, v, _sorted(weighed.where(hot), "gain", "price"), _sorted(gains(triples.where(hot)), "gain"))
-    # The rest, which is joined.
-    base = F.log10(F.col("c") + 1.0)
-    rest = known.where((F.col("n") < COMMON * n_all) & (F.col("word") != int(END_HASH.view(np.int64)))).select(F.col("word").alias("key"), F.lit(1).alias("known"), base.alias("base"), (base + F.col("price")).alias("value"))
-    rest = rest.unionByName(weighed.where(~hot).select("key", F.lit(0).alias("known"), F.lit(0.0).alias("base"), (F.col("gain") + F.col("price")).alias("value")))
-    return model, rest.unionByName(gains(triples.where(~hot)).select("key", F.lit(0).alias("known"), F.lit(0.0).alias("base"), F.col("gain").alias("value")))
-
-
-SCORED = "row long, key long, doc_id long, n_tokens long, n_known long, base double, score double"
-
-
-def _scored(batches: Iterator[pa.RecordBatch], model: Automaton) -> Iterator[pa.RecordBatch]:
-    """One row a document with its sums, and one for each of its n-grams that is to be joined."""
-    start = TaskContext.get().partitionId() << 40
-    serial = 0
-    for batch in batches:
-        offs, data = K.buffers(batch.column(1))
-        for a, b in K.slices(offs):
-            h, first = tokens(data, offs[a : b + 1])
-            docs = b - a
-            weight, cls, asked = model.looked_up(h, first)
-            doc = np.repeat(np.arange(docs), np.diff(first))
-            c = model.counts[cls]
-            row = start + serial + np.arange(docs)
-            serial += docs
-            sums = [np.bincount(doc, c > 0, docs).astype(np.int64), np.bincount(doc, np.log10(c + 1.0) - model.whole, docs), np.bincount(doc, weight, docs)]
-            # Keys of no n-gram, spread over the tasks of the join.
-            own = K.mixed(row.astype(U) ^ U(0x5EED)).view(np.int64)
-            out = pa.RecordBatch.from_arrays([pa.array(row), pa.array(own), batch.column(0).slice(a, docs), pa.array(np.diff(first)), *(pa.array(x) for x in sums)], names=NAMES)
-            yield out
-            at, keys = (np.concatenate(x) for x in zip(*asked, strict=True))
-            for k in range(0, len(keys), 100_000):
-                part = slice(k, k + 100_000)
-                n = len(keys[part])
-                yield pa.RecordBatch.from_arrays([pa.array(row[doc[at[part]]]), pa.array(keys[part].view(np.int64)), *(pa.nulls(n, f.type) for f in list(out.schema)[2:])], names=NAMES)
-
-
-NAMES = [c.split()[0] for c in SCORED.split(", ")]
-
-
-def scores(docs: DataFrame, rule: str = TRAIN) -> DataFrame:
+    def of(g: Grams, count: np.ndarray, n: int, v: int) -> Automaton:
+        words, pairs, triples = (np.unique(x) for x in (g.word, g.pair[_inner(g.first, 1)], g.triple[_inner(g.first, 2)]))
+        size = len(g.keys)
+        p = np.zeros(size)
+        p[words] = (count[words] + 1.0) / (n + v + 1)
+        root = np.zeros(size)
+        root[words] = np.log10(p[words])
+        keep = np.ones(size)
+        c = count[words]
+        keep[words] = np.where(c > 0, PAIR_MASS * np.maximum(c, 1) ** -PAIR_FALL, 1.0)
+        keep[pairs] = np.where(count[pairs] > 0, TRIPLE_MASS, 1.0)
+        failure = np.zeros(size + 1, np.int64)
+        # Some token of each n-gram tells its parts.
+        at = np.zeros(size, np.int64)
+        two, three = _inner(g.first, 1), _inner(g.first, 2)
+        at[g.pair[two]] = two
+        at[g.triple[three]] = three
+        for grams, context, shorter in ((pairs, g.word, g.word), (triples, g.pair, g.pair)):
+            own, low = context[at[grams] - 1], shorter[at[grams]]
+            p[grams] = (1 - keep[own]) * count[grams] / np.maximum(count[own], 1) + keep[own] * p[low]
+        failure[pairs + 1] = g.word[at[pairs]] + 1
+        arc = np.log10(np.maximum(p, 1e-300))
+        return Automaton(arc, failure, np.append(0.0, np.log10(keep)), count, root)
+
+    def walk(self, g: Grams) -> np.ndarray:
+        """log10 weight of each text."""
+        docs = len(g.first) - 1
+        length = np.diff(g.first) - 1
+        cuts = -(-length // STRETCH)
+        doc = np.repeat(np.arange(docs), cuts)
+        begin = g.first[:-1][doc] + 1 + STRETCH * (np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+        steps = np.minimum(STRETCH, g.first[1:][doc] - begin)
+        order = np.argsort(-steps, kind="stable")
+        doc, begin, steps = doc[order], begin[order], steps[order]
+        state = self.reached(g, begin - 1, begin - 1 > g.first[:-1][doc])
+        total = np.zeros(len(doc))
+        awake = np.searchsorted(-steps, -np.arange(int(steps[0]) if len(steps) else 0), "left")
+        for k, m in enumerate(awake.tolist()):
+            at = begin[:m] + k
+            s, word, pair, triple = state[:m], g.word[at], g.pair[at], g.triple[at]
+            deep = self.failure[s] > 0  # a pair: its failure is a word's state
+            fits = deep & (self.count[triple] > 0)
+            gain = np.where(fits, self.arc[triple], 0.0)
+            fails = deep & ~fits
+            gain[fails] += self.passed[s[fails]]
+            s = np.where(fails, self.failure[s], s)
+            shallow = ~fits & (s > 0)
+            two = shallow & (self.count[pair] > 0)
+            gain[two] += self.arc[pair[two]]
+            fails = shallow & ~two
+            gain[fails] += self.passed[s[fails]]
+            bottom = ~fits & ~two
+            gain[bottom] += self.root[word[bottom]]
+            total[:m] += gain
+            # The arc's target: the longest context that is a state.
+            state[:m] = np.where(self.count[pair] > 0, pair + 1, np.where(self.count[word] > 0, word + 1, 0))
+        return np.bincount(doc, total, docs)
+
+    def reached(self, g: Grams, at: np.ndarray, has_pair: np.ndarray) -> np.ndarray:
+        """The state after the token ``at``."""
+        pair, word = g.pair[at], g.word[at]
+        return np.where(has_pair & (self.count[pair] > 0), pair + 1, np.where(self.count[word] > 0, word + 1, 0))
+
+
+def _inner(first: np.ndarray, least: int) -> np.ndarray:
+    """Tokens with at least so many before them in their document."""
+    place = np.arange(int(first[-1])) - np.repeat(first[:-1], np.diff(first))
+    return np.flatnonzero(place >= least)
+
+
+def _sent(table: pa.Table, bits: int, width: int) -> pa.Table:
+    """The n-grams of a part (part, doc_id, train, text) as runs for the buckets."""
+    part = table["part"][0].as_py()
+    offs, data = K.buffers(table["text"])
+    g = Grams.of(*tokens(data, offs), bits, width)
+    bucket, ends, keys = keyruns.runs(g.keys, bits, width)
+    byte, large = keyruns.small(g.seen(table["train"].to_numpy()), ends)
+    K.release()
+    return pa.table({"bucket": pa.array(bucket.astype(np.int32)), "part": pa.array(np.full(len(bucket), part, np.int32)), "keys": keys, "byte": byte, "large": large})
+
+
+def _answered(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """For each run (bucket, part, keys, byte, large) the counts of its keys over all parts."""
+    for table in grouped.whole(batches, ["bucket"], 200):
+        bucket = table["bucket"].to_numpy()
+        keys, ends = keyruns.keys_of(table["keys"], width)
+        count = keyruns.counts_of(table["byte"], table["large"])
+        cut = grouped.runs([bucket])
+        out = np.zeros(len(keys), np.int64)
+        for lo, hi in zip(ends[cut[:-1]], ends[cut[1:]], strict=True):
+            uniq, back = np.unique(keys[lo:hi], return_inverse=True)
+            out[lo:hi] = np.bincount(back, count[lo:hi], len(uniq)).astype(np.int64)[back]
+        byte, large = keyruns.small(out, ends)
+        yield pa.RecordBatch.from_arrays([table["part"].combine_chunks(), table["bucket"].combine_chunks(), byte, large], names=["part", "bucket", "byte", "large"])
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _scored(texts: pa.Table, answers: pa.Table, bits: int, width: int, n: int, v: int) -> pa.Table:
+    offs, data = K.buffers(texts["text"])
+    g = Grams.of(*tokens(data, offs), bits, width)
+    answers = answers.sort_by("bucket")
+    model = Automaton.of(g, keyruns.counts_of(answers["byte"], answers["large"]), n, v)
+    score = model.walk(g)
+    docs = texts.num_rows
+    counted = _inner(g.first, 1)
+    doc = np.repeat(np.arange(docs), np.diff(g.first))[counted]
+    c = model.count[g.word[counted]]
+    known, base = np.bincount(doc, c > 0, docs).astype(np.int64), np.bincount(doc, np.log10((c + 1.0) / (n + v + 1)), docs)
+    K.release()
+    columns = [texts["doc_id"].combine_chunks(), pa.array(~texts["train"].to_numpy().astype(bool)), pa.array(np.diff(g.first) - 1), pa.array(known), pa.array(np.full(docs, n)), pa.array(base), pa.array(score)]
+    return pa.Table.from_arrays(columns, names=[f.split()[0] for f in SCORED.split(", ")])
+
+
+def scores(docs: DataFrame, rule: str = TRAIN, part_tokens: int = PART_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    model, values = train(docs, rule)
-    rows = docs.mapInArrow(lambda it: _scored(it, model), SCORED)
-    found = rows.join(values.withColumnsRenamed({"base": "more_base"}), "key", "left")
-    # One row has a document's own sums; all others add to them.
-    total = lambda *c: sum((F.coalesce(F.sum(x), F.lit(0)) for x in c[1:]), F.coalesce(F.sum(c[0]), F.lit(0)))
-    got = found.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), total("n_known", "known").cast("long").alias("n_known"), total("base", "more_base").alias("base_score"), total("score", "value").alias("score")
-    )
-    held = F.coalesce(F.expr(f"not ({rule})"), F.lit(True))
-    return got.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    flagged = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    flagged = flagged.select("doc_id", F.coalesce(F.expr(f"cast({rule} as int)"), F.lit(0)).alias("train"), "text")
+    words = flagged.select("train", "text").mapInArrow(_word_counts, "word long, n long, c long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    every, n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0)), F.count(F.expr("case when c > 0 then 1 end"))).first()
+    parts = -(-every // part_tokens) or 1
+    bits, width = keyruns.shape(2 * every)
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part")
+    dealt = flagged.select(part, "doc_id", "train", "text").repartition(parts, "part")
+    sent = dealt.groupBy("part").applyInArrow(lambda t: _sent(t, bits, width), "bucket int, part int, keys binary, byte binary, large binary")
+    answers = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _answered(it, width), "part int, bucket int, byte binary, large binary")
+    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(lambda t, a: _scored(t, a, bits, width, n, v), SCORED)

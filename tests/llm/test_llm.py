@@ -261,43 +261,62 @@ def test_lm_counts_match_a_loop(docs):
     assert lm_scoring.scores(docs.limit(0)).count() == 0
 
 
-def test_automaton_weights_sum_to_one(docs):
-    model, _ = lm_scoring.train(docs, "true")
-    classes = np.arange(len(model.counts))
-    hashes = np.concatenate([[np.uint64(1)], [lm_scoring.END_HASH], model.words])
-    for context in [c for c in np.argsort(-model.counts).tolist() if c != lm_scoring.END][:5]:  # nothing follows the end
-        h = np.stack([np.full(len(classes), hashes[context]), hashes], 1).ravel()
-        weight, _ = model.traverse(h, np.arange(0, len(h) + 1, 2))
-        assert abs((10 ** weight[1::2]).sum() - 1) < 1e-6
-
-
-@pytest.mark.parametrize("share", [None, 1e-3, 2.0])
-def test_lm_scores_count_every_ngram(docs, monkeypatch, share):
-    """A direct backoff computation, wherever the values are looked up: in the task, some there, all joined."""
-    if share:
-        monkeypatch.setattr(lm_scoring, "COMMON", share)
-        monkeypatch.setattr(lm_scoring, "KEPT", share)
-    rows = [(i, [*words(t), None]) for i, t in pairs(docs)]
-    own = [w for i, w in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
-    count, after = Counter(), {}
-    for w in own:
-        for n in (1, 2, 3):
-            for k in range(len(w) - n + 1):
-                count[tuple(w[k : k + n])] += 1
-                after.setdefault(tuple(w[k : k + n - 1]), set()).add(w[k + n - 1])
-    total = sum(len(w) for w in own)
-    types = sum(len(g) == 1 for g in count)
+def lm_weight(count, total, types):
+    """The backoff weight of a token after its context, by the definition."""
 
     def p(g):
         if len(g) == 1:
             return (count[g] + 1) / (total + types + 1)
-        if g[:-1] not in after:
+        c = count[g[:-1]]
+        if not c:
             return p(g[1:])
-        c, t = count[g[:-1]], len(after[g[:-1]])
-        return max(count[g] - 0.7, 0) / c + 0.7 * t / c * p(g[1:])
-
-    want = Counter((i, round(sum(log10(p(tuple(w[max(0, k - 2) : k + 1]))) for k in range(len(w))), 5)) for i, w in rows)
-    assert Counter((r.doc_id, round(r.score, 5)) for r in lm_scoring.scores(docs).collect()) == want
+        passed = lm_scoring.PAIR_MASS * c**-lm_scoring.PAIR_FALL if len(g) == 2 else lm_scoring.TRIPLE_MASS
+        return (1 - passed) * count[g] / c + passed * p(g[1:])
+
+    return p
+
+
+def lm_want(rows, learn):
+    count = Counter()
+    for i, w in rows:
+        if learn(i):
+            for n in (1, 2, 3):
+                for k in range(len(w) - n + 1):
+                    count[tuple(w[k : k + n])] += 1
+    total = sum(len(w) - 1 for i, w in rows if learn(i))
+    types = sum(len(g) == 1 and g != ("<",) for g in count)
+    p = lm_weight(count, total, types)
+    return Counter((i, round(sum(log10(p(tuple(w[max(0, k - 2) : k + 1]))) for k in range(1, len(w))), 5)) for i, w in rows), p, count
+
+
+@pytest.mark.parametrize(("stretch", "part"), [(512, 2_000_000), (3, 700)])
+def test_lm_scores_equal_a_direct_backoff_computation(docs, monkeypatch, stretch, part):
+    """In one part or many, and where the walk is cut into short stretches."""
+    monkeypatch.setattr(lm_scoring, "STRETCH", stretch)
+    rows = [(i, ["<", *words(t), None]) for i, t in pairs(docs)]
+    want, p, count = lm_want(rows, lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 != 2)
+    assert Counter((r.doc_id, round(r.score, 5)) for r in lm_scoring.scores(docs, part_tokens=part).collect()) == want
+    every = [g for g in count if len(g) == 1 and g != ("<",)]
+    for context in [("<",), *[g for g in count if len(g) == 2 and None not in g][:5]]:
+        assert abs(sum(p((*context, *g)) for g in every) + p((*context, "no such word")) - 1) < 1e-9
+
+
+def test_held_out_texts_move_no_other_score(spark, docs):
+    rows = [r for r in pairs(docs) if r[0] is not None]
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    other = spark.createDataFrame([(i, "other words here " * 50 if i in held else t) for i, t in rows], "doc_id long, text string")
+    of = lambda d: Counter((r.doc_id, round(r.score, 9)) for r in lm_scoring.scores(d).where("not held_out").collect())
+    assert len(held) > 5 and of(spark.createDataFrame(rows, "doc_id long, text string")) == of(other)
+
+
+def test_counts_over_one_byte_and_long_texts(spark):
+    """A word of over 255 occurrences in a part, a text beyond one slice, one that occurs twice."""
+    rng = random.Random(5)
+    long = " ".join(rng.choice(["the", "of", f"w{rng.randrange(3000)}"]) for _ in range(120_000))
+    rows = [(1, long), (2, "the " * 900), (3, "the of"), (4, "w1 w2 unseen")]
+    want, _, _ = lm_want([(i, ["<", *words(t), None]) for i, t in rows], lambda i: zlib.crc32(str(i).encode()) % 7 != 2)
+    got = Counter((r.doc_id, round(r.score, 5)) for r in lm_scoring.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert dict(got.keys()) == {i: pytest.approx(s, abs=1e-4) for i, s in want}
 
 
 def test_repeated_passages_match_brute_force(docs):
