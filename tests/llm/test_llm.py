@@ -181,6 +181,20 @@ def test_exact_duplicates_match_a_loop(docs):
     assert exact_dedup.decisions(docs.limit(0)).count() == 0
 
 
+def test_exact_duplicates_go_by_row(spark):
+    """Repeated ids with different texts, null ids, repeated rows, clashing columns; many runs."""
+    rows = [(3, "same", "a"), (5, "same", "b"), (5, "only here", "c"), (None, "same", "d"), (None, "nobody", "e"), (None, "nobody", "f"), (7, None, "g"), (8, "", "h"), (8, "", "h"), (9, " ", "i")]
+    rows += [(100 + k, "frequent  text", "j") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string").repartition(23)
+    kept = Counter((r.doc_id, r.text) for r in exact_dedup.deduplicate(df).collect())
+    assert kept == Counter({(3, "same"): 1, (5, "only here"): 1, (None, "nobody"): 1, (7, None): 1, (9, " "): 1, (100, "frequent  text"): 1})
+    assert exact_dedup.deduplicate(df).columns == df.columns and exact_dedup.deduplicate(df.limit(0)).count() == 0
+    got = exact_dedup.decisions(df).where("group_size = 300").collect()
+    assert len(got) == 300 and {r.keep_id for r in got} == {100} and [r.doc_id for r in got if r.kept] == [100]
+    plan = exact_dedup.deduplicate(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_embeddings_match_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((40, 16))
