@@ -37,10 +37,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm import grouped, keyruns, scratch
+from pagewright.llm import grouped, keyruns
 from pagewright.llm import kernels as K
 
 U = np.uint64
@@ -59,20 +60,48 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, both, np.repeat([END_HASH, START_HASH], n)), first + 2 * np.arange(n + 1)
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and ends: how often in all and in the training documents."""
+#: Buckets of words (bits) and bytes of the rest: 64 bits a word.
+WORD_BITS, WORD_WIDTH, WORDS_HELD = 8, 7, 1 << 20
+
+
+def _words_sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of the different words (and ends), with their number in the training documents; the bucket -1 has the number of all tokens."""
+    held, counts, every = np.zeros(0, U), np.zeros(0, np.int64), 0
+
+    def sent() -> pa.RecordBatch:
+        bucket, ends, high, low = keyruns.runs(held, WORD_BITS, WORD_WIDTH)
+        byte, large = keyruns.small(counts, ends)
+        return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), high, low, byte, large, pa.nulls(len(bucket), pa.int64())], names=["bucket", "high", "low", "byte", "large", "n"])
+
     for batch in batches:
         offs, data = K.buffers(batch.column(1))
         learn = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         for a, b in K.slices(offs, 8 * K.SLICE):
             h, _, _, first = K.words(data, offs[a : b + 1])
-            own = np.repeat(learn[a:b], np.diff(first))
-            uniq, back = np.unique(np.append(h, END_HASH), return_inverse=True)
-            n = np.bincount(back[:-1], minlength=len(uniq))
-            c = np.bincount(back[:-1], own, len(uniq)).astype(np.int64)
-            n[back[-1]] += b - a
-            c[back[-1]] += int(learn[a:b].sum())
-            yield pa.RecordBatch.from_arrays([pa.array(uniq.view(np.int64)), pa.array(n), pa.array(c)], names=["word", "n", "c"])
+            every += len(h) + b - a
+            if learn[a:b].any():
+                own = np.append(h[np.repeat(learn[a:b], np.diff(first)) > 0], END_HASH)
+                uniq, n = np.unique(own, return_counts=True)
+                n[np.searchsorted(uniq, END_HASH)] += int(learn[a:b].sum()) - 1
+                held, back = np.unique(np.concatenate([held, uniq]), return_inverse=True)
+                counts = np.bincount(back, np.concatenate([counts, n]), len(held)).astype(np.int64)
+            if len(held) > WORDS_HELD:
+                yield sent()
+                held, counts = np.zeros(0, U), np.zeros(0, np.int64)
+    if len(held):
+        yield sent()
+    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *[pa.array([b""], pa.binary())] * 4, pa.array([every])], names=["bucket", "high", "low", "byte", "large", "n"])
+
+
+def _words_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket: different words, their number, and the number of all tokens of the parts."""
+    for table in grouped.whole(batches, ["bucket"], 64):
+        keys, _ = keyruns.keys_of(table["high"], table["low"], WORD_WIDTH)
+        bucket = table["bucket"].to_numpy().astype(U)
+        ends = keyruns.spans(table["byte"])[0]
+        words = np.unique(keys | (np.repeat(bucket, np.diff(ends)) << U(8 * WORD_WIDTH)))
+        tokens_, every = int(keyruns.counts_of(table["byte"], table["large"]).sum()), pa.compute.sum(table["n"]).as_py() or 0
+        yield pa.RecordBatch.from_arrays([pa.array([len(words)]), pa.array([tokens_]), pa.array([every])], names=["types", "tokens", "every"])
 
 
 @dataclass
@@ -95,13 +124,23 @@ class Grams:
         pair = K.mixed(h[two - 1] * U(0x9E3779B97F4A7C15) + turned[two])
         triple = K.mixed(K.mixed(h[three - 2] * U(0xD6E8FEB86659FD93) + turned[three - 1]) + h[three])
         every = keyruns.cut(np.concatenate([K.mixed(h ^ U(0x1F)), pair, triple]), bits, width)
-        keys, back = np.unique(every, return_inverse=True)
-        spot = np.zeros((2, len(h)), np.int64)
+        del pair, triple, turned, place
+        order = np.argsort(every).astype(np.int32)
+        every = every[order]
+        new = np.append(True, every[1:] != every[:-1])
+        keys = every[new]
+        back = np.empty(len(every), np.int32)
+        back[order] = np.cumsum(new, dtype=np.int32) - 1
+        del every, order, new
+        spot = np.zeros((2, len(h)), np.int32)
         spot[0, two] = back[len(h) : len(h) + len(two)]
         spot[1, three] = back[len(h) + len(two) :]
-        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        of_doc = np.concatenate([doc, doc[two], doc[three]])
-        return Grams(keys, back[: len(h)], spot[0], spot[1], first, lambda learn: np.bincount(back, learn[of_doc], len(keys)).astype(np.int64))
+
+        def seen(learn: np.ndarray) -> np.ndarray:
+            own = np.repeat(learn, np.diff(first)).astype(bool)
+            return np.bincount(back[np.concatenate([own, own[two], own[three]])], minlength=len(keys))
+
+        return Grams(keys, back[: len(h)], spot[0], spot[1], first, seen)
 
 
 @dataclass
@@ -194,17 +233,17 @@ def _sent(table: pa.Table, bits: int, width: int) -> pa.Table:
     part = table["part"][0].as_py()
     offs, data = K.buffers(table["text"])
     g = Grams.of(*tokens(data, offs), bits, width)
-    bucket, ends, keys = keyruns.runs(g.keys, bits, width)
+    bucket, ends, high, low = keyruns.runs(g.keys, bits, width)
     byte, large = keyruns.small(g.seen(table["train"].to_numpy()), ends)
     K.release()
-    return pa.table({"bucket": pa.array(bucket.astype(np.int32)), "part": pa.array(np.full(len(bucket), part, np.int32)), "keys": keys, "byte": byte, "large": large})
+    return pa.table({"bucket": pa.array(bucket.astype(np.int32)), "part": pa.array(np.full(len(bucket), part, np.int32)), "high": high, "low": low, "byte": byte, "large": large})
 
 
 def _answered(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """For each run (bucket, part, keys, byte, large) the counts of its keys over all parts."""
+    """For each run (bucket, part, high, low, byte, large) the counts of its keys over all parts."""
     for table in grouped.whole(batches, ["bucket"], 200):
         bucket = table["bucket"].to_numpy()
-        keys, ends = keyruns.keys_of(table["keys"], width)
+        keys, ends = keyruns.keys_of(table["high"], table["low"], width)
         count = keyruns.counts_of(table["byte"], table["large"])
         cut = grouped.runs([bucket])
         out = np.zeros(len(keys), np.int64)
@@ -238,12 +277,12 @@ def scores(docs: DataFrame, rule: str = TRAIN, part_tokens: int = PART_TOKENS) -
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     flagged = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     flagged = flagged.select("doc_id", F.coalesce(F.expr(f"cast({rule} as int)"), F.lit(0)).alias("train"), "text")
-    words = flagged.select("train", "text").mapInArrow(_word_counts, "word long, n long, c long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
-    every, n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0)), F.count(F.expr("case when c > 0 then 1 end"))).first()
+    words = flagged.select("train", "text").mapInArrow(_words_sent, "bucket int, high binary, low binary, byte binary, large binary, n long").repartition("bucket").sortWithinPartitions("bucket")
+    v, n, every = words.mapInArrow(_words_counted, "types long, tokens long, every long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("types", "tokens", "every"))).first()
     parts = -(-every // part_tokens) or 1
     bits, width = keyruns.shape(2 * every)
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part")
     dealt = flagged.select(part, "doc_id", "train", "text").repartition(parts, "part")
-    sent = dealt.groupBy("part").applyInArrow(lambda t: _sent(t, bits, width), "bucket int, part int, keys binary, byte binary, large binary")
+    sent = dealt.groupBy("part").applyInArrow(lambda t: _sent(t, bits, width), "bucket int, part int, high binary, low binary, byte binary, large binary")
     answers = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _answered(it, width), "part int, bucket int, byte binary, large binary")
     return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(lambda t, a: _scored(t, a, bits, width, n, v), SCORED)
