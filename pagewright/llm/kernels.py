@@ -66,6 +66,21 @@ def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
 
 
+def order_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Stable order of keys of so many bits. Sorts the upper bits with the place in the lower ones, which is much faster than argsort."""
+    n = len(keys)
+    place = max(n - 1, 1).bit_length()
+    spare = max(0, bits + place - 64)
+    packed = (keys >> U(spare)) << U(place) | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    order = (packed & U((1 << place) - 1)).astype(np.int64)
+    if spare:  # keys that agree in the upper bits, if any
+        found = keys[order]
+        if (found[1:] < found[:-1]).any():
+            order = order[np.argsort(found, kind="stable")]
+    return order
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (int64) and bytes of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

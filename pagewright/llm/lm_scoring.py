@@ -125,7 +125,7 @@ class Grams:
         triple = K.mixed(K.mixed(h[three - 2] * U(0xD6E8FEB86659FD93) + turned[three - 1]) + h[three])
         every = keyruns.cut(np.concatenate([K.mixed(h ^ U(0x1F)), pair, triple]), bits, width)
         del pair, triple, turned, place
-        order = np.argsort(every).astype(np.int32)
+        order = K.order_of(every, bits + 8 * width)
         every = every[order]
         new = np.append(True, every[1:] != every[:-1])
         keys = every[new]

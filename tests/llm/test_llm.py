@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pagewright.llm import bpe, embedding_dedup, exact_dedup, kernels, language_id, lm_scoring, near_dedup, packing, quality, substring_dedup, url_filter
@@ -357,7 +358,8 @@ def test_inserted_and_deleted_words_stay_in_a_passage(size, cut):
     mid = 64 + size // 2
     other = np.concatenate([rng.integers(0, 2**63, 70, dtype=np.uint64), base[64:mid], base[mid + cut : 64 + size] if cut else np.append(np.uint64(7), base[mid : 64 + size]), rng.integers(0, 2**63, 70, dtype=np.uint64)])
     for x, y, off in ((base, other, -6), (other, base, 6)):
-        (a, b, c), = substring_dedup.passages(x, y, off)
+        ((a, b, c),), equal = substring_dedup.passages(x, y, off)
+        assert not equal
         assert (a, c) == ((64, 70) if x is base else (70, 64)) and b == (64 + size if x is base else len(other) - 70)
 
 
@@ -391,22 +393,24 @@ def test_a_smaller_document_with_a_part_hides_no_pair(spark):
 
 def test_windows_are_the_wide_nodes_of_the_cartesian_tree():
     rng = np.random.default_rng(1)
-    h = rng.integers(0, 2**63, 500, dtype=np.uint64)
-    got = substring_dedup.centres(h, np.ones(500, bool), 46, np.uint64(5)).tolist()
-    key = kernels.mixed(h ^ np.uint64(5)) & ~np.uint64((1 << 23) - 1)
+    h = rng.integers(0, 2**63, 700, dtype=np.uint64)
+    begin, end = np.repeat([0, 500, 510], [500, 10, 190]), np.repeat([500, 510, 700], [500, 10, 190])
+    left, centre, right = substring_dedup.windows(h, begin, end, np.uint64(5))
+    key = kernels.mixed(h ^ np.uint64(5)) >> np.uint64(27)
 
     def nodes(lo, hi):
         if hi - lo < 46:
             return []
         c = lo + int(np.argmin(key[lo:hi]))
-        return [c, *nodes(lo, c), *nodes(c + 1, hi)]
+        return [(lo, c, hi - 1), *nodes(lo, c), *nodes(c + 1, hi)]
 
-    assert got == sorted(nodes(0, 500))
+    want = sorted([*nodes(0, 500), *nodes(500, 510), *nodes(510, 700)], key=lambda x: x[1])
+    assert list(zip(left.tolist(), centre.tolist(), right.tolist())) == want
 
 
 def test_cutting_keeps_the_first_copy(docs):
     whole = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    cut = substring_dedup.without_repeats(whole)
+    cut = substring_dedup.without_repeats(whole, 20_000)
     assert cut.columns == docs.columns and cut.count() == whole.count()
     before, after = {r.doc_id: r.text for r in whole.collect()}, {r.doc_id: r for r in cut.collect()}
     assert sum(before[i] != after[i].text for i in before) > 10
@@ -414,6 +418,37 @@ def test_cutting_keeps_the_first_copy(docs):
     assert substring_dedup.repeats(cut).count() == 0 or substring_dedup.repeats(cut).count() < substring_dedup.repeats(whole).count()
 
 
+def test_cutting_goes_by_row(spark):
+    """Two texts of one id, repeated rows, a null id, null texts and clashing columns."""
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    p, other, lead = text(60), text(120), text(20)
+    rows = [(1, p + " " + text(30), 0), (2, lead + " " + p, 0), (2, other, 0), (2, other, 1), (None, p, 0), (3, None, 0), (4, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumns({"__spans": F.lit("x"), "cut": F.lit(1), "part": F.lit("y")})
+    got = substring_dedup.without_repeats(df)
+    assert got.columns == df.columns and substring_dedup.without_repeats(df.limit(0)).count() == 0
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, rows[0][1]), (2, lead + " "), (2, other), (2, other), (None, p), (3, None), (4, "")])
+
+
+def test_a_passage_of_one_word_is_whole(spark):
+    rows = [(0, "x " + "the " * 90 + "y"), (1, "z " * 3 + "the " * 200 + "u"), (2, "v " + "the " * 60)]
+    got = {i: set() for i in range(3)}
+    for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id] |= set(range(r.start, r.start + r.length))
+    assert got[0] == set() and got[1] == set(range(3, 203)) and got[2] == set(range(1, 61))
+
+
+def test_many_documents_share_a_passage(spark):
+    """Rows follow the texts, not the pairs; parts and buckets of few rows."""
+    rng = random.Random(10)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    p = text(70)
+    df = spark.createDataFrame([(i, f"{text(rng.randrange(30, 60))} {p} {text(30)}") for i in range(400)], "doc_id long, text string")
+    for size in (12_000_000, 30_000):
+        got = substring_dedup.repeats(df, part_bytes=size).collect()
+        assert len(got) == 399 and {r.doc_id for r in got} == set(range(1, 400)) and all(70 <= r.length <= 72 for r in got)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
