@@ -140,7 +140,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
     room = np.repeat(first[1:], np.diff(first)) - np.arange(n)
     out = np.zeros(n, U)
     for k in range(width):
-        out[: n - k] += hashes[k:] * U(0xD6E8FEB86659FD93 + 2 * k * 0x1234567)
+        out[: max(n - k, 0)] += hashes[k:] * U(0xD6E8FEB86659FD93 + 2 * k * 0x1234567)
         out = (out << U(9)) | (out >> U(55))
     return mixed(out), room >= width
 

@@ -327,6 +327,15 @@ def components_of(docs: DataFrame, width: int = 5, percent: int = 80, id_column:
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document (the smallest id) of every near-duplicate group."""
-    dropped = scratch.written(components_of(docs, width, percent).where("not kept").select("doc_id"), "dropped")
-    return scratch.without(docs, dropped)
+    """``docs`` with one row of every near-duplicate group: one with the smallest id (null ids last).
+
+    Decided by row: a row is known by a hash of its id and text, so rows of one id with different texts are
+    documents of their own, rows with a null id are compared like others, and of repeated rows one stays.
+    """
+    key = F.xxhash64("doc_id", "text")
+    found = scratch.written(components_of(docs.select(key.alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias("key"), "component_id"), "found")
+    member = found.groupBy("key", "component_id").agg(F.count(F.lit(1)).alias("n"))
+    member = scratch.written(member.join(docs.select(key.alias("key"), "doc_id").dropDuplicates(["key"]), "key"), "member")
+    first = member.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("m")).select(F.col("m.key").alias("key"), F.lit(True).alias("first"))
+    decided = scratch.written(member.join(first, "key", "left").select("key", F.coalesce("first", F.lit(False)).alias("kept"), "n"), "decided")
+    return scratch.kept_rows(docs, key, decided)

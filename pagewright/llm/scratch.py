@@ -91,18 +91,19 @@ def maybe_in(ids: DataFrame, column: str) -> "callable":
     return lambda column: probe(F.xxhash64(column.cast("long")))
 
 
-def without(docs: DataFrame, dropped: DataFrame, column: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose id is in ``dropped``.
+#: Buckets of keys that are broadcast: so many short rows at most, whatever the input.
+MARKS = 1 << 18
 
-    Rows that are surely kept bypass the join, so their texts aren't shuffled.
-    """
-    if not dropped.take(1):
-        return docs
-    marked = docs.withColumn("__maybe", maybe_in(dropped, column)(F.col(column)))
-    sure = marked.where("not __maybe").drop("__maybe")
-    rest = marked.where("__maybe").drop("__maybe").join(dropped.select(column).distinct(), column, "left_anti")
-    return sure.unionByName(rest.select(sure.columns))
 
+def kept_rows(docs: DataFrame, key: Column, decided: DataFrame) -> DataFrame:
+    """One row of each key that ``decided`` (key, kept, n) keeps; n is how many rows have the key.
 
-def column_named(df: DataFrame, name: str) -> Column:
-    return df[name] if name in df.columns else F.lit(None)
+    Rows whose key falls into no bucket of a dropped or repeated one bypass the join, so their texts aren't shuffled.
+    """
+    mark = F.pmod(F.col("key"), F.lit(MARKS)).cast("int").alias("mark")
+    marks = written(decided.where("not kept or n > 1").select(mark).distinct(), "marks")
+    rows = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row")).withColumn("mark", mark)
+    alone = rows.join(F.broadcast(marks), "mark", "left_anti").select("row.*")
+    keepers = decided.where("kept").withColumn("mark", mark).join(F.broadcast(marks), "mark", "left_semi").select("key")
+    some = rows.join(F.broadcast(marks), "mark", "left_semi").join(keepers, "key").dropDuplicates(["key"])
+    return alone.unionByName(some.select("row.*"))

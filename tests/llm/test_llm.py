@@ -449,6 +449,17 @@ def test_many_documents_share_a_passage(spark):
         assert len(got) == 399 and {r.doc_id for r in got} == set(range(1, 400)) and all(70 <= r.length <= 72 for r in got)
 
 
+def test_near_duplicates_go_by_row(spark):
+    rng = random.Random(11)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    p, other = text(90), text(50)
+    rows = [(3, p), (5, p + " more"), (5, other), (None, p), (None, text(40)), (7, None), (8, ""), (8, ""), (9, "one"), (9, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"__maybe": F.lit(1), "key": F.lit("x"), "kept": F.lit("y")})
+    got = near_dedup.deduplicate(df)
+    assert got.columns == df.columns and near_dedup.deduplicate(df.limit(0)).count() == 0
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(3, p), (5, other), rows[4], (7, None), (8, ""), (9, "one")])
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
