@@ -25,13 +25,23 @@ class Cell:
         return "".join((unicodedata.normalize("NFKC", self.text) if nfkc else self.text).split())
 
 
+#: Spans beyond these count as these, as in HTML itself; they come from untrusted pages.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+
+
 @dataclass
 class Grid:
     rows: list[list[Cell]] = field(default_factory=list)
     tabled: bool = False
 
     def placed(self) -> list[dict[int, tuple[Cell, int]]]:
-        """For each row, the cell and its own row at every column; below the rows, what spans hang over."""
+        """For each row, the cell and its own row at every column; built once for rows that stay as they are."""
+        key = [[(id(c), c.cols, c.rows) for c in r] for r in self.rows]
+        if getattr(self, "_key", None) != key:
+            self._key, self._placed = key, self._place()
+        return self._placed
+
+    def _place(self) -> list[dict[int, tuple[Cell, int]]]:
         at: list[dict[int, tuple[Cell, int]]] = [{} for _ in self.rows]
         for r, cells in enumerate(self.rows):
             col = 0
@@ -77,7 +87,7 @@ class _Reader(HTMLParser):
         elif tag in ("td", "th") and self.grid.rows:
             spans = dict(attrs)
             n = [int(v) if (v := (spans.get(k) or "1").strip()).isascii() and v.isdigit() and int(v) else 1 for k in ("colspan", "rowspan")]
-            self.cell = Cell("", n[0], n[1], tag)
+            self.cell = Cell("", min(n[0], MOST_COLUMNS), min(n[1], MOST_ROWS), tag)
             self.grid.rows[-1].append(self.cell)
 
     def handle_endtag(self, tag):

@@ -63,7 +63,7 @@ def title_level(vendor: str, label: Column) -> Column:
     """Level that a dolphin label carries; null elsewhere."""
     if vendor != "dolphin":
         return F.lit(None).cast("int")
-    return F.when(label == "catalogue", F.lit(1)).when(label.rlike("^sec_[1-9][0-9]*$"), F.expr("1") * F.regexp_extract(label, "^sec_([0-9]+)$", 1).try_cast("int"))
+    return F.when(label == "catalogue", F.lit(1)).when(label.rlike("^sec_[1-9][0-9]*$"), F.regexp_extract(label, "^sec_([0-9]+)$", 1).try_cast("int"))
 
 
 def retyped(kind: Column, source_label: Column) -> Column:

@@ -22,8 +22,9 @@ def continuation_pairs(blocks: DataFrame) -> DataFrame:
 
     The scan stops at titles and equations. Instead of a theta join, three pointers
     per row: the next eligible text, the next one without a leading digit, the next stop.
+    The order is reversed, as a frame that grows is kept up row by row and one that shrinks isn't.
     """
-    later = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("doc_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     body = F.col("type").isin("text", "list_item")
     marked = blocks.select(
         "doc_id", "pos",
@@ -32,7 +33,7 @@ def continuation_pairs(blocks: DataFrame) -> DataFrame:
         F.coalesce(text.starts_with_digit(F.col("content")), F.lit(False)).alias("digit"),
         (F.col("type").contains("equation") | F.col("type").contains("title")).alias("stop"),
     )
-    first = lambda cond: F.first(F.when(cond, F.col("pos")), ignorenulls=True).over(later)
+    first = lambda cond: F.last(F.when(cond, F.col("pos")), ignorenulls=True).over(later)
     seen = marked.select("doc_id", "pos", "left", "digit", first(F.col("right")).alias("any"), first(F.col("right") & ~F.col("digit")).alias("plain"), first(F.col("stop")).alias("stop"))
     target = F.when(F.col("digit"), F.col("plain")).otherwise(F.col("any"))
     return seen.where(F.col("left")).select("doc_id", F.col("pos").alias("src"), target.alias("tgt"), "stop").where("tgt is not null and (stop is null or tgt < stop)").drop("stop")

@@ -23,7 +23,8 @@ def ranges(items: DataFrame, size: int = 50, overlap: int = 1, search: int = 5)
     # Candidates come by equality on (doc_id, page), not by a range join.
     near = pages.where("page < hi").select("doc_id", F.col("page").alias("from"), "lo", "hi", F.explode(F.sequence(F.greatest(F.col("lo"), F.col("page") + size - search), F.least(F.col("hi"), F.col("page") + size + search))).alias("page")).where("page between greatest(lo, `from` + %d) and least(hi, `from` + %d)" % (size - search, size + search))
     best = near.join(pages.select("doc_id", "page", "n"), ["doc_id", "page"]).groupBy("doc_id", "from").agg(F.max_by("page", F.struct("n", -F.col("page"))).alias("best"))
-    later = Window.partitionBy("doc_id").orderBy("page").rangeBetween(size + 1, Window.unboundedFollowing)
+    # Pages from page + size + 1 on, in reversed order: a growing frame is kept up row by row.
+    later = Window.partitionBy("doc_id").orderBy(F.desc("page")).rangeBetween(Window.unboundedPreceding, -(size + 1))
     beyond = pages.select("doc_id", F.col("page").alias("from"), "lo", "hi", F.coalesce(F.min("page").over(later), F.col("hi")).alias("beyond"))
     step = beyond.where("`from` < hi").join(best, ["doc_id", "from"], "left").select("doc_id", F.col("from").alias("page"), F.coalesce("best", "beyond").alias("next"))
     borders = follow(step, pages.where("page = lo").select("doc_id", "page"))

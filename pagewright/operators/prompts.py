@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +58,39 @@ def level_answers(responses: DataFrame, column: str = "response") -> DataFrame:
     return lines.select("*", number(1).alias("id"), number(2).alias("level")).where("id is not null and level >= 0").drop("line")
 
 
+#: What stands for an answer that is no JSON (a fixed value).
+NO_JSON = "!!LLM_ERROR!!"
+
+
+def json_part(response: Column) -> Column:
+    """The JSON text of an answer: what a ``json`` fence holds, else from the first ``[`` to the last ``]``, else all."""
+    fence = r"(?s)```json\n(.*?)\n```"
+    start, end = F.locate("[", response), F.length(response) - F.locate("]", F.reverse(response)) + 1
+    listed = (start > 0) & (end <= F.length(response)) & (end > start)
+    return F.when(response.rlike(fence), F.regexp_extract(response, fence, 1)).when(listed, F.substr(response, start, end - start + 1)).otherwise(response)
+
+
+def json_answers(responses: DataFrame, column: str = "response") -> DataFrame:
+    """``responses`` with the JSON text of each answer as ``json``, or ``NO_JSON`` if it can't be parsed.
+
+    With ``responders.answered(..., accept=is_json)`` such an answer is asked for again first.
+    """
+    part = json_part(F.coalesce(F.col(column), F.lit("")))
+    return responses.withColumn("json", part).withColumn("json", F.when(F.try_parse_json("json").isNotNull(), F.col("json")).otherwise(F.lit(NO_JSON)))
+
+
+def is_json(response: str) -> bool:
+    """Whether the JSON part of one answer can be parsed; for a responder's ``accept``."""
+    fenced = re.search(r"```json\n(.*?)\n```", response, re.DOTALL)
+    start, end = response.find("["), response.rfind("]")
+    part = fenced[1] if fenced else response[start : end + 1] if 0 <= start < end else response
+    try:
+        json.loads(part)
+    except ValueError:
+        return False
+    return True
+
+
 def training_case(image: Column, prompt: Column, answer: Column) -> Column:
     """One conversation of a training set as a struct."""
     turn = lambda who, value: F.struct(F.lit(who).alias("from"), value.alias("value"))

@@ -17,10 +17,12 @@ def replayed(prompts: DataFrame, record: DataFrame) -> DataFrame:
     return prompts.join(record.select("doc_id", "task", "chunk", "response"), ["doc_id", "task", "chunk"], "left").withColumn("response", F.coalesce("response", F.lit("")))
 
 
-def answered(prompts: DataFrame, client: Callable[[], Callable[[str], str]]) -> DataFrame:
+def answered(prompts: DataFrame, client: Callable[[], Callable[[str], str]], limit: int = PROMPT_LIMIT, tries: int = TRIES, accept: Callable[[str], bool] | None = None) -> DataFrame:
     """Answers of a client; ``client`` is called once a task and gives a function prompt -> text.
 
-    A failing call is tried again; after the last try the answer is empty.
+    A call that fails, or whose answer ``accept`` refuses, is tried again; after the last try the answer is
+    empty. Further columns: ``tries`` that were made, the last ``error`` (null if an answer was accepted) and
+    whether the prompt was ``cut`` to ``limit`` characters.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -28,17 +30,21 @@ def answered(prompts: DataFrame, client: Callable[[], Callable[[str], str]]) ->
         for batch in batches:
             out = []
             for prompt in batch.column("prompt").to_pylist():
-                text = ""
-                for _ in range(TRIES):
+                text, error, made = "", None, 0
+                for made in range(1, tries + 1):
                     try:
-                        text = call((prompt or "")[:PROMPT_LIMIT])
+                        got = call((prompt or "")[:limit])
+                        error = None if accept is None or accept(got) else "answer refused"
+                    except Exception as e:  # noqa: BLE001  whatever the client raises counts as a failed try
+                        error = f"{type(e).__name__}: {e}"
+                    if error is None:
+                        text = got
                         break
-                    except Exception:  # noqa: BLE001  whatever the client raises counts as a failed try
-                        continue
-                out.append(text)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "response"])
+                out.append((text, made, error, len(prompt or "") > limit))
+            more = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.string(), pa.int32(), pa.string(), pa.bool_()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "response", "tries", "error", "cut"])
 
-    return prompts.mapInArrow(ask, ", ".join(f"`{n}` {t}" for n, t in prompts.dtypes) + ", response string")
+    return prompts.mapInArrow(ask, ", ".join(f"`{n}` {t}" for n, t in prompts.dtypes) + ", response string, tries int, error string, cut boolean")
 
 
 def stub(levels: int = 3) -> Callable[[], Callable[[str], str]]:

@@ -39,8 +39,10 @@ def footnote_counts(blocks: DataFrame) -> DataFrame:
     """doc_id, pos, notes: length of the run of footnotes (captions count too) after each table on its page."""
     w = Window.partitionBy("doc_id", "page").orderBy("pos")
     note = F.col("type").isin("table_footnote", *CAPTION_TYPES)
-    stop = F.first(F.when(~note, F.col("pos")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    after = F.count(F.lit(1)).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # What follows, in reversed order: growing frames are kept up row by row.
+    later = Window.partitionBy("doc_id", "page").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    stop = F.last(F.when(~note, F.col("pos")), ignorenulls=True).over(later)
+    after = F.count(F.lit(1)).over(later)
     ranked = blocks.select("doc_id", "page", "pos", "type", stop.alias("stop"), after.alias("after"), F.row_number().over(w).alias("rn"))
     own = ranked.where("type = 'table'")
     at = ranked.select("doc_id", F.col("pos").alias("stop"), F.col("rn").alias("stop_rn"))
@@ -49,12 +51,13 @@ def footnote_counts(blocks: DataFrame) -> DataFrame:
 
 def texts_around(blocks: DataFrame) -> DataFrame:
     """doc_id, pos, and whether a text comes before or after each table on its page."""
-    w = Window.partitionBy("doc_id", "page").orderBy("pos")
+    on_page = Window.partitionBy("doc_id", "page")
+    before, after = (on_page.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("pos"), F.desc("pos")))
     body = F.col("type").isin("text", "list_item", "list").cast("int")
     seen = blocks.select(
         "doc_id", "pos", "type",
-        (F.coalesce(F.max(body).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1).alias("text_before"),
-        (F.coalesce(F.max(body).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)) == 1).alias("text_after"),
+        (F.coalesce(F.max(body).over(before), F.lit(0)) == 1).alias("text_before"),
+        (F.coalesce(F.max(body).over(after), F.lit(0)) == 1).alias("text_after"),
     )
     return seen.where("type = 'table'").drop("type")
 
@@ -154,18 +157,17 @@ def cell_flags(response: pa.Array) -> pa.Array:
     return pa.array([v if isinstance(v, list) and all(type(x) is int and -(2**31) <= x < 2**31 for x in v) else None for v in found], pa.list_(pa.int32()))
 
 
-def chains(tables: DataFrame, rounds: int = 64) -> DataFrame:
+def chains(tables: DataFrame) -> DataFrame:
     """(doc_id, id, base): components of tables (doc_id, id, pos, table_merge) over their links, by the first in reading order.
 
-    Labels spread along links and jump; a chain of n tables takes about log2(n) rounds.
+    Labels spread along links and jump until none changes; a chain of n tables takes about log2(n) rounds.
     """
     base = tables.select("doc_id", "id", "pos", "table_merge")
     link = base.join(base.select("doc_id", F.col("id").alias("table_merge")), ["doc_id", "table_merge"], "left_semi").where("table_merge != id")
     edges = link.select("doc_id", F.explode(F.array(F.struct(F.col("id").alias("a"), F.col("table_merge").alias("b")), F.struct(F.col("table_merge").alias("a"), F.col("id").alias("b")))).alias("e")).select("doc_id", "e.a", "e.b").distinct()
-    # Documents are small graphs: adjacency is folded per document on the JVM side.
     order = base.select("doc_id", "id", "pos").join(edges.select("doc_id", F.col("a").alias("id")).distinct(), ["doc_id", "id"], "left_semi")
     label = order.select("doc_id", "id", F.struct("pos", "id").alias("label"))
-    for _ in range(rounds):
+    while True:
         near = edges.join(label.select("doc_id", F.col("id").alias("b"), "label"), ["doc_id", "b"]).groupBy("doc_id", F.col("a").alias("id")).agg(F.min("label").alias("near"))
         new = label.join(near, ["doc_id", "id"], "left").select("doc_id", "id", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("old"))
         jump = new.select("doc_id", F.col("id").alias("root"), F.col("label").alias("over"))

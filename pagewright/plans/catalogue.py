@@ -319,11 +319,11 @@ def _(s, d):
 def _level_answers(s, d):
     e = D.table(s, d, "events")
     line = F.when(C("event_id") % 7 == 0, F.lit("noise")).otherwise(F.concat(F.lit("<|id|>"), (C("event_id") % 40).cast("string"), F.lit("<|level|>"), (C("event_id") % 6 - 1).cast("string")))
-    rows = e.select((C("event_id") % 100).alias("doc_id"), F.floor(C("event_id") / 100).cast("int").alias("range_sum"), F.struct("event_id", line.alias("l")).alias("l")).where("range_sum < 40")
+    rows = e.select((C("event_id") % 100).alias("doc_id"), F.floor(C("event_id") / 100).cast("int").alias("range_sum"), F.struct("event_id", line.alias("l")).alias("l"))
     return prompts.level_answers(rows.groupBy("doc_id", "range_sum").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["l"]), "\n").alias("response")))
 
 
-@query("str_05_level_answers", "SELECT event_id % 100 AS doc_id, CAST(event_id // 100 AS INTEGER) AS range_sum, CAST(row_number() OVER (PARTITION BY event_id % 100, event_id // 100 ORDER BY event_id) - 1 AS INTEGER) AS line_no, CAST(event_id % 40 AS INTEGER) AS id, CAST(event_id % 6 - 1 AS INTEGER) AS level FROM events WHERE event_id // 100 < 40 QUALIFY event_id % 7 <> 0 AND event_id % 6 >= 1")
+@query("str_05_level_answers", "SELECT event_id % 100 AS doc_id, CAST(event_id // 100 AS INTEGER) AS range_sum, CAST(row_number() OVER (PARTITION BY event_id % 100, event_id // 100 ORDER BY event_id) - 1 AS INTEGER) AS line_no, CAST(event_id % 40 AS INTEGER) AS id, CAST(event_id % 6 - 1 AS INTEGER) AS level FROM events QUALIFY event_id % 7 <> 0 AND event_id % 6 >= 1")
 def _(s, d):
     return _level_answers(s, d)
 
@@ -429,6 +429,21 @@ def _(s, d):
     return responders.log_records(responders.replayed(asked, record)).select("doc_id", "chunk", "file", "response")
 
 
+_JSON_RESPONSE = """CASE event_id % 6 WHEN 0 THEN 'Here:' || chr(10) || '```json' || chr(10) || '[1, ' || event_id || ']' || chr(10) || '```' || chr(10) || 'or [2]' WHEN 1 THEN 'So [' || user_id || ', [3]] it is' WHEN 2 THEN props WHEN 3 THEN '] none [' WHEN 4 THEN 'Sorry' ELSE '[1, ' || chr(10) || '{"a": "' || event_type || '"}]' END"""
+
+
+@query(
+    "str_07_json_answers",
+    f"""WITH r AS (SELECT event_id, {_JSON_RESPONSE} AS response FROM events),
+    p AS (SELECT event_id, CASE WHEN regexp_matches(response, '```json\\n(.*?)\\n```', 's') THEN regexp_extract(response, '```json\\n(.*?)\\n```', 1, 's')
+      WHEN strpos(response, '[') > 0 AND strpos(response, ']') > 0 AND length(response) - strpos(reverse(response), ']') + 1 > strpos(response, '[')
+      THEN substr(response, strpos(response, '['), length(response) - strpos(reverse(response), ']') + 2 - strpos(response, '[')) ELSE response END AS part FROM r)
+    SELECT event_id, CASE WHEN json_valid(part) THEN part ELSE '!!LLM_ERROR!!' END AS json FROM p""",
+)
+def _(s, d):
+    return prompts.json_answers(D.table(s, d, "events").select("event_id", F.expr(_JSON_RESPONSE).alias("response"))).select("event_id", "json")
+
+
 @query("udf_responder_titles")
 def _(s, d):
     asked = prompts.prompts(candidates.title_candidates(D.doc_blocks(s, d)), "title")

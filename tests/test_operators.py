@@ -6,7 +6,7 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from pagewright.functions import html_grid, text
-from pagewright.operators import evaluate, reconcile, tables, tree
+from pagewright.operators import candidates, chunking, evaluate, prompts, reconcile, responders, tables, tree
 from pagewright.sources import readers, sinks
 from pagewright.streaming import resume
 
@@ -141,3 +141,44 @@ def test_streaming_processes_each_file_once(spark, tmp_path):
     (tmp_path / "in" / "b.json").write_text("{}")
     run()
     assert sorted(r.doc_id for r in spark.read.json(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_responder_reports_tries_errors_and_cuts(spark):
+    def client():
+        calls = {}
+
+        def call(prompt):
+            calls[prompt] = calls.get(prompt, 0) + 1
+            if prompt == "fails" or prompt == "late" and calls[prompt] < 3:
+                raise RuntimeError("down")
+            return "[1" if prompt == "no json" else f"[{len(prompt)}]"
+
+        return call
+
+    asked = spark.createDataFrame([(1, "fails"), (2, "late"), (3, "no json"), (4, "x" * 20), (5, None)], "doc_id long, prompt string").coalesce(1)
+    got = {r.doc_id: (r.response, r.tries, r.error, r.cut) for r in responders.answered(asked, client, limit=10, tries=4, accept=prompts.is_json).collect()}
+    assert got == {1: ("", 4, "RuntimeError: down", False), 2: ("[4]", 3, None, False), 3: ("", 4, "answer refused", False), 4: ("[10]", 1, None, True), 5: ("[0]", 1, None, False)}
+
+
+def test_json_part_of_an_answer(spark):
+    rows = ["```json\n{\"a\": [1]}\n``` [2]", "x [1, [2]] y", "[", "][", "{}", "plain", "", None]
+    got = [r.json for r in prompts.json_answers(spark.createDataFrame([(r,) for r in rows], "response string")).collect()]
+    assert got == ['{"a": [1]}', "[1, [2]]", *[prompts.NO_JSON] * 2, "{}", *[prompts.NO_JSON] * 3]
+    assert [prompts.is_json(r or "") for r in rows] == [g != prompts.NO_JSON for g in got]
+
+
+def test_spans_are_bounded():
+    g = html_grid.parse('<table><tr><td colspan="1000000000" rowspan="99999999">a</td></tr><tr><td>b</td></tr></table>')
+    assert g.total_columns() == 1001 and g.rows[0][0].rows == 65534
+
+
+def test_a_long_document_is_scanned_once(spark):
+    """One document of 40,000 blocks: pairs, notes and chunk borders in seconds, not minutes."""
+    import time
+
+    kind = F.when(F.col("pos") % 11 == 0, "title").when(F.col("pos") % 7 == 0, "table").otherwise("text")
+    blocks = spark.range(40_000).select(F.lit(1).alias("doc_id"), F.col("id").alias("pos"), F.floor(F.col("id") / 40_000).cast("int").alias("page"), F.col("id").alias("x")).withColumn("type", kind).withColumn("content", F.concat(F.lit("words "), F.col("x").cast("string")))
+    began = time.time()
+    assert candidates.continuation_pairs(blocks).count() > 0 and tables.footnote_counts(blocks).count() > 5000 and tables.texts_around(blocks).count() > 5000
+    assert chunking.ranges(spark.range(20_000).select(F.lit(1).alias("doc_id"), (F.col("id") * 3).cast("int").alias("page"))).count() > 500
+    assert time.time() - began < 60
