@@ -114,12 +114,14 @@ def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    base = vectors.select(vectors[id_column].cast("long").alias("vec_id"), vectors[vector_column].cast("array<double>").alias("v"))
+    # Floats stay floats on their way (half the bytes); cosines are taken in double precision.
+    kind = "float" if vectors.schema[vector_column].dataType.simpleString() == "array<float>" else "double"
+    base = vectors.select(vectors[id_column].cast("long").alias("vec_id"), vectors[vector_column].cast(f"array<{kind}>").alias("v"))
     fit = F.expr("vec_id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x != 0)")
     base = base.withColumn("v", F.when(fit, F.col("v")))
     classes = scratch.written(base.where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least")).select(F.xxhash64("v").alias("cid"), "n", "v", "least"), "classes")
     signs, tables = shape(classes.count(), threshold)
-    signed = scratch.written(classes.select("cid", "n", "v").mapInArrow(lambda it: _signed(it, signs, tables), "cid long, n long, v array<double>, buckets array<int>"), "signed")
+    signed = scratch.written(classes.select("cid", "n", "v").mapInArrow(lambda it: _signed(it, signs, tables), f"cid long, n long, v array<{kind}>, buckets array<int>"), "signed")
     rows = signed.select("cid", F.size("v").alias("dim"), F.posexplode("buckets").alias("t", "bucket"))
     large = rows.groupBy("t", "dim", "bucket").agg(F.count(F.lit(1)).alias("m")).where(f"m > {BLOCK}")
     full = signed.select("cid", "n", "v", "buckets", F.size("v").alias("dim"), F.posexplode("buckets").alias("t", "bucket"))

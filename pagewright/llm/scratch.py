@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
 
 
 #: Rows of an Arrow batch: texts may be long, and both sides of the Python worker hold some batches.
@@ -44,9 +45,13 @@ def ship(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, or a new one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="pagewright-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="pagewright-")
+        found = _own[app]
     return found.rstrip("/")
 
 

@@ -261,6 +261,26 @@ def test_quality_on_held_out_rows(spark, docs):
     assert quality.scores(docs.limit(0), labels).count() == 0
 
 
+def test_discriminant_equals_a_plain_computation():
+    """Tempered Gaussian log densities with shrunken covariances, by determinants and inverses instead of Cholesky factors."""
+    rng = np.random.default_rng(5)
+    d = len(quality.NAMES)
+    x = {c: rng.standard_normal((60 + 200 * c, d)) * (1 + c) + c for c in (0, 1)}
+    model = quality.fitted({c: np.concatenate([[len(v)], v.sum(0), (v.T @ v).ravel()]) for c, v in x.items()})
+    pooled = sum(len(v) * np.cov(v.T, bias=True) for v in x.values()) / sum(map(len, x.values()))
+
+    def log_density(row, c):
+        alpha = max(0.1, d / (d + len(x[c])))
+        s = (1 - alpha) * np.cov(x[c].T, bias=True) + alpha * pooled
+        s = 0.9 * s + 0.1 * np.diag(np.diag(s)) + 1e-3 * np.eye(d)
+        gap = row - x[c].mean(0)
+        return np.log(len(x[c]) / 320) - 0.5 * (np.linalg.slogdet(s)[1] + gap @ np.linalg.inv(s) @ gap)
+
+    rows = rng.standard_normal((40, d)) * 2
+    want = [1 / (1 + np.exp(-0.06 * (log_density(r, 1) - log_density(r, 0)))) for r in rows]
+    assert np.allclose(model.score(rows), want, atol=1e-9)
+
+
 def test_lm_counts_match_a_loop(docs):
     rows = pairs(docs)
     train = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 != 2
