@@ -4,6 +4,11 @@ Stages, in order: the quality classifier drops what it rejects; of equal texts t
 id stays; of near-duplicate groups one document stays; repeated passages are cut from all but
 the first document that has them; the rest is packed into token sequences. All but the last
 return the columns of ``documents``.
+
+Defined results: rows are kept or dropped one by one, never by id alone; null texts count as empty
+and are scored and compared like others; null ids come last where the smallest id stays, and their
+texts are not cut; of rows repeated with id and text one stays; further columns, whatever their
+names, are passed on. An empty table gives no rows.
 """
 
 from __future__ import annotations
