@@ -488,3 +488,38 @@ def test_pipeline_stages(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert 0 < got.select("doc_id").distinct().count() < d.count()
     assert got.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).where("`sum(length)` != `max(doc_tokens)`").count() == 0
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Repeated ids with other texts, null ids and texts, repeated rows, clashing columns: what must stay, stage by stage."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    good = lambda n=60: " ".join("".join(rng.choices("etaoinshr", k=rng.randint(2, 8))) for _ in range(n)).capitalize() + "."
+    bad = lambda: " ".join(rng.choice(["###", "$$", "buy"]) for _ in range(60))
+    rows = [(i, good() if i % 4 else bad()) for i in range(200)]
+    labels = [(i, int(i % 4 > 0), 0) for i in range(200)]
+    same, near, passage = good(), good(120), good(70)
+    first, second = f"{good(40)} {passage} {good(40)}", f"{good(50)} {passage} {good(50)}"
+    odd = [(303, same), (305, same), (305, good()), (305, near), (306, near + " end"), (None, same), (None, good()), (307, good()), (308, first), (309, second)]
+    odd += [(307, odd[7][1])]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string").withColumns({"__maybe": F.lit("m"), "key": F.lit(1), "n_chars": F.length("text").cast("long")})
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == df.columns
+        docs.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        kept.append(Counter((r.doc_id, r.text) for r in docs.collect()))
+    assert kept[0] == Counter([r for r in rows if r[0] % 4] + odd)
+    exact = kept[0] - Counter([(305, same), (None, same), (307, odd[7][1])])
+    assert kept[1] == exact
+    assert kept[2] == exact - Counter([(306, near + " end")])
+    cut = second.replace(passage + " ", "")
+    assert kept[3] == kept[2] - Counter([(309, second)]) + Counter([(309, cut)])
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {p.doc_id for p in pieces} == {r[0] for r in kept[3]}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
