@@ -32,7 +32,7 @@ from pagewright.llm import kernels as K
 U = np.uint64
 BITS = 14
 SWITCH = 8.0
-#: Script of a character by the range of its first UTF-8 byte (E0-EF: with its second byte).
+#: Script of a character by its first UTF-8 byte alone, so all that begins with E0 (Thai too) is indic and E1 (Georgian too) latin.
 SCRIPTS = ["none", "latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "indic", "thai", "georgian", "kana", "han", "hangul", "other"]
 _LEAD = np.zeros(256, np.int64)
 _LEAD[65:91] = _LEAD[97:123] = 1

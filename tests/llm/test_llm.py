@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -94,8 +95,10 @@ def test_digest_collisions_are_confirmed(tmp_path):
     path = str(tmp_path / "r.bin")
     url_filter.DigestArray.write(path, [("a.b/", True), ("c.d/", False)])
     array = url_filter.DigestArray(path)
-    array.keys = np.full(2, array.keys[0])  # as if all digests were equal
-    assert array.stored(array.find([b"a.b/"])[0]) == b"a.b/" if array.find([b"a.b/"])[0] >= 0 else True
+    for text in (b"a.b/", b"c.d/", b"not stored/"):  # as if all digests were that of the text
+        array.keys = np.full(2, xxhash.xxh64_intdigest(text), np.uint64)
+        k = int(array.find([text])[0])
+        assert (array.stored(k) if k >= 0 else None) == (None if text == b"not stored/" else text)
 
 
 @pytest.mark.parametrize("width", [2, 5])
