@@ -2,17 +2,19 @@
 
 Training counts hashed byte trigrams of padded words for each language over all
 training documents (sums of fixed-size tables, added up by Spark), and how often a
-language's words are in each script. A word's candidates are the languages that use
-its script; its scores are smoothed trigram log-probabilities. Viterbi over the words
+language's words are in each script (by code point). A word's candidates are the
+languages that have at least a thousandth of their words in its script, others can't be
+chosen; its scores are smoothed trigram log-probabilities. Viterbi over the words
 of a document, with a penalty for each switch, labels spans of mixed text. The
 document gets the language with most labelled bytes; the score is its share of them,
 weighed with the word-score margin.
 
-Viterbi runs over all documents of a slice at once, one step for the k-th words of
-all documents, so no Python code runs per word.
+Viterbi runs over all documents of a slice at once, in blocks of 512 words: one step for
+the k-th words of all blocks and one for the k-th blocks of all documents, so no Python
+code runs per word, in long texts neither.
 
-Defined results: null texts and texts without a letter give ``und`` and 0; words in a
-script no language uses score alike for all; without training rows all is ``und``;
+Defined results: null texts and texts without a letter give ``und`` and 0; for words in a
+script that no language uses all are candidates; without training rows all is ``und``;
 rows are judged one by one, so repeats, null ids and any length need no care; extra
 columns aren't read.
 """
@@ -32,22 +34,29 @@ from pagewright.llm import kernels as K
 U = np.uint64
 BITS = 14
 SWITCH = 8.0
-#: Script of a character by its first UTF-8 byte alone, so all that begins with E0 (Thai too) is indic and E1 (Georgian too) latin.
-SCRIPTS = ["none", "latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "indic", "thai", "georgian", "kana", "han", "hangul", "other"]
-_LEAD = np.zeros(256, np.int64)
-_LEAD[65:91] = _LEAD[97:123] = 1
-_LEAD[0xC3:0xCA] = 1
-_LEAD[0xCD:0xD0] = 2
-_LEAD[0xD0:0xD5] = 3
-_LEAD[0xD5] = 4
-_LEAD[0xD6:0xD8] = 5
-_LEAD[0xD8:0xDC] = 6
-_LEAD[0xE0] = 7
-_LEAD[0xE1] = 1
-_LEAD[0xE3] = 10
-_LEAD[0xE4:0xEA] = 11
-_LEAD[0xEA:0xEE] = 12
-_LEAD[0xF0:0xF5] = 13
+FLOOR = -50.0  # of a word's part in the margin, so a word in a script that isn't the language's doesn't decide alone
+BLOCK = 512  # words of a document that are stepped through one after the other
+#: Scripts, and the code points (first, last) of their letters. Of a word's scripts the last one named here counts.
+RANGES = {
+    "latin": "41-5A 61-7A AA-AA BA-BA C0-D6 D8-F6 F8-2AF 1D00-1DBF 1E00-1EFF 2C60-2C7F A722-A7FF AB30-AB6F FB00-FB06 FF21-FF3A FF41-FF5A",
+    "greek": "370-3FF 1F00-1FFF",
+    "cyrillic": "400-52F 1C80-1C8F 2DE0-2DFF A640-A69F",
+    "armenian": "531-58F FB13-FB17",
+    "hebrew": "591-5FF FB1D-FB4F",
+    "arabic": "600-6FF 750-77F 870-8FF FB50-FDFF FE70-FEFE",
+    "indic": "900-DFF A8E0-A8FF",
+    "thai": "E00-E7F",
+    "georgian": "10A0-10FF 1C90-1CBF 2D00-2D2F",
+    "han": "2E80-2FDF 3005-3007 3400-4DBF 4E00-9FFF F900-FAFF 20000-323AF",
+    "kana": "3041-30FF 31F0-31FF FF66-FF9F",
+    "hangul": "1100-11FF 3130-318F A960-A97F AC00-D7FF FFA0-FFDC",
+    "other": "700-74F 780-86F E80-109F 1200-1C7F 2D30-2DDF 3100-312F A000-A4CF A500-A63F A800-A82F A840-A8DF 10000-1CFFF",
+}
+SCRIPTS = ["none", *RANGES]
+_SPANS = sorted((*(int(x, 16) for x in span.split("-")), k) for k, name in enumerate(RANGES, 1) for span in RANGES[name].split())
+_FIRST, _LAST, _SCRIPT = (np.array(column) for column in zip(*_SPANS, strict=True))
+
+
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -56,6 +65,29 @@ def has_letter(text: str) -> bool:
     return found is not None and (found[0].isalpha() or any(c.isalpha() for c in text[found.start() :]))
 
 
+def script_of(points: np.ndarray) -> np.ndarray:
+    """Script (place in SCRIPTS) of code points; 0 outside all ranges."""
+    at = np.maximum(np.searchsorted(_FIRST, points, "right") - 1, 0)
+    return np.where((points >= _FIRST[at]) & (points <= _LAST[at]), _SCRIPT[at], 0)
+
+
+_ASCII = np.concatenate([script_of(np.arange(128)), np.zeros(128, np.int64)])
+
+
+def scripts(data: np.ndarray) -> np.ndarray:
+    """Script of the character that begins at each byte of UTF-8; 0 at bytes inside one."""
+    out = _ASCII[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    if len(lead):
+        first = data[lead].astype(np.int64)
+        second, third, fourth = (data[np.minimum(lead + k, len(data) - 1)].astype(np.int64) & 63 for k in (1, 2, 3))
+        two = (first & 31) << 6 | second
+        three = (first & 15) << 12 | second << 6 | third
+        four = (first & 7) << 18 | second << 12 | third << 6 | fourth
+        out[lead] = script_of(np.where(first < 0xE0, two, np.where(first < 0xF0, three, four)))
+    return out
+
+
 def trigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Trigram cell of each byte of a word, first byte index of each word, bytes and script of each word, first word of each document."""
     _, starts, ends, first = K.words(data, offs)
@@ -63,8 +95,8 @@ def trigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     total = int(size.sum())
     begin = np.cumsum(size) - size
     at = np.repeat(starts - begin, size) + np.arange(total)
-    low = data.astype(np.uint32)
-    body = low[at]
+    raw = data[at]
+    body = raw.astype(np.uint32)
     upper = (body >= 65) & (body <= 90)
     body[upper] += 32
     before = np.full(total, 32, np.uint32)
@@ -74,7 +106,7 @@ def trigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after[:-1] = body[1:]
     after[begin + size - 1] = 32
     cell = (((before << np.uint32(16)) | (body << np.uint32(8)) | after) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
-    script = np.maximum.reduceat(_LEAD[data[at]], begin) if total else np.zeros(0, np.int64)
+    script = np.maximum.reduceat(scripts(raw), begin) if total else np.zeros(0, np.int64)
     return cell, begin, size, script, first
 
 
@@ -96,7 +128,7 @@ def _counted(batches: Iterator[pa.RecordBatch], langs: list[str]) -> Iterator[pa
 
 
 class Model:
-    """Languages, log-probabilities of cells and whether a language uses a script."""
+    """Languages, log-probabilities of cells and which languages are candidates in a script."""
 
     def __init__(self, langs: list[str], counts: np.ndarray):
         cells = 1 << BITS
@@ -108,21 +140,37 @@ class Model:
         used = share >= 0.001
         used[:, 0] = True
         used[:, ~used.any(0)] = True  # a script that no language uses narrows nothing
-        self.barred = np.where(used, 0.0, -50.0).astype(np.float32).T.copy()
+        self.candidates = used.T.copy()
 
     def word_scores(self, cell: np.ndarray, begin: np.ndarray, script: np.ndarray) -> np.ndarray:
-        scores = np.add.reduceat(self.cell[cell], begin, axis=0) + self.barred[script]
+        """Log-probability of each word in each language against the best candidate's; minus infinity where it is none."""
+        scores = np.where(self.candidates[script], np.add.reduceat(self.cell[cell], begin, axis=0), np.float32(-np.inf))
         return scores - scores.max(1, keepdims=True)
 
     def paths(self, scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-        """The best language of each word, document by document."""
-        length = np.diff(first)
-        order = np.argsort(-length, kind="stable")
-        at, length = first[:-1][order], length[order]
+        """The best language of each word, document by document.
+
+        A document is cut into blocks that are stepped through side by side. A later block is
+        stepped once for each language before it; the best chain of blocks is chosen after that.
+        """
+        n = scores.shape[1]
+        parts = np.maximum(-(-np.diff(first) // BLOCK), 1)
+        head = np.cumsum(parts) - parts
+        doc = np.repeat(np.arange(len(parts)), parts)
+        which = np.arange(len(doc)) - head[doc]
+        begin = first[:-1][doc] + which * BLOCK
+        size = np.minimum(first[1:][doc] - begin, BLOCK)
+        copies = np.where(which == 0, 1, n)
+        run = np.cumsum(copies) - copies  # a block's first run
+        block = np.repeat(np.arange(len(doc)), copies)
+        before = np.arange(len(block)) - run[block]
+        start = np.where((np.arange(n) == before[:, None]) | (which[block] == 0)[:, None], 0, -switch)
+
+        order = np.argsort(-size[block], kind="stable")
+        at, length = begin[block][order], size[block][order]
         steps = int(length[0]) if len(length) else 0
         active = np.searchsorted(-length, -np.arange(1, steps + 1), "right")
-        n = scores.shape[1]
-        best = np.zeros((len(order), n), np.float32)
+        best = start[order].astype(np.float32)
         moved: list[np.ndarray] = []  # of each step: the language to switch from
         stay: list[np.ndarray] = []
         for k in range(steps):
@@ -132,18 +180,41 @@ class Model:
                 top = v.argmax(1)
                 leap = v[np.arange(d), top][:, None] - np.float32(switch)
                 keep = v >= leap
-                moved.append(top.astype(np.int8))
+                moved.append(top.astype(np.int16))
                 stay.append(keep)
                 v = np.maximum(v, leap)
             best[:d] = v + scores[at[:d] + k]
-        out = np.zeros(len(scores), np.int8)
-        state = best.argmax(1)
+
+        ends = np.zeros((len(block), n))
+        ends[order] = best
+        value = ends[run[head]]
+        came: list[tuple[np.ndarray, np.ndarray]] = []  # of each place in a document: documents, and the language before by the one at the end
+        for k in range(1, int(parts.max(initial=1))):
+            far = np.flatnonzero(parts > k)
+            chain = value[far][:, :, None] + ends[run[head[far] + k][:, None] + np.arange(n)]
+            came.append((far, chain.argmax(1)))
+            value[far] = chain.max(1)
+        last = np.zeros(len(doc), np.int64)
+        entry = np.zeros(len(doc), np.int64)
+        state = value.argmax(1)
+        for k in range(len(came), 0, -1):
+            far, chosen = came[k - 1]
+            last[head[far] + k] = state[far]
+            state[far] = entry[head[far] + k] = chosen[np.arange(len(far)), state[far]]
+        last[head] = state
+
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        place = place[run + entry]
+        by_size = np.argsort(place)
+        place, state = place[by_size], last[by_size]
+        out = np.zeros(len(scores), np.int16)
         for k in range(steps - 1, -1, -1):
-            d = int(active[k])
-            now = state[:d]
-            out[at[:d] + k] = now
+            d = int(np.searchsorted(place, active[k]))
+            rows, now = place[:d], state[:d]
+            out[at[rows] + k] = now
             if k:
-                state[:d] = np.where(stay[k - 1][np.arange(d), now], now, moved[k - 1])
+                state[:d] = np.where(stay[k - 1][rows, now], now, moved[k - 1][rows])
         return out
 
     def judge(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +229,7 @@ class Model:
         weight = np.bincount(doc * n + path, size * (script > 0) + 1e-3, docs * n).reshape(docs, n)
         pick = weight.argmax(1)
         share = weight.max(1) / np.maximum(weight.sum(1), 1e-9)
-        total = np.stack([np.bincount(doc, scores[:, k], docs) for k in range(n)], 1)
+        total = np.stack([np.bincount(doc, np.maximum(scores[:, k], FLOOR), docs) for k in range(n)], 1)
         total -= total.max(1, keepdims=True)
         odds = np.exp(np.maximum(total, -700) / np.maximum(np.sqrt(np.diff(first)), 1)[:, None])
         sure = odds[np.arange(docs), pick] / odds.sum(1)

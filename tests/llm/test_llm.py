@@ -5,7 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
-from math import log10
+from math import log, log10
 
 import numpy as np
 import public_tokenizers
@@ -250,6 +250,65 @@ def test_viterbi_is_the_best_path():
             assert abs(worth(path[a:b].tolist(), scores[a:b]) - best) < 1e-4
 
 
+@pytest.mark.parametrize("block", [1, 3, 512])
+def test_viterbi_in_blocks_is_as_good_as_word_by_word(monkeypatch, block):
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    rng = np.random.default_rng(1)
+    model = language_id.Model(["a", "b", "c"], np.ones((3, (1 << language_id.BITS) + len(language_id.SCRIPTS))))
+    first = np.concatenate([[0], np.cumsum(rng.integers(0, 40, 60))])
+    scores = (rng.standard_normal((first[-1], 3)) * 3).astype(np.float32)
+    barred = rng.random(scores.shape) < 0.2
+    barred[np.arange(len(scores)), rng.integers(0, 3, len(scores))] = False
+    scores[barred] = -np.inf
+    path = model.paths(scores, first, 2.0)
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        best = [0.0] * 3
+        for k in range(a, b):
+            best = [max(v - 2.0 * (m != n and k > a) for m, v in enumerate(best)) + float(scores[k][n]) for n in range(3)]
+        worth = sum(float(scores[k][path[k]]) for k in range(a, b)) - 2.0 * sum(path[k] != path[k - 1] for k in range(a + 1, b))
+        assert abs(worth - max(best)) < 1e-3
+
+
+def test_scripts_are_those_of_the_code_points():
+    import unicodedata
+
+    names = {"LATIN": "latin", "GREEK": "greek", "CYRILLIC": "cyrillic", "ARMENIAN": "armenian", "HEBREW": "hebrew", "ARABIC": "arabic", "DEVANAGARI": "indic", "TAMIL": "indic", "THAI": "thai", "GEORGIAN": "georgian", "HIRAGANA": "kana", "KATAKANA": "kana", "CJK": "han", "HANGUL": "hangul", "LAO": "other", "ETHIOPIC": "other"}
+    letters = [(c, names[name]) for c in map(chr, range(0x30000)) if c.isalpha() and (name := unicodedata.name(c, "?").split()[0]) in names and ord(c) not in range(0x10000, 0x20000)]
+    text = "".join(c for c, _ in letters).encode()
+    got = language_id.scripts(np.frombuffer(text, np.uint8))
+    got = got[[k for k, b in enumerate(text) if b & 0xC0 != 0x80]]
+    wrong = [(hex(ord(c)), want, language_id.SCRIPTS[k]) for (c, want), k in zip(letters, got, strict=True) if language_id.SCRIPTS[k] != want]
+    assert len(letters) > 100_000 and len(wrong) < 0.001 * len(letters), wrong
+    assert not language_id.scripts(np.frombuffer("12 … × ÷ 😀 •".encode(), np.uint8)).any()
+
+
+def test_word_scores_are_a_plain_count_and_narrowed(spark):
+    rows = [(1, "abba abc", "x"), (2, "bca ab ภาษา", "y"), (3, "мир Abc", "z")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "true")
+    cells = 1 << language_id.BITS
+
+    def grams(word):
+        w = b" " + word.encode().lower() + b" "
+        return [(((w[k - 1] << 16 | w[k] << 8 | w[k + 1]) * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - language_id.BITS) for k in range(1, len(w) - 1)]
+
+    count = {lang: Counter(g for w in text.split() for g in grams(w)) for _, text, lang in rows}
+    script = {"abc": ["x", "y", "z"], "ภา": ["y"], "да": ["z"], "ქართ": ["x", "y", "z"], "12": ["x", "y", "z"]}
+    for word, candidates in script.items():
+        data = np.frombuffer(word.encode(), np.uint8)
+        cell, begin, _, of, _ = language_id.trigrams(data, np.array([0, len(data)]))
+        got = dict(zip(model.langs, model.word_scores(cell, begin, of)[0], strict=True))
+        want = {lang: sum(log((count[lang][g] + 0.2) / (sum(count[lang].values()) + 0.2 * cells)) for g in grams(word)) for lang in candidates}
+        for lang in model.langs:
+            assert abs(got[lang] - (want[lang] - max(want.values()))) < 1e-3 if lang in want else got[lang] == -np.inf
+
+
+def test_language_of_no_rows_and_of_very_long_texts(spark):
+    rows = [(i, ("the wing " if i % 2 else "der sprung ") * 20, "aa" if i % 2 else "bb") for i in range(40)]
+    df = spark.createDataFrame(rows + [(100, "the wing " * 150_000 + "sprung", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in language_id.predictions(df).collect()}[100] == "aa"
+    assert language_id.predictions(df.limit(0)).count() == 0
+
+
 def test_quality_on_held_out_rows(spark, docs):
     rng = random.Random(7)
     good = lambda: " ".join("".join(rng.choices("etaoin", k=rng.randint(2, 8))) for _ in range(60)).capitalize() + "."
