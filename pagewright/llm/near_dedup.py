@@ -8,17 +8,17 @@ the first ``MIN_DEPTH`` of them. Candidates come in two steps:
    with the longest common prefix. Confirmed links give preliminary components; a large
    group of near copies mostly becomes one here, with a handful of pairs a class.
 2. In all trees, every region that still holds several components yields pairs between
-   different components: first each class with the nearest signature of another one; then
-   what is still apart is compared on full sets inside the region's task, which passes on
-   links, never pairs. A region of more than
-   ``CROWD`` classes is taken one min-hash deeper (adaptive depth), down to ``DEPTH``.
-   Regions larger than ``BLOCK`` are dealt as pairs of blocks to many tasks.
+   different components. First each class meets the nearest signature of another one, where
+   a region of more than ``CROWD`` classes is taken one min-hash deeper (adaptive depth),
+   down to ``DEPTH``; that joins most of a crowd cheaply. Then all that a region, whatever
+   its size, still holds apart is compared on full sets inside its task, which passes on
+   links, never pairs. Regions larger than ``BLOCK`` are dealt as pairs of blocks to many tasks.
 
 Pairs inside one component need no test, as only components are asked for; so no
 candidate is dropped, though none is listed for a group that is known to be joined.
 All links are confirmed on full shingle sets (52-bit fingerprints). A pair at
-similarity 0.8 shares no region of depth 4 in 20 trees with a chance of 3e-5, one of
-depth 6 with 0.2 %.
+similarity 0.8 shares no region of depth 4 in 20 trees with a chance of 3e-5, however
+many others are alike.
 
 Sets are read from the texts again for candidates only, behind a bounded membership map.
 
@@ -167,16 +167,18 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
 
 
-def common_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Exact sizes of all intersections, by products of incidence matrices over slices of the shingles."""
+def common_counts(sets: list[np.ndarray], some: np.ndarray) -> np.ndarray:
+    """Exact sizes of the intersections of ``some`` sets (by number) with all, by products of incidence matrices over slices of the shingles."""
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     flat = np.concatenate(sets)
     _, spot, times = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = times > 1
+    chosen = np.zeros(len(sets), bool)
+    chosen[some] = True
+    shared = (times > 1) & (np.bincount(spot, chosen[owner], len(times)) > 0)
     place = np.cumsum(shared) - 1
     keep = shared[spot]
     owner, column = owner[keep], place[spot[keep]]
-    out = np.zeros((len(sets), len(sets)), np.float32)
+    out = np.zeros((len(some), len(sets)), np.float32)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     step = 2048
@@ -184,44 +186,46 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
         a, b = np.searchsorted(column, (lo, lo + step))
         m = np.zeros((len(sets), step), np.float32)
         m[owner[a:b], column[a:b] - lo] = 1
-        out += m @ m.T
+        out += m[some] @ m.T
     return out.astype(np.int64)
 
 
 def _links_between(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links between components in regions (t, region, i, j, rep, label, deeper, shingles), compared on full sets in the task.
+    """Links between components in regions (t, region, i, j, rep, label, shingles), compared on full sets in the task.
 
-    Passes on a forest over the components of each region, never its pairs.
+    All classes of a region are compared but those of its largest component with each other. Passes on a forest
+    over the components of each region, never its pairs.
     """
     for table in grouped.whole(batches, ["t", "region", "i", "j"]):
         keys = [table[k].to_numpy() for k in ("t", "region", "i", "j")]
         label = table["label"].to_numpy()
-        deeper = table["deeper"].to_numpy().view(np.uint64)
         shingles = table["shingles"].combine_chunks() if isinstance(table["shingles"], pa.ChunkedArray) else table["shingles"]
         found: set[tuple[int, int]] = set()
         cut = grouped.runs(keys)
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            for rows in _subregions(np.arange(lo, hi), [(deeper >> U(32)), deeper & U(0xFFFFFFFF)]):
-                if len(rows) < 2 or (label[rows] == label[rows[0]]).all():
-                    continue
-                sets = [np.frombuffer(shingles[int(r)].as_buffer(), U) for r in rows]
-                size = np.array([len(x) for x in sets])
-                common = common_counts(sets)
-                link = (100 * common >= percent * (size[:, None] + size[None, :] - common)) & (label[rows][:, None] != label[rows][None, :])
-                x, y = np.nonzero(np.triu(link))
-                pairs = np.unique(np.stack([label[rows[x]], label[rows[y]]], 1), axis=0) if len(x) else []
-                root: dict[int, int] = {}
-
-                def top(n: int) -> int:
-                    while root.get(n, n) != n:
-                        n = root[n]
-                    return n
-
-                for p, q in (map(int, pq) for pq in pairs):
-                    u, v = top(p), top(q)
-                    if u != v:
-                        root[max(u, v)] = min(u, v)
-                        found.add((min(p, q), max(p, q)))
+            own, kind, times = np.unique(label[lo:hi], return_inverse=True, return_counts=True)
+            if len(own) < 2:
+                continue
+            sets = [np.frombuffer(shingles[r].as_buffer(), U) for r in range(int(lo), int(hi))]
+            size = np.array([len(x) for x in sets])
+            rest = np.flatnonzero(kind != times.argmax())
+            common = common_counts(sets, rest)
+            x, y = np.nonzero((100 * common >= percent * (size[rest][:, None] + size[None, :] - common)) & (kind[rest][:, None] != kind[None, :]))
+            if not len(x):
+                continue
+            pairs = np.unique(np.sort(np.stack([own[kind[rest[x]]], own[kind[y]]], 1), axis=1), axis=0)
+            root: dict[int, int] = {}
+
+            def top(n: int) -> int:
+                while root.get(n, n) != n:
+                    n = root[n]
+                return n
+
+            for p, q in (map(int, pq) for pq in pairs):
+                u, v = top(p), top(q)
+                if u != v:
+                    root[max(u, v)] = min(u, v)
+                    found.add((min(p, q), max(p, q)))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(found), strict=True)], names=["a", "b"])
 
@@ -270,7 +274,7 @@ def star_of(label: DataFrame) -> DataFrame:
 
 
 def mixed_regions(members: DataFrame, label: DataFrame) -> DataFrame:
-    """The rows (t, region, deeper, rep, label, m) of regions that hold more than one component."""
+    """The rows (t, region, rep, label, m) of regions that hold more than one component."""
     own = members.join(label, "rep")
     mixed = own.groupBy("t", "region").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("t", "region", "m")
     return scratch.written(own.join(mixed, ["t", "region"]), "regions")
@@ -306,8 +310,7 @@ def components_of(docs: DataFrame, width: int = 5, percent: int = 80, id_column:
 
     # Step 2: regions that hold several components; first the nearest pairs, then all by full sets.
     region = F.xxhash64(F.expr(f"substring(key, 1, {4 * MIN_DEPTH})")).alias("region")
-    deeper = F.conv(F.hex(F.expr(f"substring(key, {4 * MIN_DEPTH + 1}, 8)")), 16, -10).cast("long").alias("deeper")
-    members = scratch.written(orders(TREES).select("t", region, deeper, "rep"), "members")
+    members = scratch.written(orders(TREES).select("t", region, "rep"), "members")
     rows = mixed_regions(members, label)
     near = dealt(rows.join(classes.select("rep", "sig").dropDuplicates(["rep"]), "rep"), "sig").mapInArrow(_nearest, "a long, b long").distinct()
     near = scratch.written(near.join(pairs, ["a", "b"], "left_anti"), "near")
@@ -316,7 +319,7 @@ def components_of(docs: DataFrame, width: int = 5, percent: int = 80, id_column:
         rows = mixed_regions(members, label)
     if rows.take(1):
         sets = full_sets(rows.select(F.col("rep").alias("doc_id")), docs, width).withColumnRenamed("doc_id", "rep")
-        rest = dealt(rows.join(sets, "rep"), "deeper", "shingles").mapInArrow(lambda it: _links_between(it, percent), "a long, b long").distinct()
+        rest = dealt(rows.join(sets, "rep"), "shingles").mapInArrow(lambda it: _links_between(it, percent), "a long, b long").distinct()
         rest = scratch.written(rest, "rest")
         if rest.take(1):
             label = labels_of(classes, star_of(label).union(rest))

@@ -220,6 +220,26 @@ def test_embeddings_match_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_crowded_region_is_compared_whole():
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 2**52, 120).astype(np.uint64)
+    sets = []
+    for k in range(700):  # more than CROWD; a hundred of them carry one label already
+        own = base.copy()
+        n = int(rng.integers(4, 45))
+        own[rng.choice(120, n, replace=False)] = rng.integers(1, 2**52, n).astype(np.uint64)
+        sets.append(np.unique(own))
+    label = np.where(np.arange(700) % 7, np.arange(700), 0).astype(np.int64)
+    zero = pa.array(np.zeros(700, np.int32))
+    batch = pa.RecordBatch.from_arrays([zero, zero.cast(pa.int64()), zero, zero, pa.array(np.arange(700)), pa.array(label), pa.array([x.tobytes() for x in sets], pa.binary())], names=["t", "region", "i", "j", "rep", "label", "shingles"])
+    got = [(r["a"], r["b"]) for out in near_dedup._links_between(iter([batch]), 80) for r in out.to_pylist()]
+    plain = [set(x.tolist()) for x in sets]
+    links = [(a, b) for a in range(700) for b in range(a) if 100 * len(plain[a] & plain[b]) >= 80 * len(plain[a] | plain[b])]
+    nodes = set(label.tolist())
+    want = grouped([(int(label[a]), int(label[b])) for a, b in links], nodes)
+    assert grouped(got, nodes) == want and 1 < len(set(want.values())) < 600 and len(got) < 600
+
+
 def test_language_spans_and_held_out_accuracy(spark):
     rng = random.Random(6)
     syllables = {"aa": ["the", "ing", "wh", "ou"], "bb": ["der", "sch", "ung", "ei"], "cc": ["привет", "мир", "да"]}
