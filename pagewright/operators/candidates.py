@@ -50,9 +50,11 @@ def continuation_candidates(blocks: DataFrame) -> DataFrame:
     return chosen.select("doc_id", F.col("pos").alias("idx"), "ord", text.shortened(F.col("content")).alias("content"), "page", geometry.prompt_box(*[F.col(c) for c in geometry.BOX]).alias("box"))
 
 
-def title_candidates(blocks: DataFrame) -> DataFrame:
+def title_candidates(blocks: DataFrame, chars: int | None = 50) -> DataFrame:
+    """Titles with their first ``chars`` characters (None: whole)."""
+    body = F.col("content") if chars is None else F.left(F.col("content"), F.lit(chars))
     return blocks.where(F.col("type").isin(*TITLES)).select(
-        "doc_id", F.col("pos").alias("idx"), F.col("pos").alias("ord"), F.left(F.col("content"), F.lit(50)).alias("content"), "page", geometry.prompt_box(*[F.col(c) for c in geometry.BOX]).alias("box")
+        "doc_id", F.col("pos").alias("idx"), F.col("pos").alias("ord"), body.alias("content"), "page", geometry.prompt_box(*[F.col(c) for c in geometry.BOX]).alias("box")
     )
 
 
@@ -70,15 +72,16 @@ def containment_links(blocks: DataFrame) -> DataFrame:
     return small.join(large, "doc_id").where(inside).groupBy("doc_id", "src").agg(F.min("tgt").alias("tgt"))
 
 
-def visual_candidates(blocks: DataFrame) -> DataFrame:
-    """Visual blocks that no large block contains, with prompt types."""
+def visual_candidates(blocks: DataFrame, chars: int | None = 50) -> DataFrame:
+    """Visual blocks that no large block contains, with prompt types and the first ``chars`` characters (None: whole)."""
     visual = visual_blocks(blocks)
     open_ = visual.join(containment_links(blocks).select("doc_id", F.col("src").alias("pos")), ["doc_id", "pos"], "left_anti")
     kind = (
         F.when(F.col("type").isin("image_block", "chart", "figure"), "image").when(F.col("type").isin(*TITLES), "title")
         .when(F.col("type").isin("fig-title", "fig-caption"), "image_caption").when(F.col("type").isin("tab-title", "tab-caption"), "table_caption").otherwise(F.col("type"))
     )
-    body = F.when(kind.isin("image", "table"), F.lit("None")).otherwise(F.left(F.col("content"), F.lit(50)))
+    shown = F.col("content") if chars is None else F.left(F.col("content"), F.lit(chars))
+    body = F.when(kind.isin("image", "table"), F.lit("None")).otherwise(shown)
     return open_.select("doc_id", F.col("pos").alias("idx"), F.col("pos").alias("ord"), kind.alias("type"), body.alias("content"), "page", geometry.prompt_box(*[F.col(c) for c in geometry.BOX]).alias("box"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Prompt heads and tags.
-HEADS = {"contd": "<image>\nTruncation Detection: ", "title": "<image>\nTitle Level Analysis: ", "image": "<image>\nImage-Text Correlation Analysis: "}
+HEADS = {"contd": "<image>\nTruncation Detection: ", "title": "<image>\nTitle Level Analysis: ", "image": "<image>\nImage-Text Correlation Analysis: ", "table_merge": "<image>\nTable Merge Detection: "}
 
 
 def line(typed: bool) -> Column:

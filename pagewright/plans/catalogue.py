@@ -333,12 +333,58 @@ def _(s, d):
     return reconcile.distinct_links(prompts.link_answers(_answers(s, d)))
 
 
-@query("str_08_training_cases", f"WITH {D.DOC_BLOCKS}, {_TITLES} SELECT doc_id, doc_id || '.pdf' AS image, '<image>' || chr(10) || 'Title Level Analysis: ' || string_agg({_LINE}, chr(10) ORDER BY idx) AS prompt, string_agg('<|src_id|>' || idx || '<|tgt_id|>' || idx, chr(10) ORDER BY idx) AS answer, 'human,gpt' AS speakers, 'grounding' AS type FROM titles GROUP BY doc_id")
+def _case_rows(cases, *key):
+    turn = lambda k: F.col("case.conversations")[k]["value"]
+    return cases.select("doc_id", *key, "case.image", turn(0).alias("prompt"), turn(1).alias("answer"), F.array_join(F.transform("case.conversations", lambda t: t["from"]), ",").alias("speakers"), "case.type")
+
+
+_SPOKEN = "'human,gpt' AS speakers, 'grounding' AS type"
+
+
+@query("str_08_training_cases", f"WITH {D.DOC_BLOCKS}, t AS (SELECT doc_id, pos AS idx, content, page, {BOX()} AS box, pos % 3 + 1 AS level FROM doc_blocks WHERE type = 'title') SELECT doc_id, doc_id || '_title.jpeg' AS image, '<image>' || chr(10) || 'Title Level Analysis: ' || string_agg({_LINE}, chr(10) ORDER BY idx) AS prompt, string_agg('<|id|>' || idx || '<|level|>' || level, chr(10) ORDER BY idx) AS answer, {_SPOKEN} FROM t GROUP BY doc_id")
+def _(s, d):
+    levels = D.doc_titles(s, d).select("doc_id", C("pos").alias("idx"), "level", C("pos").alias("ord"))
+    return _case_rows(annotate.title_cases(D.doc_blocks(s, d), levels))
+
+
+@query("str_08_contd_cases", f"WITH {D.DOC_BLOCKS_OPEN}, {_PAIRS}, {_CONTD}, f AS (SELECT s.doc_id, s.pos AS idx, r.ord, s.joined AS content, s.page, {BOX('s.')} AS box FROM sent s JOIN ranked r ON r.doc_id = s.doc_id AND r.pos = s.pos), a AS (SELECT doc_id, string_agg('<|src_id|>' || src || '<|tgt_id|>' || tgt, chr(10) ORDER BY src) AS answer FROM pairs WHERE src % 2 = 0 GROUP BY 1), p AS (SELECT doc_id, '<image>' || chr(10) || 'Truncation Detection: ' || string_agg({_LINE}, chr(10) ORDER BY ord) AS prompt FROM f GROUP BY 1) SELECT doc_id, doc_id || '_contd.jpeg' AS image, prompt, coalesce(answer, '') AS answer, {_SPOKEN} FROM p LEFT JOIN a USING (doc_id)")
+def _(s, d):
+    b = D.doc_blocks(s, d, True)
+    links = candidates.continuation_pairs(b).where("src % 2 = 0").select("doc_id", C("src").alias("src_id"), C("tgt").alias("tgt_id"), C("src").alias("ord"))
+    return _case_rows(annotate.contd_cases(b, links))
+
+
+@query("str_08_image_cases", f"WITH {D.MIXED}, {_CONTAINED}, v AS (SELECT doc_id, pos AS idx, CASE WHEN type = 'image_block' THEN 'image' ELSE type END AS type, CASE WHEN type IN ('image', 'image_block', 'table') THEN 'None' ELSE content END AS content, page, {BOX()} AS box FROM mixed m WHERE type IN ('title', 'image', 'image_caption', 'image_block', 'table', 'table_footnote') AND NOT EXISTS (SELECT 1 FROM contained c WHERE c.doc_id = m.doc_id AND c.src = m.pos)), p AS (SELECT doc_id, '<image>' || chr(10) || 'Image-Text Correlation Analysis: ' || string_agg('<|id|>' || idx || '<|type|>' || type || '<|page|>' || page || '<|box|>' || box || '<|content|>' || content, chr(10) ORDER BY idx) AS prompt FROM v GROUP BY 1), a AS (SELECT doc_id, string_agg('<|src_id|>' || pos || '<|tgt_id|>' || image, chr(10) ORDER BY pos) AS answer FROM mixed WHERE type = 'table_footnote' GROUP BY 1) SELECT doc_id, doc_id || '_image.jpeg' AS image, prompt, coalesce(answer, '') AS answer, {_SPOKEN} FROM p LEFT JOIN a USING (doc_id)")
+def _(s, d):
+    m = D.mixed_blocks(s, d)
+    links = m.where("type = 'table_footnote'").select("doc_id", C("pos").alias("src_id"), C("image").alias("tgt_id"), C("pos").alias("ord"))
+    return _case_rows(annotate.image_cases(m, links))
+
+
+@query("str_08_table_cases", "SELECT o_orderkey AS doc_id, o_custkey AS src_id, o_custkey + 1 AS tgt_id, o_orderkey || '_table_merge.jpeg' AS image, '<image>' || chr(10) || 'Table Merge Detection: <|id|>' || o_custkey || '<|page|>1<|col_count|>2<|caption|>' || o_orderpriority || '<|last_rows|>[\"a \\\"' || o_orderstatus || '\\\"\", \"' || o_orderpriority || '\"]<|first_rows|>[]' || chr(10) || '<|id|>' || (o_custkey + 1) || '<|page|>2<|col_count|>2<|caption|><|last_rows|>[]<|first_rows|>[\"' || o_orderstatus || '\"]' AS prompt, '<|src_id|>' || o_custkey || '<|tgt_id|>' || (o_custkey + 1) || '<|merge|>' || CASE WHEN o_orderkey % 2 = 0 THEN '1<|cell_list|>1,0' ELSE '0<|cell_list|>' END AS answer, 'human,gpt' AS speakers, 'grounding' AS type FROM orders")
+def _(s, d):
+    even = C("o_orderkey") % 2 == 0
+    table = lambda key, page, caption: F.struct(key.alias("id"), F.lit(page).alias("page"), F.lit(2).alias("col_count"), caption.alias("caption"))
+    quoted = F.concat(F.lit('a "'), "o_orderstatus", F.lit('"'))
+    pairs = D.table(s, d, "orders").select(
+        C("o_orderkey").alias("doc_id"), table(C("o_custkey"), 1, C("o_orderpriority")).alias("upper"), table(C("o_custkey") + 1, 2, F.lit(None).cast("string")).alias("lower"),
+        F.array(quoted, C("o_orderpriority")).alias("last_rows"), F.array("o_orderstatus").alias("first_rows"), F.when(even, 1).alias("merge"), F.when(even, F.array(F.lit(1), F.lit(0))).alias("cell_list"),
+    )
+    return _case_rows(annotate.table_cases(pairs), "src_id", "tgt_id")
+
+
+@query("ann_01_title_relations", f"WITH {D.DOC_BLOCKS} SELECT doc_id, pos AS ord, repeat('#', CAST(pos % 3 AS INTEGER)) || content AS relation FROM doc_blocks WHERE type = 'title'")
+def _(s, d):
+    titles = D.doc_blocks(s, d).where("type = 'title'").select("doc_id", C("pos").alias("ord"), (C("pos") % 3).alias("level"), "content")
+    return annotate.title_relations(titles)
+
+
+@query("ann_01_continuation_relations", f"WITH {D.DOC_BLOCKS_OPEN}, {_PAIRS} SELECT p.doc_id, p.src AS ord, a.content || '<|txt_contd|>' || b.content || CASE WHEN EXISTS (SELECT 1 FROM pairs q WHERE q.doc_id = p.doc_id AND q.src = p.tgt) THEN '<|txt_contd|>' ELSE '' END AS relation FROM pairs p JOIN doc_blocks a ON a.doc_id = p.doc_id AND a.pos = p.src JOIN doc_blocks b ON b.doc_id = p.doc_id AND b.pos = p.tgt")
 def _(s, d):
-    rows = candidates.title_candidates(D.doc_blocks(s, d))
-    answers = annotate.link_text(rows.select("doc_id", C("idx").alias("src_id"), C("idx").alias("tgt_id"), "ord"))
-    case = annotate.cases(rows, "title", answers)
-    return case.select("doc_id", "case.image", F.col("case.conversations")[0]["value"].alias("prompt"), F.col("case.conversations")[1]["value"].alias("answer"), F.array_join(F.transform("case.conversations", lambda t: t["from"]), ",").alias("speakers"), "case.type")
+    b = D.doc_blocks(s, d, True)
+    # Judged from the last source to the first, so a target may have been a source before.
+    links = candidates.continuation_pairs(b).select("doc_id", C("src").alias("src_id"), C("tgt").alias("tgt_id"), (-C("src")).alias("ord"))
+    return annotate.continuation_relations(b, links).withColumn("ord", -C("ord"))
 
 
 @query("str_02_06_07_table_answers")
