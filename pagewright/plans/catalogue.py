@@ -751,6 +751,32 @@ def _(s, d):
     return readers.statuses(docs.select(C("doc_id").cast("string").alias("doc_id")), forms, "miner").select("doc_id", "status")
 
 
+def _page_files(s, d):
+    """Files of pages, odd ones with the page in the payload, and page sizes: none for a fifth of documents, none of page 2 for another."""
+    b = D.doc_blocks(s, d).withColumn("doc_id", C("doc_id").cast("string"))
+    title = C("type") == "title"
+    block = F.struct(F.when(title, "paragraph_title").otherwise("text").alias("block_label"), F.array(*[F.lit(v) for v in (100.0, 80.0, 500.0, 400.0)]).alias("block_bbox"), C("content").alias("block_content"), C("pos").alias("block_order"))
+    pages = b.groupBy("doc_id", "page").agg(F.reverse(F.array_sort(F.collect_list(F.struct("pos", block.alias("b"))))).alias("l"))
+    body = F.to_json(F.struct(F.when(C("page") % 2 == 1, C("page") - 1).alias("page_index"), F.transform("l", lambda x: x["b"]).alias("parsing_res_list")))
+    files = pages.select("doc_id", F.concat("doc_id", F.lit("_"), (C("page") - 1).cast("string"), F.lit("_res")).alias("stem"), body.alias("json"))
+    fifth = C("doc_id").cast("long") % 5
+    sizes = pages.where((fifth != 0) & ~((fifth == 1) & (C("page") == 2))).select("doc_id", "page", F.lit(500.0).alias("width"), F.lit(400.0).alias("height"))
+    return files, sizes
+
+
+_PAGE_STATUS = "st AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR (doc_id % 5 = 1 AND min(page) = 2 AND max(page) = 2) THEN 'missing' WHEN doc_id % 5 = 1 AND bool_or(page = 2) THEN 'invalid' ELSE 'ok' END AS status FROM doc_blocks GROUP BY 1)"
+
+
+@query("src_04_06_page_file_status", f"WITH {D.DOC_BLOCKS}, {_PAGE_STATUS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, status, CASE status WHEN 'missing' THEN 'no page sizes of ' || doc_id WHEN 'invalid' THEN 'no size of page 2' ELSE '' END AS message FROM st")
+def _(s, d):
+    return readers.paddle_page_statuses(*_page_files(s, d))
+
+
+@query("src_04_06_page_files", f"WITH {D.DOC_BLOCKS}, {_PAGE_STATUS}, l AS (SELECT doc_id, page, pos, type, {NORMAL('content')} AS content FROM doc_blocks SEMI JOIN (SELECT doc_id FROM st WHERE status = 'ok') USING (doc_id)) SELECT CAST(doc_id AS VARCHAR) AS doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, pos) - 1 AS INTEGER) AS \"order\", type, content, CAST(0.1 AS DOUBLE) AS x1, CAST(0.1 AS DOUBLE) AS y1, CAST(0.5 AS DOUBLE) AS x2, CAST(0.5 AS DOUBLE) AS y2 FROM l WHERE content <> ''")
+def _(s, d):
+    return readers.read_paddle_pages(*_page_files(s, d)).select("doc_id", "page", "order", "type", "content", *geometry.BOX)
+
+
 @query("src_18_doc_ids", "SELECT DISTINCT doc_id FROM (SELECT CASE WHEN regexp_matches(f, '[^.]\\.[^.]*$') THEN regexp_replace(f, '\\.[^.]*$', '') ELSE f END AS doc_id FROM (SELECT regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1) AS f FROM pages)) WHERE doc_id <> ''")
 def _(s, d):
     return readers.doc_ids(D.table(s, d, "pages"), column="url")

@@ -59,10 +59,32 @@ def paddle(docs: DataFrame) -> DataFrame:
     return _exploded(pages, _sorted(_listed(at("parsing_res_list")), "block_order"), F.col("p") + 1, at("width"), at("height"))
 
 
+def _numbered_files(files: DataFrame) -> DataFrame:
+    """Page files with their place ``p`` by name and the page of payload or name."""
+    number = F.coalesce(F.get_json_object("json", "$.page_index").try_cast("int"), F.nullif(F.regexp_extract("stem", "_([0-9]+)_res$", 1), F.lit("")).try_cast("int"), F.lit(0)) + 1
+    return files.withColumn("p", text.page_number_of(F.col("stem"))).withColumn("page", number)
+
+
+def paddle_page_statuses(files: DataFrame, sizes: DataFrame) -> DataFrame:
+    """doc_id, status, message of documents given as page files: missing without any page size, invalid if a page has none."""
+    known = sizes.where("width > 0 and height > 0").select("doc_id", "page", F.lit(True).alias("sized")).distinct()
+    lacking = F.when(F.col("sized").isNull(), F.col("page"))
+    docs = _numbered_files(files).join(known, ["doc_id", "page"], "left").groupBy("doc_id").agg(F.min_by(lacking, F.when(lacking.isNotNull(), F.col("p"))).alias("lacking"))
+    got = docs.join(sizes.select("doc_id", F.lit(True).alias("any")).distinct(), "doc_id", "left")
+    status = F.when(F.col("any").isNull(), "missing").when(F.col("lacking").isNotNull(), "invalid").otherwise("ok")
+    message = F.when(status == "missing", F.concat(F.lit("no page sizes of "), F.col("doc_id"))).when(status == "invalid", F.concat(F.lit("no size of page "), F.col("lacking").cast("string"))).otherwise("")
+    return got.select("doc_id", status.alias("status"), message.alias("message"))
+
+
+def read_paddle_pages(files: DataFrame, sizes: DataFrame, scale: str = "source") -> DataFrame:
+    """Blocks of the documents whose page files can all be read."""
+    fine = paddle_page_statuses(files, sizes).where("status = 'ok'").select("doc_id")
+    return blocks(paddle_pages(files.join(fine, "doc_id", "left_semi"), sizes), "paddle", scale)
+
+
 def paddle_pages(files: DataFrame, sizes: DataFrame) -> DataFrame:
     """Page files (doc_id, stem, json); boxes are on images of twice the page size (doc_id, page, width, height)."""
-    number = F.coalesce(F.get_json_object("json", "$.page_index").try_cast("int"), F.nullif(F.regexp_extract("stem", "_([0-9]+)_res$", 1), F.lit("")).try_cast("int"), F.lit(0)) + 1
-    pages = files.withColumn("p", text.page_number_of(F.col("stem"))).withColumn("page", number).join(sizes.withColumnRenamed("width", "w").withColumnRenamed("height", "h"), ["doc_id", "page"], "left")
+    pages = _numbered_files(files).join(sizes.withColumnRenamed("width", "w").withColumnRenamed("height", "h"), ["doc_id", "page"], "left")
     return _exploded(pages, _sorted(_listed(F.get_json_object("json", "$.parsing_res_list")), "block_order"), F.col("page"), F.col("w") * 2, F.col("h") * 2)
 
 

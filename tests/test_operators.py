@@ -6,7 +6,7 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from pagewright.functions import html_grid, text
-from pagewright.operators import candidates, chunking, evaluate, prompts, reconcile, responders, tables, tree
+from pagewright.operators import annotate, candidates, chunking, evaluate, prompts, reconcile, responders, tables, tree
 from pagewright.sources import readers, sinks
 from pagewright.streaming import resume
 
@@ -36,6 +36,31 @@ def forest(a, b):
     return min(forest(a[:-1] + xs, b) + 1, forest(a, b[:-1] + ys) + 1, forest(a[:-1], b[:-1]) + forest(xs, ys) + (x != y))
 
 
+def test_visual_header_rows_compare_texts_and_effective_columns():
+    wide = A.replace("<th>v</th>", "<th colspan='2'>v</th>")
+    a, b, c = map(html_grid.parse, (A, B, wide))
+    assert html_grid.header_rows_visual(a, b) == 1
+    assert html_grid.header_rows_visual(a, a) == 3
+    assert html_grid.header_rows_visual(a, html_grid.parse("")) == 0
+    assert html_grid.header_rows(a, c) == 0
+
+
+def test_page_files_need_sizes(spark):
+    files = spark.createDataFrame([("a", "a_0_res", '{"parsing_res_list": [{"block_label": "text", "block_bbox": [0, 0, 100, 100], "block_content": "x"}]}'), ("b", "b_0_res", "{}"), ("b", "b_1_res", '{"page_index": 4}'), ("c", "c", "{}")], "doc_id string, stem string, json string")
+    sizes = spark.createDataFrame([("a", 1, 100.0, 50.0), ("b", 1, 9.0, 9.0), ("b", 5, 0.0, 9.0)], "doc_id string, page int, width double, height double")
+    got = {r.doc_id: (r.status, r.message) for r in readers.paddle_page_statuses(files, sizes).collect()}
+    assert got == {"a": ("ok", ""), "b": ("invalid", "no size of page 5"), "c": ("missing", "no page sizes of c")}
+    assert [(r.doc_id, r.page, r.x2, r.y2) for r in readers.read_paddle_pages(files, sizes).collect()] == [("a", 1, 0.5, 1.0)]
+
+
+def test_relations_keep_one_marker_a_source(spark):
+    blocks = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, None)], "doc_id long, pos long, content string")
+    links = spark.createDataFrame([(1, 0, 1, 0), (1, 0, 2, 1), (1, 1, 0, 2)], "doc_id long, src_id long, tgt_id long, ord int")
+    got = [r.relation for r in annotate.continuation_relations(blocks, links).orderBy("ord").collect()]
+    m = tree.CONTINUED
+    assert got == [f"a{m}b", f"a{m}{m}", f"b{m}a{m}{m}"]
+
+
 def test_edit_distance_is_that_of_the_recursion():
     rng = random.Random(3)
     some = lambda: [(rng.choice("abc"), rng.randint(1, 3)) for _ in range(rng.randint(0, 5))]
