@@ -156,6 +156,25 @@ def scores(truth_nodes: DataFrame, predicted_nodes: DataFrame) -> DataFrame:
     return both.select("doc_id", F.round(teds("a", "b"), 6).alias("score"), size("a").alias("gt_count"), F.when(F.col("b").isNull(), F.lit(0)).otherwise(F.size("b")).cast("long").alias("pred_count"))
 
 
+def details(cases: DataFrame, predicted: DataFrame, statuses: DataFrame, mode: str = "content_aware") -> DataFrame:
+    """One row a case: doc_id, status, message, score, gt_count, pred_count, match_count, candidate_count, raw_title_count.
+
+    Documents that aren't ok (those without a status are missing) score 0 with their counts of the truth only; where
+    neither side has a title, the trees are equal. Predictions of other documents aren't compared.
+    """
+    truth, levels = truth_blocks(cases), truth_levels(cases)
+    known = cases.select("doc_id").distinct().join(statuses.select("doc_id", "status", "message"), "doc_id", "left")
+    known = known.select("doc_id", F.coalesce("status", F.lit("missing")).alias("status"), F.coalesce("message", F.lit("")).alias("message"))
+    usable = predicted.join(known.where("status = 'ok'"), "doc_id", "left_semi")
+    found = matches(candidates(truth, usable))
+    nodes = prediction_nodes(usable, found)
+    got = known.join(scores(labelled(levels, truth, mode), labelled(nodes, truth, mode)).select("doc_id", "score"), "doc_id", "left")
+    for rows, name in ((levels, "gt_count"), (nodes, "pred_count"), (found, "match_count"), (truth, "candidate_count"), (usable, "raw_title_count")):
+        got = got.join(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
+    blank = F.when((F.col("gt_count") == 0) & (F.col("pred_count") == 0), 1.0).otherwise(0.0)
+    return got.withColumn("score", F.when(F.col("status") == "ok", F.coalesce("score", blank)).otherwise(0.0))
+
+
 def summary(details: DataFrame) -> DataFrame:
     """Counts and means over documents (doc_id, status, score, gt_count, pred_count, match_count)."""
     ok = F.col("status") == "ok"

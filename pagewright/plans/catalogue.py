@@ -877,6 +877,14 @@ def _(s, d):
     return evaluate.scores(evaluate.labelled(evaluate.truth_levels(cases), truth, "content_aware"), evaluate.labelled(nodes, truth, "content_aware"))
 
 
+@query("evl_07_document_details")
+def _(s, d):
+    cases = _cases(s, d)
+    number = C("doc_id").cast("long")
+    statuses = cases.where(number % 7 != 0).select("doc_id", F.when(number % 5 == 0, "invalid").otherwise("ok").alias("status"), F.when(number % 5 == 0, "not JSON").otherwise("").alias("message"))
+    return evaluate.details(cases, _predicted(s, d), statuses)
+
+
 @query("evl_05_title_tree", f"WITH RECURSIVE {D.DOC_BLOCKS}, comps AS (SELECT doc_id, pos AS comp, pos % 3 + 1 AS level FROM doc_blocks WHERE type = 'title'), {_NEST} SELECT p.doc_id, p.comp AS pos, coalesce(parent, -1) AS parent, CAST(depth AS INTEGER) AS depth FROM placed p JOIN deep ON deep.doc_id = p.doc_id AND deep.comp = p.comp")
 def _(s, d):
     return tree.nested(D.doc_titles(s, d), "pos").select("doc_id", "pos", F.coalesce("parent", F.lit(-1)).alias("parent"), "depth")

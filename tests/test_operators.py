@@ -1,16 +1,20 @@
 """Brute-force and literal cases of operators that SQL can't express."""
 
+import os
 import random
 from functools import lru_cache
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import html_grid, text
 from pagewright.operators import annotate, candidates, chunking, evaluate, prompts, reconcile, responders, tables, tree
+from pagewright.plans import catalogue
 from pagewright.sources import readers, sinks
 from pagewright.streaming import resume
 
 A = "<table><tr><th>n</th><th>v</th></tr><tr><td>1</td><td>one</td></tr><tr><td>2</td><td>be</td></tr></table>"
+SF = "/root/testdata/sf0.001"
 B = "<table><tr><th>n</th><th>v</th></tr><tr><td></td><td>gin</td></tr><tr><td>3</td><td>c</td></tr></table>"
 
 
@@ -61,6 +65,26 @@ def test_relations_keep_one_marker_a_source(spark):
     assert got == [f"a{m}b", f"a{m}{m}", f"b{m}a{m}{m}"]
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_details_score_what_is_ok_and_count_the_rest(spark):
+    rows = catalogue.queries()["evl_07_document_details"](spark, SF).collect()
+    scored = {r.doc_id: r for r in catalogue.queries()["evl_04_06_07_title_scores"](spark, SF).collect()}
+    assert {r.doc_id for r in rows} >= set(scored)
+    assert len(rows) == len({r.doc_id for r in rows})
+    for r in rows:
+        n = int(r.doc_id)
+        want = "missing" if n % 7 == 0 else "invalid" if n % 5 == 0 else "ok"
+        assert r.status == want
+        assert r.gt_count == scored[r.doc_id].gt_count
+        if want == "ok":
+            assert (r.score, r.pred_count) == (scored[r.doc_id].score, scored[r.doc_id].pred_count)
+            assert r.match_count <= min(r.candidate_count, r.raw_title_count)
+            assert (r.match_count > 0) == (r.pred_count > 0) == (r.raw_title_count > 0)
+        else:
+            assert (r.score, r.pred_count, r.match_count, r.raw_title_count) == (0.0, 0, 0, 0)
+            assert r.candidate_count > 0
+
+
 def test_edit_distance_is_that_of_the_recursion():
     rng = random.Random(3)
     some = lambda: [(rng.choice("abc"), rng.randint(1, 3)) for _ in range(rng.randint(0, 5))]
