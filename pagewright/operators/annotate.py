@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import geometry, text
 from pagewright.operators import candidates, prompts, tree
+from pagewright.plans import kernels
 
 
 def full_sentences(blocks: DataFrame) -> DataFrame:
@@ -19,11 +20,8 @@ def full_sentences(blocks: DataFrame) -> DataFrame:
 
 def title_parents(titles: DataFrame) -> DataFrame:
     """(doc_id, pos, parent): the nearest earlier title of lower level; the block at place 0 is never a parent."""
-    a = titles.select("doc_id", "pos", "level")
-    lists = a.where("pos > 0").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "level"))).alias("all"))
-    got = a.join(lists, "doc_id", "left")
-    before = F.filter("all", lambda t: (t["pos"] < F.col("pos")) & (t["level"] < F.col("level")))
-    return got.select("doc_id", "pos", F.element_at(F.when(F.size(before) > 0, before), -1)["pos"].alias("parent"))
+    up = kernels.nearest_smaller(titles.where("pos > 0").select("doc_id", F.col("pos").alias("k"), F.col("level").alias("value")))
+    return titles.select("doc_id", "pos").join(up.select("doc_id", F.col("k").alias("pos"), "parent"), ["doc_id", "pos"], "left")
 
 
 def _lines(rows: DataFrame, line: Column, name: str, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:

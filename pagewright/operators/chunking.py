@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.plans.follow import follow
+from pagewright.plans import kernels
 
 
 def ranges(items: DataFrame, size: int = 50, overlap: int = 1, search: int = 5) -> DataFrame:
@@ -26,8 +26,9 @@ def ranges(items: DataFrame, size: int = 50, overlap: int = 1, search: int = 5)
     # Pages from page + size + 1 on, in reversed order: a growing frame is kept up row by row.
     later = Window.partitionBy("doc_id").orderBy(F.desc("page")).rangeBetween(Window.unboundedPreceding, -(size + 1))
     beyond = pages.select("doc_id", F.col("page").alias("from"), "lo", "hi", F.coalesce(F.min("page").over(later), F.col("hi")).alias("beyond"))
-    step = beyond.where("`from` < hi").join(best, ["doc_id", "from"], "left").select("doc_id", F.col("from").alias("page"), F.coalesce("best", "beyond").alias("next"))
-    borders = follow(step, pages.where("page = lo").select("doc_id", "page"))
+    following = F.when(F.col("from") < F.col("hi"), F.coalesce("best", "beyond"))
+    step = beyond.join(best, ["doc_id", "from"], "left").select("doc_id", F.col("from").alias("page"), following.alias("next"), (F.col("from") == F.col("lo")).alias("first"))
+    borders = kernels.followed(step)
     span = pages.select("doc_id", "lo", "hi").distinct()
     w = Window.partitionBy("doc_id").orderBy("page")
     cut = borders.select("doc_id", F.col("page").alias("border"), F.lag("page").over(w).alias("before"), (F.row_number().over(w) - 2).alias("chunk")).where("before is not null")

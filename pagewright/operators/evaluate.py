@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry, text
+from pagewright.plans import kernels
 
 # Weights and thresholds of the alignment.
 BOX_WEIGHT, TEXT_WEIGHT, TYPE_WEIGHT, OTHER_TYPE = 0.45, 0.35, 0.20, 0.4
@@ -39,13 +40,24 @@ def truth_levels(cases: DataFrame) -> DataFrame:
 
 
 def candidates(truth: DataFrame, predicted: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """Scored pairs on equal pages; whether a pair may be matched at all is ``close``."""
-    p = predicted.select("doc_id", "page", F.col("block_id").alias("pred_id"), F.col("type").alias("p_type"), F.col("content").alias("p_content"), *[F.col(c).alias(f"p_{c}") for c in geometry.BOX])
-    both = truth.join(p, ["doc_id", "page"])
+    """Scored pairs on equal pages; whether a pair may be matched at all is ``close``.
+
+    Texts are compared only where that can still matter: a ratio is at most twice the shorter length over both
+    lengths (unless one contains the other), and pairs whose bound gives neither the least score nor closeness are
+    left out before.
+    """
+    p = predicted.select("doc_id", "page", F.col("block_id").alias("pred_id"), F.col("type").alias("p_type"), text.compact_text(F.col("content")).alias("p_text"), *[F.col(c).alias(f"p_{c}") for c in geometry.BOX])
+    both = truth.withColumn("gt_text", text.compact_text(F.col("content"))).drop("content").join(p, ["doc_id", "page"])
     scored = both.withColumn("box", box_score([F.col(c) for c in geometry.BOX], [F.col(f"p_{c}") for c in geometry.BOX]))
-    scored = scored.withColumn("text", text.similarity(text.compact_text(F.col("content")), text.compact_text(F.col("p_content"))))
-    score = BOX_WEIGHT * F.col("box") + TEXT_WEIGHT * F.col("text") + TYPE_WEIGHT * F.when(F.col("p_type") == "title", 1.0).otherwise(OTHER_TYPE)
-    return scored.withColumn("score", score).where(F.col("score") >= least).select("doc_id", "gt_id", "pred_id", "score", (~((F.col("text") < LEAST_TEXT) & (F.col("box") < LEAST_BOX))).alias("close"))
+    score = lambda t: BOX_WEIGHT * F.col("box") + TEXT_WEIGHT * t + TYPE_WEIGHT * F.when(F.col("p_type") == "title", 1.0).otherwise(OTHER_TYPE)
+    close = lambda t: ~((t < LEAST_TEXT) & (F.col("box") < LEAST_BOX))
+    a, b = F.char_length("gt_text"), F.char_length("p_text")
+    within = F.contains("gt_text", "p_text") | F.contains("p_text", "gt_text")
+    # A little room, so that rounding leaves out no pair.
+    scored = scored.withColumn("most", F.when(F.coalesce(within, F.lit(True)), 1.0).otherwise(2.0 * F.least(a, b) / (a + b)) + 1e-9)
+    scored = scored.where((score(F.col("most")) + 1e-9 >= least) & close(F.col("most")))
+    scored = scored.withColumn("text", text.similarity(F.col("gt_text"), F.col("p_text"))).withColumn("score", score(F.col("text")))
+    return scored.where(F.col("score") >= least).select("doc_id", "gt_id", "pred_id", "score", close(F.col("text")).alias("close"))
 
 
 def greedy(rows: list[tuple[float, str, str]]) -> list[tuple[str, str, float]]:
@@ -62,11 +74,9 @@ def greedy(rows: list[tuple[float, str, str]]) -> list[tuple[str, str, float]]:
 def matches(candidates_: DataFrame) -> DataFrame:
     """doc_id, gt_id, pred_id, score: greedy one-to-one matches of each document."""
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = greedy(list(zip(pdf["score"], pdf["gt_id"], pdf["pred_id"], strict=True)))
-        return pd.DataFrame([(pdf["doc_id"].iloc[0], *g) for g in got], columns=["doc_id", "gt_id", "pred_id", "score"])
-
-    return candidates_.where("close").groupBy("doc_id").applyInPandas(match, "doc_id string, gt_id string, pred_id string, score double")
+    order = [F.desc("score"), F.desc("gt_id"), F.desc("pred_id")]
+    rows = candidates_.where("close").select("doc_id", "score", "gt_id", "pred_id")
+    return kernels.by_document(rows, order, "gt_id string, pred_id string, score double", kernels.greedy)
 
 
 def prediction_nodes(predicted: DataFrame, matches_: DataFrame) -> DataFrame:

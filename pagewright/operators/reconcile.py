@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import groupby
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.plans import kernels
+
 
 def distinct_links(answers: DataFrame) -> DataFrame:
     """(doc_id, src_id, tgt_id, ord): each pair once, in order of first sight (chunk, line_no)."""
@@ -16,26 +22,27 @@ def synchronized_levels(answers: DataFrame) -> DataFrame:
     """(doc_id, id, level): title levels of chunks (doc_id, range_sum, line_no, id, level) on one scale.
 
     Chunks come in order of their range sums. Where a chunk repeats titles, the mean
-    difference to the known levels (rounded half to even) is taken off its new ones.
-    One fold per document over its chunks, in JVM functions.
+    difference to the known levels (rounded half to even) is taken off its new ones; of
+    titles named twice in one chunk the first counts. One pass over the rows of each
+    document, which holds its levels so far and one chunk.
     """
-    chunks = answers.groupBy("doc_id", "range_sum").agg(F.array_sort(F.collect_list(F.struct("line_no", "id", "level"))).alias("rows"))
-    docs = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("range_sum", "rows"))).alias("chunks"))
-    start = F.expr("cast(map() as map<int, int>)")
-
-    def step(known, chunk):
-        rows = chunk["rows"]
-        seen = F.filter(rows, lambda r: F.map_contains_key(known, r["id"]))
-        diffs = F.transform(F.filter(seen, lambda r: (r["level"] >= 0) & (known[r["id"]] >= 0)), lambda r: r["level"] - known[r["id"]])
-        total = F.aggregate(diffs, F.lit(0), lambda a, d: a + d)
-        bias = F.when(F.size(diffs) > 0, F.bround(total / F.size(diffs)).cast("int")).otherwise(0)
-        fresh = F.filter(rows, lambda r: ~F.map_contains_key(known, r["id"]))
-        # Of titles named twice in one chunk the first counts.
-        first = F.filter(fresh, lambda r: ~F.exists(fresh, lambda o: (o["id"] == r["id"]) & (o["line_no"] < r["line_no"])))
-        return F.map_concat(known, F.map_from_entries(F.transform(first, lambda r: F.struct(r["id"], F.when(r["level"] > 0, r["level"] - bias).otherwise(r["level"])))))
-
-    got = docs.select("doc_id", F.aggregate("chunks", start, step).alias("levels"))
-    return got.select("doc_id", F.explode("levels").alias("id", "level"))
+    rows = answers.selectExpr("doc_id", "range_sum", "line_no", "cast(id as int) id", "cast(level as int) level")
+    return kernels.by_document(rows, ["range_sum", "line_no", "id", "level"], "id int, level int", _on_one_scale)
+
+
+def _on_one_scale(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for doc, of_document in groupby(rows, key=lambda r: r[0]):
+        known: dict = {}
+        for _, chunk in groupby(of_document, key=lambda r: r[1]):
+            lines = [(r[3], r[4]) for r in chunk]
+            shared = [level - known[i] for i, level in lines if i in known and level is not None and level >= 0 and known[i] is not None and known[i] >= 0]
+            bias = round(Fraction(sum(shared), len(shared))) if shared else 0
+            fresh: dict = {}
+            for i, level in lines:
+                if i not in known:
+                    fresh.setdefault(i, level - bias if level is not None and level > 0 else level)
+            known |= fresh
+            yield from ((doc, i, level) for i, level in fresh.items())
 
 
 def written_back(blocks: DataFrame, contd: DataFrame, levels: DataFrame, image: DataFrame, contained: DataFrame) -> DataFrame:

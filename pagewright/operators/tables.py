@@ -6,6 +6,8 @@ Cheap relational checks come first; HTML is parsed for the pairs they leave only
 from __future__ import annotations
 
 import ast
+from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.functions import html_grid, text
-from pagewright.plans.durable import checkpointed
+from pagewright.plans import kernels
 
 # Continuation markers and caption patterns.
 END_MARKERS = ("(续)", "(续表)", "(续上表)", "(continued)", "(cont.)", "(cont'd)", "(…continued)", "续表")
@@ -157,25 +159,38 @@ def cell_flags(response: pa.Array) -> pa.Array:
     return pa.array([v if isinstance(v, list) and all(type(x) is int and -(2**31) <= x < 2**31 for x in v) else None for v in found], pa.list_(pa.int32()))
 
 
+def _chained(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for doc, tables in groupby(rows, key=lambda r: r[0]):
+        order: list = []
+        links: list[tuple] = []
+        for _, _, table, partner in tables:
+            order.append(table)
+            links.append((table, partner))
+        up = {t: t for t in order}
+
+        def root(t):
+            while up[t] != t:
+                up[t] = up[up[t]]
+                t = up[t]
+            return t
+
+        place = {t: k for k, t in reversed(list(enumerate(order)))}
+        linked = set()
+        for a, b in links:
+            if a != b and b in up:
+                linked |= {a, b}
+                first, second = sorted((root(a), root(b)), key=place.get)
+                up[second] = first
+        yield from ((doc, t, root(t)) for t in place if t in linked)
+
+
 def chains(tables: DataFrame) -> DataFrame:
     """(doc_id, id, base): components of tables (doc_id, id, pos, table_merge) over their links, by the first in reading order.
 
-    Labels spread along links and jump until none changes; a chain of n tables takes about log2(n) rounds.
+    One pass: the tables of a document are joined to sets in reading order. Tables without a link are left out.
     """
-    base = tables.select("doc_id", "id", "pos", "table_merge")
-    link = base.join(base.select("doc_id", F.col("id").alias("table_merge")), ["doc_id", "table_merge"], "left_semi").where("table_merge != id")
-    edges = link.select("doc_id", F.explode(F.array(F.struct(F.col("id").alias("a"), F.col("table_merge").alias("b")), F.struct(F.col("table_merge").alias("a"), F.col("id").alias("b")))).alias("e")).select("doc_id", "e.a", "e.b").distinct()
-    order = base.select("doc_id", "id", "pos").join(edges.select("doc_id", F.col("a").alias("id")).distinct(), ["doc_id", "id"], "left_semi")
-    label = order.select("doc_id", "id", F.struct("pos", "id").alias("label"))
-    while True:
-        near = edges.join(label.select("doc_id", F.col("id").alias("b"), "label"), ["doc_id", "b"]).groupBy("doc_id", F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        new = label.join(near, ["doc_id", "id"], "left").select("doc_id", "id", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("old"))
-        jump = new.select("doc_id", F.col("id").alias("root"), F.col("label").alias("over"))
-        new = checkpointed(new.withColumn("root", F.col("label.id")).join(jump, ["doc_id", "root"], "left").select("doc_id", "id", F.least("label", F.coalesce("over", "label")).alias("label"), "old"))
-        label = new.select("doc_id", "id", "label")
-        if not new.where("label != old").take(1):
-            break
-    return label.select("doc_id", "id", F.col("label.id").alias("base"))
+    rows = tables.selectExpr("doc_id", "cast(pos as bigint) pos", "cast(id as bigint) id", "cast(table_merge as bigint) table_merge")
+    return kernels.by_document(rows, ["pos", "id"], "id bigint, base bigint", _chained)
 
 
 @F.arrow_udf(T.StringType())

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions import geometry
+from pagewright.plans import kernels
+
 # Types that aren't running text, and markers between texts.
 SPECIAL = ("table_footnote", "table", "chart", "table_caption", "image_footnote", "image", "image_caption", "seal")
 LARGE = ("super", "list", "ref_block", "equation_block", "image_block")
@@ -14,43 +17,52 @@ CONTINUED, SPLIT = "<|txt_contd|>", "<|txt_split|>"
 NO_TITLE = "Default Title"
 
 
+def _place(blocks: DataFrame) -> Column:
+    """Box and page of a block; null where the blocks have none."""
+    if not {"page", *geometry.BOX} <= set(blocks.columns):
+        return F.lit(None).cast("struct<bbox:array<double>,page:int>")
+    return F.struct(F.array(*(F.col(c).cast("double") for c in geometry.BOX)).alias("bbox"), F.col("page").cast("int").alias("page"))
+
+
 def components(blocks: DataFrame) -> DataFrame:
-    """(doc_id, comp, title, level, content, block_ids, last): every title opens one; texts are joined by markers.
+    """(doc_id, comp, title, level, content, block_ids, location): every title opens one; texts are joined by markers.
 
-    Blocks have doc_id, id, pos, type, content, level, contd. A text continues an earlier
-    one if that is linked to it from the same place or before.
+    Blocks have doc_id, id, pos, type, content, level, contd, and may have page and box. A text
+    continues an earlier one if that is linked to it from the same place or before.
     """
     kind = F.when((F.col("type") == "title") & (F.col("level") < 0), "text").otherwise(F.col("type"))
-    rows = blocks.select("doc_id", "id", "pos", kind.alias("type"), F.coalesce("content", F.lit("")).alias("content"), "level", "contd")
-    rows = rows.where(~F.col("type").isin(*SPECIAL, *LARGE, *FURNITURE))
+    rows = blocks.select("doc_id", "id", "pos", kind.alias("type"), F.coalesce("content", F.lit("")).alias("content"), "level", "contd", _place(blocks).alias("place"))
+    # Other blocks only keep the place of a document that has no text: it gets an empty node.
+    body_ = ~F.col("type").isin(*SPECIAL, *LARGE, *FURNITURE)
+    rows = rows.select("doc_id", "pos", body_.alias("body"), *(F.when(body_, F.col(c)).alias(c) for c in ("id", "type", "content", "level", "contd", "place")))
     source = rows.where("type != 'title' and contd >= 0").groupBy("doc_id", F.col("contd").alias("id")).agg(F.min("pos").alias("from_pos"))
     w = Window.partitionBy("doc_id").orderBy("pos")
-    rows = rows.withColumn("comp", F.sum((F.col("type") == "title").cast("int")).over(w)).join(source, ["doc_id", "id"], "left")
+    rows = rows.withColumn("comp", F.coalesce(F.sum((F.col("type") == "title").cast("int")).over(w), F.lit(0))).join(source, ["doc_id", "id"], "left")
     title = F.col("type") == "title"
     marker = F.when(F.col("from_pos") <= F.col("pos"), F.lit(CONTINUED)).otherwise(F.lit(SPLIT))
     made = rows.groupBy("doc_id", "comp").agg(
         F.max(F.when(title, F.col("content"))).alias("title"),
         F.max(F.when(title, F.col("level"))).alias("level"),
-        F.array_sort(F.collect_list(F.struct("pos", "id", title.alias("t"), marker.alias("m"), F.col("content").alias("c")))).alias("parts"),
+        F.array_sort(F.collect_list(F.when(F.col("body"), F.struct("pos", "id", title.alias("t"), marker.alias("m"), F.col("content").alias("c"), "place")))).alias("parts"),
     )
-    body = F.aggregate(F.filter("parts", lambda p: ~p["t"]), F.lit(""), lambda acc, p: F.when(acc == "", p["c"]).otherwise(F.concat(acc, p["m"], p["c"])))
-    made = made.select("doc_id", F.col("comp").cast("int").alias("comp"), F.coalesce("title", F.lit(NO_TITLE)).alias("title"), F.coalesce("level", F.lit(1)).alias("level"), body.alias("content"), F.transform("parts", lambda p: p["id"]).alias("block_ids"))
+    made = made.withColumn("texts", F.filter("parts", lambda p: ~p["t"]))
+    # Markers stand between texts from the first that isn't empty on.
+    first = F.array_position(F.transform("texts", lambda p: p["c"] != ""), F.lit(True)).cast("int")
+    body = F.array_join(F.transform(F.slice("texts", F.greatest(first, F.lit(1)), F.size("texts")), lambda p, k: F.when(k == 0, p["c"]).otherwise(F.concat(p["m"], p["c"]))), "")
+    body = F.when(first > 0, body).otherwise("")
+    made = made.select(
+        "doc_id", F.col("comp").cast("int").alias("comp"), F.coalesce("title", F.lit(NO_TITLE)).alias("title"), F.coalesce("level", F.lit(1)).alias("level"),
+        body.alias("content"), F.transform("parts", lambda p: p["id"]).alias("block_ids"), F.transform("parts", lambda p: p["place"]).alias("location"),
+    )
     last = F.max("comp").over(Window.partitionBy("doc_id"))
     return made.withColumn("last", F.col("comp") == last).where(f"title != '{NO_TITLE}' or content != '' or last").drop("last")
 
 
-def nested(components_: DataFrame, order: str = "comp") -> DataFrame:
-    """Adds parent (order value of the parent; null: the root) and depth by one stack fold per document."""
-    level = F.when(F.col("level") > 0, F.col("level")).otherwise(100).cast("int")
-    lists = components_.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("k"), level.alias("l")))).alias("nodes"))
-    start = F.expr("named_struct('stack', cast(array() as array<struct<k: bigint, l: int>>), 'out', cast(array() as array<struct<k: bigint, parent: bigint, depth: int>>))")
-
-    def step(acc, node):
-        stack = F.filter(acc["stack"], lambda s: s["l"] < node["l"])
-        top = F.when(F.size(stack) > 0, F.element_at(stack, -1)["k"])
-        return F.struct(F.concat(stack, F.array(F.struct(node["k"].alias("k"), node["l"].alias("l")))).alias("stack"), F.concat(acc["out"], F.array(F.struct(node["k"].alias("k"), top.alias("parent"), (F.size(stack) + 1).alias("depth")))).alias("out"))
-
-    places = lists.select("doc_id", F.explode(F.aggregate("nodes", start, step)["out"]).alias("p")).select("doc_id", F.col("p.k").alias("k"), F.col("p.parent").alias("parent"), F.col("p.depth").alias("depth"))
+def nested(components_: DataFrame, order: str = "comp", stop: bool = False) -> DataFrame:
+    """Adds parent (order value of the parent; null: the root) and depth; with ``stop`` also the order value of the first node after its subtree."""
+    level = F.when(F.col("level") > 0, F.col("level")).otherwise(100)
+    places = kernels.nearest_smaller(components_.select("doc_id", F.col(order).alias("k"), level.alias("value")))
+    places = places if stop else places.drop("stop")
     return components_.withColumn("k", F.col(order).cast("long")).join(places, ["doc_id", "k"]).drop("k")
 
 
@@ -63,50 +75,58 @@ def preview(nodes: DataFrame, order: str = "comp") -> DataFrame:
 
 
 def figures(blocks: DataFrame) -> DataFrame:
-    """(doc_id, id, pos, type, level, content, title, metadata, block_ids): visual nodes with captions and footnotes in reading order."""
-    own = blocks.where(F.col("type").isin(*FIGURES)).select("doc_id", "id", "pos", "type", F.col("image").alias("level"), "content", "block_ids" if "block_ids" in blocks.columns else F.array("id").alias("block_ids"))
-    notes = blocks.where(F.col("type").contains("caption") | F.col("type").contains("footnote")).select("doc_id", F.col("image").alias("id"), F.struct("pos", F.col("id").alias("note"), F.col("type").contains("caption").alias("cap"), "content").alias("n"))
+    """(doc_id, id, pos, type, level, content, title, metadata, block_ids, location): visual nodes with captions and footnotes in reading order.
+
+    Blocks of merged tables may bring their own ``block_ids`` and ``location``.
+    """
+    ids = "block_ids" if "block_ids" in blocks.columns else F.array("id").alias("block_ids")
+    spots = "location" if "location" in blocks.columns else F.array(_place(blocks)).alias("location")
+    own = blocks.where(F.col("type").isin(*FIGURES)).select("doc_id", "id", "pos", "type", F.col("image").alias("level"), "content", ids, spots)
+    note = F.struct("pos", F.col("id").alias("note"), F.col("type").contains("caption").alias("cap"), "content", _place(blocks).alias("place"))
+    notes = blocks.where(F.col("type").contains("caption") | F.col("type").contains("footnote")).select("doc_id", F.col("image").alias("id"), note.alias("n"))
     attached = notes.groupBy("doc_id", "id").agg(F.array_sort(F.collect_list("n")).alias("notes"))
-    text = lambda cap: F.array_join(F.transform(F.filter("notes", lambda n: n["cap"] if cap else ~n["cap"]), lambda n: n["content"]), " ")
+    text = lambda cap: F.coalesce(F.array_join(F.transform(F.filter("notes", lambda n: n["cap"] if cap else ~n["cap"]), lambda n: n["content"]), " "), F.lit(""))
+    more = lambda own, field: F.when(F.col("notes").isNull(), F.col(own)).otherwise(F.concat(own, F.transform("notes", lambda n: n[field]))).alias(own)
     got = own.join(attached, ["doc_id", "id"], "left")
-    return got.select("doc_id", "id", "pos", "type", "level", "content", F.coalesce(text(True), F.lit("")).alias("title"), F.coalesce(text(False), F.lit("")).alias("metadata"), F.concat("block_ids", F.coalesce(F.transform("notes", lambda n: n["note"]), F.array().cast("array<bigint>"))).alias("block_ids"))
+    return got.select("doc_id", "id", "pos", "type", "level", "content", text(True).alias("title"), text(False).alias("metadata"), more("block_ids", "note"), more("location", "place"))
 
 
-def figure_parents(figures_: DataFrame, components_: DataFrame, titles: DataFrame) -> DataFrame:
-    """(doc_id, id, parent_kind, parent): a figure that is named by its link, the text node with its link, or the last title before.
+def figure_parents(figures_: DataFrame, components_: DataFrame, titles: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, id, pos, parent_kind, parent, and ``keep`` of a text node): a figure that is named by its link, the text node with its link, or the last title before.
 
     A figure linked to itself counts as not linked; one that finds no node has null.
     """
     link = F.when((F.col("level") < 0) | F.array_contains("block_ids", F.col("level")), None).otherwise(F.col("level"))
-    own = figures_.select("doc_id", "id", link.alias("link"), F.array_min("block_ids").alias("least"))
+    own = figures_.select("doc_id", "id", "pos", link.alias("link"), F.array_min("block_ids").alias("least"))
     holder = figures_.select("doc_id", F.col("id").alias("holder"), F.explode("block_ids").alias("link"))
     within = own.join(holder, ["doc_id", "link"]).where("holder != id").groupBy("doc_id", "id").agg(F.min("holder").alias("holder"))
-    spots = components_.select("doc_id", "comp", F.explode("block_ids").alias("at")).groupBy("doc_id", "at").agg(F.min("comp").alias("comp"))
+    spots = components_.select("doc_id", F.struct("comp", *keep).alias("spot"), F.explode("block_ids").alias("at")).groupBy("doc_id", "at").agg(F.min("spot").alias("spot"))
     # The last title before a figure: a window over titles and figures, no theta join.
     marks = titles.select("doc_id", F.col("id").alias("at"), F.col("id").alias("title_id"), F.lit(None).cast("long").alias("id")).unionByName(own.select("doc_id", F.col("least").alias("at"), F.lit(None).cast("long").alias("title_id"), "id"))
     w = Window.partitionBy("doc_id").orderBy("at", F.col("title_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     former = marks.withColumn("former", F.last("title_id", ignorenulls=True).over(w)).where("id is not null").select("doc_id", "id", "former")
     joined = own.join(within, ["doc_id", "id"], "left").join(former, ["doc_id", "id"], "left").withColumn("at", F.coalesce("link", "former")).join(spots, ["doc_id", "at"], "left")
-    kind = F.when(F.col("holder").isNotNull(), "figure").when(F.col("comp").isNotNull(), "text")
-    return joined.select("doc_id", "id", kind.alias("parent_kind"), F.coalesce(F.col("holder"), F.col("comp").cast("long")).alias("parent"))
+    kind = F.when(F.col("holder").isNotNull(), "figure").when(F.col("spot").isNotNull(), "text")
+    return joined.select("doc_id", "id", "pos", kind.alias("parent_kind"), F.coalesce(F.col("holder"), F.col("spot.comp").cast("long")).alias("parent"), *(F.col(f"spot.{c}").alias(c) for c in keep))
 
 
 def furniture(blocks: DataFrame) -> DataFrame:
-    """(doc_id, id, title): page furniture under the root, repeated names numbered."""
+    """(doc_id, id, pos, type, title, content, location): page furniture under the root, repeated names numbered."""
     w = Window.partitionBy("doc_id", "page", "type").orderBy("pos")
     n = F.row_number().over(w) - 1
     name = F.concat(F.lit("Page "), F.col("page").cast("string"), F.lit(" - "), F.col("type"))
-    return blocks.where(F.col("type").isin(*FURNITURE)).select("doc_id", "id", "type", F.concat(name, F.when(n > 0, F.concat(F.lit(" - "), n.cast("string"))).otherwise("")).alias("title"), "content")
+    return blocks.where(F.col("type").isin(*FURNITURE)).select("doc_id", "id", "pos", "type", F.concat(name, F.when(n > 0, F.concat(F.lit(" - "), n.cast("string"))).otherwise("")).alias("title"), "content", F.array(_place(blocks)).alias("location"))
 
 
-def split_texts(components_: DataFrame, limit: int = 500) -> DataFrame:
-    """(doc_id, comp, part, title, content, block_ids) of long text nodes, cut at markers and packed until over the limit.
+def with_parts(components_: DataFrame, limit: int = 500) -> DataFrame:
+    """Adds ``parts`` (part, title, content, block_ids, location) of long text nodes, cut at markers and packed until over the limit; none if there is one only.
 
     Indexes run over non-empty pieces; a title takes the first place and goes with every
     part; a part whose index has no block is left out.
     """
+    if "location" not in components_.columns:
+        components_ = components_.withColumn("location", F.lit(None).cast("array<struct<bbox:array<double>,page:int>>"))
     pieces = F.filter(F.split("content", r"<\|txt_(?:split|contd)\|>"), lambda p: p != "")
-    long_ = components_.where(F.length("content") > limit).select("doc_id", "comp", "title", "block_ids", pieces.alias("pieces"))
     start = F.expr("named_struct('done', cast(array() as array<struct<c: string, i: array<int>>>), 'c', '', 'i', cast(array() as array<int>))")
 
     def step(acc, piece):
@@ -119,13 +139,76 @@ def split_texts(components_: DataFrame, limit: int = 500) -> DataFrame:
             F.when(full, F.expr("cast(array() as array<int>)")).otherwise(i).alias("i"),
         )
 
-    numbered = F.transform("pieces", lambda p, k: F.struct(p.alias("p"), (k + 1).alias("k")))
-    packed = long_.withColumn("s", F.aggregate(numbered, start, step))
-    parts = F.when(F.col("s.c") != "", F.concat("s.done", F.array(F.struct(F.col("s.c").alias("c"), F.col("s.i").alias("i"))))).otherwise(F.col("s.done"))
-    rows = packed.withColumn("parts", parts).where("size(parts) > 1").select("doc_id", "comp", "title", "block_ids", F.posexplode("parts").alias("k", "part"))
-    places = F.when(F.col("title") == NO_TITLE, F.transform("part.i", lambda i: i - 1)).otherwise(F.concat(F.array(F.lit(0)), F.col("part.i")))
-    rows = rows.withColumn("places", places).where("array_max(places) < size(block_ids)")
-    return rows.select("doc_id", "comp", (F.col("k") + 1).alias("part"), F.concat_ws("_", "title", (F.col("k") + 1).cast("string")).alias("title"), F.col("part.c").alias("content"), F.transform("places", lambda i: F.get("block_ids", i)).alias("block_ids"))
+    def closed(s):
+        return F.filter(F.concat(s["done"], F.array(F.struct(s["c"].alias("c"), s["i"].alias("i")))), lambda p: p["c"] != "")
+
+    numbered = F.transform(pieces, lambda p, k: F.struct(p.alias("p"), (k + 1).alias("k")))
+    # Columns of their own, so that no part is packed anew for another.
+    rows = components_.withColumn("_packed", F.when(F.length("content") > limit, F.aggregate(numbered, start, step, closed)))
+    untitled = F.col("title") == NO_TITLE
+    rows = rows.withColumn("_before", F.when(untitled, F.expr("cast(array() as array<int>)")).otherwise(F.array(F.lit(0)))).withColumn("_off", F.when(untitled, 1).otherwise(0))
+    placed = F.transform("_packed", lambda p, k: F.struct((k + 1).alias("part"), p["c"].alias("c"), F.concat("_before", F.transform(p["i"], lambda i: i - F.col("_off"))).alias("at")))
+    rows = rows.withColumn("_placed", F.when(F.size("_packed") > 1, placed))
+    found = F.filter("_placed", lambda p: F.array_max(p["at"]) < F.size("block_ids"))
+
+    def part(p):
+        at = lambda c: F.transform(p["at"], lambda i: F.get(c, i)).alias(c)
+        return F.struct(p["part"].alias("part"), F.concat_ws("_", "title", p["part"].cast("string")).alias("title"), p["c"].alias("content"), at("block_ids"), at("location"))
+
+    return rows.withColumn("parts", F.transform(found, part)).drop("_packed", "_before", "_off", "_placed")
+
+
+def split_texts(components_: DataFrame, limit: int = 500) -> DataFrame:
+    """(doc_id, comp, part, title, content, block_ids, location) of the parts of long text nodes."""
+    rows = with_parts(components_.where(F.length("content") > limit), limit).select("doc_id", "comp", F.explode("parts").alias("p"))
+    return rows.select("doc_id", "comp", "p.*")
+
+
+#: Sorts after every place of a document.
+LAST = 2**62
+
+
+def whole(blocks: DataFrame, limit: int = 500) -> DataFrame:
+    """The whole tree as rows in preorder: (doc_id, preorder, depth, type, title, metadata, content, level, block_ids, location).
+
+    Blocks have doc_id, id, pos, page, box, type, content, level, contd, image, and may have block_ids and location
+    of merged tables. A node's children come in this order: parts of its own long text, text nodes, figures, and
+    under the root page furniture. A figure hangs on the figure or text node that has the block it is linked to, or
+    else on the last title before it; one that finds none, or hangs on itself through others, is left out.
+
+    No tree is walked: text nodes are in preorder already and know where their subtree stops, so figures of a node
+    sort before that place (of several nodes that stop there, the deepest first), and one window ranks all nodes.
+    """
+    texts = nested(components(blocks), stop=True).withColumn("stop", F.coalesce("stop", F.lit(LAST))).withColumnRenamed("depth", "text_depth")
+    shown = figures(blocks)
+    hung = figure_parents(shown, texts, blocks.where("type = 'title' and level >= 0"), ("text_depth", "stop"))
+    on_text = F.col("parent_kind") == "text"
+    # What a figure's top hangs on goes down its tree: depth and stop of the text node.
+    tops = hung.where("parent_kind is not null").withColumn("top", F.when(on_text, F.struct("stop", "text_depth")))
+    ranked = kernels.forest(tops.select("doc_id", F.col("pos").alias("ord"), "id", F.when(~on_text, F.col("parent")).alias("parent"), "top.stop", "top.text_depth"))
+    shown = shown.join(ranked, ["doc_id", "id"])
+    fields = ["type", "title", "metadata", "content", "level", "block_ids", "location"]
+    sort = lambda a, b, c, d: [x.cast("long").alias(n) for x, n in zip((a, b, c, d), ("a", "b", "c", "d"), strict=True)]
+    nothing, none = F.lit("").alias("metadata"), F.lit(0)
+    own = F.struct(F.lit(0).alias("part"), "title", "content", "block_ids", "location")
+    every = F.when(F.col("parts").isNull(), F.array(own)).otherwise(F.concat(F.array(own), "parts"))
+    rows = with_parts(texts, limit).select("doc_id", "comp", "text_depth", F.col("level").alias("own_level"), F.explode(every).alias("p"))
+    sub = F.col("p.part") > 0
+    rows = rows.select(
+        "doc_id", (F.col("text_depth") + sub.cast("int")).alias("depth"), F.when(sub, "sub_text").otherwise("text").alias("type"), "p.title", nothing, "p.content",
+        F.when(sub, 1).otherwise(F.col("own_level")).cast("int").alias("level"), "p.block_ids", "p.location", *sort(F.col("comp"), F.lit(1), F.col("p.part"), none),
+    )
+    shown = shown.select("doc_id", (F.col("text_depth") + 1 + F.col("depth")).alias("depth"), *fields, *sort(F.col("stop"), F.lit(0), -F.col("text_depth"), F.col("rank")))
+    named = furniture(blocks).select("doc_id", F.lit(1).alias("depth"), "type", "title", F.col("content").alias("metadata"), "content", F.lit(-1).alias("level"), F.array("id").alias("block_ids"), "location", *sort(F.lit(LAST), F.lit(1), F.col("pos"), none))
+    under = rows
+    for more in (shown, named):
+        under = under.unionByName(more.withColumn("level", F.col("level").cast("int")))
+    root = blocks.select("doc_id").distinct().select(
+        "doc_id", none.alias("depth"), F.lit("root").alias("type"), F.lit("").alias("title"), nothing, F.lit("").alias("content"), none.alias("level"),
+        F.array().cast("array<bigint>").alias("block_ids"), F.array().cast("array<struct<bbox:array<double>,page:int>>").alias("location"), *sort(F.lit(-1), none, none, none),
+    )
+    order = Window.partitionBy("doc_id").orderBy("a", "b", "c", "d")
+    return under.unionByName(root).select("doc_id", (F.row_number().over(order) - 1).alias("preorder"), "depth", *fields)
 
 
 def enrich(nodes: DataFrame, answers: DataFrame) -> DataFrame:

@@ -591,7 +591,8 @@ raw AS (
   SELECT e.doc_id, e.comp, max(CASE WHEN type = 'title' THEN content END) AS title, max(CASE WHEN type = 'title' THEN level END) AS level,
     coalesce(substr(string_agg(CASE WHEN type = 'text' AND pos >= f THEN CASE WHEN fp <= pos THEN '<|txt_contd|>' ELSE '<|txt_split|>' END || content END, '' ORDER BY pos), 14), '') AS content, string_agg(e.id, ',' ORDER BY pos) AS ids
   FROM e LEFT JOIN src ON src.doc_id = e.doc_id AND src.id = e.id LEFT JOIN f ON f.doc_id = e.doc_id AND f.comp = e.comp GROUP BY 1, 2
-), comps AS (SELECT doc_id, CAST(comp AS INTEGER) AS comp, coalesce(title, 'Default Title') AS title, CAST(coalesce(level, 1) AS INTEGER) AS level, content, ids FROM raw QUALIFY title IS NOT NULL OR content <> '' OR comp = max(comp) OVER (PARTITION BY doc_id))"""
+), comps AS (SELECT doc_id, CAST(comp AS INTEGER) AS comp, coalesce(title, 'Default Title') AS title, CAST(coalesce(level, 1) AS INTEGER) AS level, content, ids FROM raw QUALIFY title IS NOT NULL OR content <> '' OR comp = max(comp) OVER (PARTITION BY doc_id)
+  UNION ALL SELECT DISTINCT doc_id, 0, 'Default Title', 1, '', '' FROM mixed WHERE doc_id NOT IN (SELECT doc_id FROM e))"""
 _NEST = """placed AS (SELECT a.doc_id, a.comp, max(b.comp) AS parent FROM comps a LEFT JOIN comps b ON b.doc_id = a.doc_id AND b.comp < a.comp AND CASE WHEN b.level > 0 THEN b.level ELSE 100 END < CASE WHEN a.level > 0 THEN a.level ELSE 100 END GROUP BY 1, 2),
 deep(doc_id, comp, depth) AS (SELECT doc_id, comp, 1 FROM placed WHERE parent IS NULL UNION ALL SELECT p.doc_id, p.comp, depth + 1 FROM placed p JOIN deep ON deep.doc_id = p.doc_id AND deep.comp = p.parent)"""
 
@@ -621,7 +622,7 @@ def _(s, d):
     return tree.figures(D.mixed_blocks(s, d)).select("doc_id", "id", "type", "title", "metadata", F.array_join(C("block_ids").cast("array<string>"), ",").alias("ids"))
 
 
-@query("tree_03_join_08_09_10_figure_parents", f"WITH {D.MIXED}, {_COMP}, n AS (SELECT doc_id, image AS v, id FROM mixed WHERE contains(type, 'caption') OR contains(type, 'footnote')), vis AS (SELECT doc_id, id, type, image FROM mixed WHERE type IN ('image', 'table', 'image_block')), held AS (SELECT doc_id, id AS v, id FROM vis UNION ALL SELECT n.doc_id, n.v, n.id FROM n JOIN vis ON vis.doc_id = n.doc_id AND vis.id = n.v), lnk AS (SELECT v.doc_id, v.id, CASE WHEN image >= 0 AND NOT EXISTS (SELECT 1 FROM held h WHERE h.doc_id = v.doc_id AND h.v = v.id AND h.id = v.image) THEN image END AS link, (SELECT min(h.id) FROM held h WHERE h.doc_id = v.doc_id AND h.v = v.id) AS least FROM vis v), r AS (SELECT l.*, (SELECT min(h.v) FROM held h WHERE h.doc_id = l.doc_id AND h.id = l.link AND h.v <> l.id) AS holder, coalesce(link, (SELECT max(m.id) FROM mixed m WHERE m.doc_id = l.doc_id AND m.type = 'title' AND m.id < l.least)) AS at FROM lnk l), spots AS (SELECT c.doc_id, c.comp, CAST(unnest(string_split(ids, ',')) AS BIGINT) AS at FROM comps c) SELECT r.doc_id, r.id, CASE WHEN holder IS NOT NULL THEN 'figure' WHEN s.comp IS NOT NULL THEN 'text' END AS parent_kind, CAST(coalesce(holder, s.comp, -1) AS BIGINT) AS parent FROM r LEFT JOIN spots s ON s.doc_id = r.doc_id AND s.at = r.at")
+@query("tree_03_join_08_09_10_figure_parents", f"WITH {D.MIXED}, {_COMP}, n AS (SELECT doc_id, image AS v, id FROM mixed WHERE contains(type, 'caption') OR contains(type, 'footnote')), vis AS (SELECT doc_id, id, type, image FROM mixed WHERE type IN ('image', 'table', 'image_block')), held AS (SELECT doc_id, id AS v, id FROM vis UNION ALL SELECT n.doc_id, n.v, n.id FROM n JOIN vis ON vis.doc_id = n.doc_id AND vis.id = n.v), lnk AS (SELECT v.doc_id, v.id, CASE WHEN image >= 0 AND NOT EXISTS (SELECT 1 FROM held h WHERE h.doc_id = v.doc_id AND h.v = v.id AND h.id = v.image) THEN image END AS link, (SELECT min(h.id) FROM held h WHERE h.doc_id = v.doc_id AND h.v = v.id) AS least FROM vis v), r AS (SELECT l.*, (SELECT min(h.v) FROM held h WHERE h.doc_id = l.doc_id AND h.id = l.link AND h.v <> l.id) AS holder, coalesce(link, (SELECT max(m.id) FROM mixed m WHERE m.doc_id = l.doc_id AND m.type = 'title' AND m.id < l.least)) AS at FROM lnk l), spots AS (SELECT c.doc_id, c.comp, CAST(unnest(string_split(ids, ',')) AS BIGINT) AS at FROM comps c WHERE ids <> '') SELECT r.doc_id, r.id, CASE WHEN holder IS NOT NULL THEN 'figure' WHEN s.comp IS NOT NULL THEN 'text' END AS parent_kind, CAST(coalesce(holder, s.comp, -1) AS BIGINT) AS parent FROM r LEFT JOIN spots s ON s.doc_id = r.doc_id AND s.at = r.at")
 def _(s, d):
     m = D.mixed_blocks(s, d)
     got = tree.figure_parents(tree.figures(m), tree.components(m), m.where("type = 'title'"))
@@ -630,20 +631,89 @@ def _(s, d):
 
 @query("tree_04_win_04_furniture", f"WITH {D.MIXED}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, type ORDER BY pos) - 1 AS n FROM mixed WHERE type = 'header') SELECT doc_id, id, type, 'Page ' || page || ' - ' || type || CASE WHEN n > 0 THEN ' - ' || n ELSE '' END AS title, content FROM f")
 def _(s, d):
-    return tree.furniture(D.mixed_blocks(s, d))
+    return tree.furniture(D.mixed_blocks(s, d)).select("doc_id", "id", "type", "title", "content")
+
+
+# Parts of long texts: pieces are packed until a part is over the limit, one piece a step.
+_PARTS = """texts AS (
+  SELECT e.doc_id, e.comp, e.id, e.content, row_number() OVER (PARTITION BY e.doc_id, e.comp ORDER BY e.pos) AS k
+  FROM e JOIN comps c ON c.doc_id = e.doc_id AND c.comp = e.comp WHERE type = 'text' AND e.content <> '' AND length(c.content) > 500
+), packed(doc_id, comp, k, size, part) AS (
+  SELECT doc_id, comp, 1, length(content), 1 FROM texts WHERE k = 1
+  UNION ALL SELECT t.doc_id, t.comp, p.k + 1, CASE WHEN size > 500 THEN 0 ELSE size END + length(t.content), part + CASE WHEN size > 500 THEN 1 ELSE 0 END
+  FROM packed p JOIN texts t ON t.doc_id = p.doc_id AND t.comp = p.comp AND t.k = p.k + 1
+), parts AS (
+  SELECT t.doc_id, t.comp, part, string_agg(content, '' ORDER BY t.k) AS content, list(t.id ORDER BY t.k) AS ids
+  FROM texts t JOIN packed p ON t.doc_id = p.doc_id AND t.comp = p.comp AND t.k = p.k GROUP BY 1, 2, 3 QUALIFY count(*) OVER (PARTITION BY t.doc_id, t.comp) > 1
+), subs AS (
+  SELECT p.doc_id, p.comp, part, title || '_' || part AS title, p.content, CASE WHEN title = 'Default Title' THEN p.ids ELSE list_prepend(CAST(split_part(c.ids, ',', 1) AS BIGINT), p.ids) END AS ids
+  FROM parts p JOIN comps c ON c.doc_id = p.doc_id AND c.comp = p.comp
+)"""
+# Figures with captions and notes, and the node each hangs on.
+_FIGURES = """vis AS (SELECT doc_id, id, pos, type, image, content FROM mixed WHERE type IN ('image', 'table', 'image_block')),
+n AS (SELECT m.doc_id, m.image AS v, m.id, m.pos, m.content, contains(m.type, 'caption') AS cap FROM mixed m JOIN vis ON vis.doc_id = m.doc_id AND vis.id = m.image WHERE contains(m.type, 'caption') OR contains(m.type, 'footnote')),
+held AS (SELECT doc_id, id AS v, id, -1 AS at FROM vis UNION ALL SELECT doc_id, v, id, pos FROM n),
+lnk AS (SELECT v.*, CASE WHEN image >= 0 AND NOT EXISTS (SELECT 1 FROM held h WHERE h.doc_id = v.doc_id AND h.v = v.id AND h.id = v.image) THEN image END AS link, (SELECT min(h.id) FROM held h WHERE h.doc_id = v.doc_id AND h.v = v.id) AS least FROM vis v),
+r AS (SELECT l.*, (SELECT min(h.v) FROM held h WHERE h.doc_id = l.doc_id AND h.id = l.link AND h.v <> l.id) AS holder, coalesce(link, (SELECT max(m.id) FROM mixed m WHERE m.doc_id = l.doc_id AND m.type = 'title' AND m.id < l.least)) AS at FROM lnk l),
+spots AS (SELECT doc_id, comp, CAST(unnest(string_split(ids, ',')) AS BIGINT) AS at FROM comps WHERE ids <> ''),
+figs AS (
+  SELECT r.doc_id, r.id, r.pos, r.type, r.content, r.image, CASE WHEN holder IS NOT NULL THEN 'f' || holder WHEN s.comp IS NOT NULL THEN 't' || s.comp END AS up,
+    coalesce((SELECT string_agg(n.content, ' ' ORDER BY n.pos) FROM n WHERE n.doc_id = r.doc_id AND n.v = r.id AND cap), '') AS title, coalesce((SELECT string_agg(n.content, ' ' ORDER BY n.pos) FROM n WHERE n.doc_id = r.doc_id AND n.v = r.id AND NOT cap), '') AS metadata,
+    (SELECT list(h.id ORDER BY h.at) FROM held h WHERE h.doc_id = r.doc_id AND h.v = r.id) AS ids
+  FROM r LEFT JOIN spots s ON s.doc_id = r.doc_id AND s.at = r.at
+), named AS (
+  SELECT doc_id, id, pos, type, content, 'Page ' || page || ' - ' || type || CASE WHEN k > 1 THEN ' - ' || (k - 1) ELSE '' END AS title
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, type ORDER BY pos) AS k FROM mixed WHERE type = 'header')
+)"""
+# All nodes under their parents; the path of places from the root sorts them in preorder.
+_TREE = f"""{_COMP}, {_NEST}, {_PARTS}, {_FIGURES}, nodes AS (
+  SELECT c.doc_id, 't' || c.comp AS node, coalesce('t' || parent, 'root') AS up, 1 AS kind, CAST(c.comp AS BIGINT) AS ord, 'text' AS type, title, '' AS metadata, content, level, list_transform(list_filter(string_split(ids, ','), lambda x: x <> ''), lambda x: CAST(x AS BIGINT)) AS ids FROM comps c JOIN placed p ON p.doc_id = c.doc_id AND p.comp = c.comp
+  UNION ALL SELECT doc_id, 's' || comp || '_' || part, 't' || comp, 0, part, 'sub_text', title, '', content, 1, ids FROM subs
+  UNION ALL SELECT doc_id, 'f' || id, up, 2, pos, type, title, metadata, content, image, ids FROM figs
+  UNION ALL SELECT doc_id, 'h' || id, 'root', 3, pos, type, title, content, content, -1, [id] FROM named
+), walk(doc_id, node, depth, path) AS (
+  SELECT DISTINCT doc_id, 'root', 0, CAST([] AS BIGINT[]) FROM mixed
+  UNION ALL SELECT n.doc_id, n.node, depth + 1, path || [CAST(n.kind AS BIGINT), n.ord] FROM walk w JOIN nodes n ON n.doc_id = w.doc_id AND n.up = w.node
+), ranked AS (
+  SELECT w.doc_id, CAST(row_number() OVER (PARTITION BY w.doc_id ORDER BY path) - 1 AS INTEGER) AS preorder, CAST(depth AS INTEGER) AS depth, coalesce(type, 'root') AS type, coalesce(title, '') AS title,
+    coalesce(metadata, '') AS metadata, coalesce(n.content, '') AS content, CAST(coalesce(n.level, 0) AS INTEGER) AS level, coalesce(ids, []) AS ids
+  FROM walk w LEFT JOIN nodes n ON n.doc_id = w.doc_id AND n.node = w.node
+)"""
+_SPOT = "(SELECT string_agg(m.page || ':' || trunc(m.x1 * 1000)::INTEGER || ' ' || trunc(m.y1 * 1000)::INTEGER || ' ' || trunc(m.x2 * 1000)::INTEGER || ' ' || trunc(m.y2 * 1000)::INTEGER, ',' ORDER BY k) FROM (SELECT unnest(ids) AS i, generate_subscripts(ids, 1) AS k) u JOIN mixed m ON m.doc_id = r.doc_id AND m.id = u.i)"
 
 
-@query("tree_05_snk_05_tree_json")
+@query("tree_03_05_07_whole_tree", f"WITH RECURSIVE {D.TREE_BLOCKS}, {_TREE} SELECT doc_id, preorder, depth, type, title, metadata, content, level, array_to_string(ids, ',') AS ids, coalesce({_SPOT}, '') AS location FROM ranked r")
 def _(s, d):
-    n = tree.nested(tree.components(D.mixed_blocks(s, d)))
-    nodes = n.select("doc_id", C("comp").cast("long").alias("k"), F.coalesce("parent", F.lit(-1)).alias("parent"), "depth", C("comp").alias("ord"), F.lit("text").alias("type"), "title", F.lit("").alias("metadata"), "content", "level", "block_ids")
-    root = nodes.select("doc_id").distinct().select("doc_id", F.lit(-1).cast("long").alias("k"), F.lit(-2).cast("long").alias("parent"), F.lit(0).alias("depth"), F.lit(0).alias("ord"), F.lit("root").alias("type"), F.lit("").alias("title"), F.lit("").alias("metadata"), F.lit("").alias("content"), F.lit(0).alias("level"), F.array().cast("array<bigint>").alias("block_ids"))
-    return sinks.tree_json(nodes.unionByName(root))
+    n = tree.whole(D.tree_blocks(s, d))
+    spot = F.transform("location", lambda p: F.concat(p["page"].cast("string"), F.lit(":"), F.array_join(F.transform(p["bbox"], lambda x: (x * 1000).cast("int").cast("string")), " ")))
+    ids = F.array_join(C("block_ids").cast("array<string>"), ",").alias("ids")
+    return n.select("doc_id", "preorder", "depth", "type", "title", "metadata", "content", "level", ids, F.array_join(spot, ",").alias("location"))
 
 
-@query("tree_07_split_texts")
+_NODE_JSON = """SELECT doc_id, preorder, depth, type, lag(depth) OVER w AS before, lag(type) OVER w AS type_before, coalesce(lead(depth) OVER w, 0) AS after, coalesce(lead(type) OVER w, '') AS type_after,
+  to_json({'type': type, 'title': title, 'metadata': metadata, 'content': content, 'level': level, 'location': coalesce((SELECT list({'bbox': [m.x1, m.y1, m.x2, m.y2], 'page': m.page} ORDER BY k) FROM (SELECT unnest(ids) AS i, generate_subscripts(ids, 1) AS k) u JOIN mixed m ON m.doc_id = r.doc_id AND m.id = u.i), []), 'block_ids': ids})::VARCHAR AS own
+FROM ranked r WINDOW w AS (PARTITION BY doc_id ORDER BY preorder)"""
+_TREE_JSON = f"""WITH RECURSIVE {D.TREE_BLOCKS}, {_TREE}, own AS ({_NODE_JSON}), text AS (
+  SELECT doc_id, preorder, CASE WHEN before >= depth AND NOT (type_before = 'sub_text' AND type <> 'sub_text' AND before = depth) THEN ',' ELSE '' END || left(own, length(own) - 1)
+    || CASE WHEN type = 'sub_text' THEN ',"children":[]}}' || CASE WHEN type_after = 'sub_text' AND after = depth THEN '' ELSE '],"children":[' END
+      WHEN type = 'header' THEN ',"subnode":[]}}' WHEN type IN ('image', 'table', 'image_block') AND after > depth THEN ',"children":[],"subnode":['
+      WHEN type_after = 'sub_text' AND after > depth THEN ',"subnode":[' ELSE ',"subnode":[],"children":[' END
+    || repeat(']}}', greatest(depth - after + CASE WHEN type IN ('sub_text', 'header') THEN 0 ELSE 1 END, 0)) AS t FROM own
+) SELECT doc_id, string_agg(t, '' ORDER BY preorder) AS json FROM text GROUP BY doc_id"""
+
+
+@query("tree_05_snk_05_tree_json", _TREE_JSON)
 def _(s, d):
-    b = D.doc_blocks(s, d).withColumn("level", F.when(C("type") == "title", (C("pos") % 3 + 1).cast("int")).otherwise(-1)).withColumn("contd", F.lit(-1).cast("long"))
+    return sinks.tree_json(tree.whole(D.tree_blocks(s, d)))
+
+
+_SPLIT = D.DOC_BLOCKS + """, mixed AS (SELECT *, CASE WHEN type = 'title' AND pos % 9 = 0 THEN pos % 3 + 1 ELSE -1 END AS level, -1 AS contd FROM (SELECT * REPLACE (CASE WHEN type = 'title' AND pos % 9 <> 0 THEN 'text' ELSE type END AS type) FROM doc_blocks))"""
+
+
+@query("tree_07_split_texts", f"WITH RECURSIVE {_SPLIT}, {_COMP}, {_PARTS} SELECT doc_id, comp, CAST(part AS INTEGER) AS part, title, content, array_to_string(ids, ',') AS ids FROM subs")
+def _(s, d):
+    b = D.doc_blocks(s, d).withColumn("type", F.when(C("pos") % 9 == 0, C("type")).otherwise("text"))
+    b = b.withColumn("level", F.when(C("type") == "title", (C("pos") % 3 + 1).cast("int")).otherwise(-1)).withColumn("contd", F.lit(-1).cast("long"))
     got = tree.split_texts(tree.components(b))
     return got.select("doc_id", "comp", "part", "title", "content", F.array_join(C("block_ids").cast("array<string>"), ",").alias("ids"))
 

@@ -37,6 +37,21 @@ def mixed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TREE_KINDS = ("title", "text", "image", "image_caption", "image_block", "text", "text", "table", "table_footnote", "text", "header", "text")
+
+
+def tree_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of whole trees: several texts under a title, figures in figures, captions, notes and furniture."""
+    kinds = F.array(*[F.lit(k) for k in TREE_KINDS])
+    b = doc_blocks(spark, sf_dir).withColumn("type", F.get(kinds, ((F.col("pos") + F.col("doc_id")) % 12).cast("int")))
+    kind, pos = F.col("type"), F.col("pos")
+    link = F.when(kind.isin("image_caption", "table_footnote"), F.col("id") - 1).when((kind == "image") & (pos % 3 == 0), F.col("id") + 2).when((kind == "image_block") & (pos % 5 < 2), F.col("id") + 3).when((kind == "table") & (pos % 4 == 0), F.col("id") - 1)
+    return b.withColumns({
+        "level": F.when(kind == "title", (pos % 3 + 1).cast("int")).otherwise(-1), "image": F.coalesce(link, F.lit(-1)).cast("long"),
+        "contd": F.when((kind == "text") & (pos % 3 == 0), F.col("id") + 4).otherwise(-1).cast("long"),
+    })
+
+
 def long_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One item a line on pages with gaps."""
     p = F.col("pos")
@@ -95,6 +110,14 @@ MIXED = DOC_BLOCKS + """, kinds AS (
     CASE WHEN kind = 'text' AND pos % 3 = 0 THEN id + 8 ELSE -1 END AS contd
   FROM kinds
 )"""
+TREE_BLOCKS = DOC_BLOCKS + f""", kinds AS (
+  SELECT *, [{', '.join(f"'{k}'" for k in TREE_KINDS)}][(pos + doc_id) % 12 + 1] AS kind FROM doc_blocks
+), mixed AS (
+  SELECT doc_id, pos, id, page, kind AS type, content, x1, y1, x2, y2, CASE WHEN kind = 'title' THEN pos % 3 + 1 ELSE -1 END AS level,
+    CASE WHEN kind IN ('image_caption', 'table_footnote') THEN id - 1 WHEN kind = 'image' AND pos % 3 = 0 THEN id + 2 WHEN kind = 'image_block' AND pos % 5 < 2 THEN id + 3 WHEN kind = 'table' AND pos % 4 = 0 THEN id - 1 ELSE -1 END AS image,
+    CASE WHEN kind = 'text' AND pos % 3 = 0 THEN id + 4 ELSE -1 END AS contd
+  FROM kinds
+)"""
 LONG_PAGES = DOC_BLOCKS + ", long_pages AS (SELECT doc_id, pos, CAST(pos * 3 - pos % 3 * pos % 7 + 1 AS INTEGER) AS page FROM doc_blocks)"
 ORDER_TABLES = """order_rows AS (
   SELECT l_orderkey AS doc_id, l_linenumber, l_partkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) AS rn, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry
+from pagewright.operators import tree
 
 FORMATS = ("post-processing", "normalized", "pages", "title-blocks")
 
@@ -46,23 +47,34 @@ def block_list_json(blocks: DataFrame) -> DataFrame:
 
 
 def tree_json(nodes: DataFrame) -> DataFrame:
-    """doc_id, json: nested trees from node rows (doc_id, k, parent, depth, ord, type, title, metadata, content, level, block_ids).
+    """doc_id, json: nested trees from the rows of ``tree.whole`` (doc_id, preorder, depth, type and the node's fields).
 
-    Children are folded into their parents level by level from the deepest up, as Spark has
-    no recursive type; the number of levels is that of the deepest tree.
+    Each row opens its object, and closes those that end with it: as many as the depth falls to the next row. So the
+    rows of a document, joined in preorder, are its text, whatever the depth. Parts of a text are its ``subnode``; so
+    are the children of a figure; furniture has no children.
     """
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    keys = ["type", "title", "metadata", "content", "level", "block_ids"]
-    body = nodes.select("doc_id", "k", "parent", "depth", "ord", F.to_json(F.struct(*keys)).alias("own"))
-    below = body.where(f"depth > {deepest}").select("doc_id", F.col("parent").alias("k"), F.lit("").alias("kids"))
-    for depth in range(deepest, -1, -1):
-        level = body.where(f"depth = {depth}").join(below, ["doc_id", "k"], "left")
-        text = F.concat(F.left("own", F.length("own") - 1), F.lit(',"children":['), F.coalesce("kids", F.lit("")), F.lit("]}"))
-        level = level.select("doc_id", "parent", "ord", text.alias("text"))
-        if depth == 0:
-            return level.select("doc_id", F.col("text").alias("json"))
-        below = level.groupBy("doc_id", F.col("parent").alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), ",").alias("kids"))
-    return body.select("doc_id", F.col("own").alias("json"))
+    w = Window.partitionBy("doc_id").orderBy("preorder")
+    rows = nodes.select(
+        "doc_id", "preorder", "depth", "type", F.to_json(F.struct("type", "title", "metadata", "content", "level", "location", "block_ids")).alias("own"),
+        F.lag("depth").over(w).alias("before"), F.lag("type").over(w).alias("type_before"), F.coalesce(F.lead("depth").over(w), F.lit(0)).alias("after"), F.coalesce(F.lead("type").over(w), F.lit("")).alias("type_after"),
+    )
+    part, kind = F.col("type") == "sub_text", F.col("type")
+    inner = F.col("after") > F.col("depth")
+    furniture = kind.isin(*tree.FURNITURE)
+    # Parts come before the other children of a text and end its list of subnodes.
+    first_child = (F.col("type_before") == "sub_text") & ~part & (F.col("before") == F.col("depth"))
+    comma = F.when((F.col("before") >= F.col("depth")) & ~first_child, ",").otherwise("")
+    opened = (
+        F.when(part, F.concat(F.lit(',"children":[]}'), F.when((F.col("type_after") == "sub_text") & (F.col("after") == F.col("depth")), "").otherwise('],"children":[')))
+        .when(furniture, ',"subnode":[]}')
+        .when(kind.isin(*tree.FIGURES) & inner, ',"children":[],"subnode":[')
+        .when((F.col("type_after") == "sub_text") & inner, ',"subnode":[')
+        .otherwise(',"subnode":[],"children":[')
+    )
+    ends = F.greatest(F.col("depth") - F.col("after") + F.when(part | furniture, 0).otherwise(1), F.lit(0))
+    text = F.concat(comma, F.left("own", F.length("own") - 1), opened, F.repeat(F.lit("]}"), ends))
+    whole = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("preorder", text.alias("text")))).alias("l"))
+    return whole.select("doc_id", F.array_join(F.transform("l", lambda x: x["text"]), "").alias("json"))
 
 
 def write_documents(rows: DataFrame, path: str) -> None:

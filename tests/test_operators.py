@@ -158,14 +158,6 @@ def test_split_packs_pieces_over_the_limit(spark):
     assert [(r.title, len(r.content), r.block_ids) for r in got] == [("T_1", 600, [9, 1, 2]), ("T_2", 100, [9, 3])]
 
 
-def test_nested_tree_json(spark):
-    nodes = spark.createDataFrame([(1, -1, -2, 0, 0, "root", "", "", "", 0, []), (1, 1, -1, 1, 1, "text", "A", "", "x", 1, [1]), (1, 2, 1, 2, 2, "text", "B", "", "y", 2, [2])], "doc_id int, k long, parent long, depth int, ord int, type string, title string, metadata string, content string, level int, block_ids array<long>")
-    import json
-
-    root = json.loads(sinks.tree_json(nodes).first().json)
-    assert root["children"][0]["title"] == "A" and root["children"][0]["children"][0]["block_ids"] == [2]
-
-
 def test_full_width_forms(spark):
     got = spark.createDataFrame([("Ａ１…",), (None,)], "t string").select(text.full_to_half(F.col("t")).alias("t")).collect()
     assert [r.t for r in got] == ["A1...", None]
