@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.functions import html_grid, text
+from pagewright.operators import tree
 from pagewright.plans import kernels
 
 # Continuation markers and caption patterns.
@@ -207,13 +208,23 @@ def merged_html(parts: pa.Array) -> pa.Array:
 
 
 def merge_tables(blocks: DataFrame, members: DataFrame) -> DataFrame:
-    """Blocks with chains merged into their first table: new content, merged ids; links to dropped tables lead to it."""
+    """Blocks with chains merged into their first table: new content, block_ids and location of all parts; links to dropped tables lead to it.
+
+    Further columns of the blocks are kept, those of the first table for a chain.
+    """
     rows = blocks.where("type = 'table'").join(members, ["doc_id", "id"])
-    merged = rows.groupBy("doc_id", "base").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "content", "cell_list"))).alias("parts"))
-    merged = merged.select("doc_id", F.col("base").alias("id"), merged_html("parts").alias("merged"), F.transform("parts", lambda p: p["id"]).alias("merged_ids"))
+    merged = rows.groupBy("doc_id", "base").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "content", "cell_list", tree.place(blocks).alias("place")))).alias("parts"))
+    of = lambda field: F.transform("parts", lambda p: p[field])
+    html = merged_html(F.transform("parts", lambda p: F.struct(p["content"].alias("content"), p["cell_list"].alias("cell_list"))))
+    merged = merged.select("doc_id", F.col("base").alias("id"), html.alias("merged"), of("id").alias("merged_ids"), of("place").alias("merged_places"))
     gone = members.where("id != base").select("doc_id", "id", "base")
     kept = blocks.join(gone.select("doc_id", "id"), ["doc_id", "id"], "left_anti").join(merged, ["doc_id", "id"], "left").join(gone.select("doc_id", F.col("id").alias("image"), F.col("base").alias("moved")), ["doc_id", "image"], "left")
     anchor = blocks.select("doc_id", F.col("id").alias("target"), F.col("type").alias("target_type"))
     kept = kept.withColumn("target", F.coalesce("moved", "image")).join(anchor, ["doc_id", "target"], "left")
     lost = (F.col("type") == "table") & ((F.col("target") == F.col("id")) | F.col("target_type").isin("table_caption", "table_footnote"))
-    return kept.select("doc_id", "id", "pos", "page", "type", F.coalesce("merged", "content").alias("content"), F.when(lost, F.lit(-1)).otherwise(F.col("target")).cast("long").alias("image"), F.coalesce("merged_ids", F.array("id")).alias("block_ids"))
+    first = ["doc_id", "id", "pos", "page", "type"]
+    more = [c for c in blocks.columns if c not in (*first, "content", "image", "table_merge", "cell_list", "block_ids", "location")]
+    return kept.select(
+        *first, F.coalesce("merged", "content").alias("content"), F.when(F.coalesce(lost, F.lit(False)), F.lit(-1)).otherwise(F.col("target")).cast("long").alias("image"), *more,
+        F.coalesce("merged_ids", F.array("id")).alias("block_ids"), F.coalesce("merged_places", F.array(tree.place(blocks))).alias("location"),
+    )

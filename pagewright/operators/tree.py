@@ -17,7 +17,7 @@ CONTINUED, SPLIT = "<|txt_contd|>", "<|txt_split|>"
 NO_TITLE = "Default Title"
 
 
-def _place(blocks: DataFrame) -> Column:
+def place(blocks: DataFrame) -> Column:
     """Box and page of a block; null where the blocks have none."""
     if not {"page", *geometry.BOX} <= set(blocks.columns):
         return F.lit(None).cast("struct<bbox:array<double>,page:int>")
@@ -31,7 +31,7 @@ def components(blocks: DataFrame) -> DataFrame:
     continues an earlier one if that is linked to it from the same place or before.
     """
     kind = F.when((F.col("type") == "title") & (F.col("level") < 0), "text").otherwise(F.col("type"))
-    rows = blocks.select("doc_id", "id", "pos", kind.alias("type"), F.coalesce("content", F.lit("")).alias("content"), "level", "contd", _place(blocks).alias("place"))
+    rows = blocks.select("doc_id", "id", "pos", kind.alias("type"), F.coalesce("content", F.lit("")).alias("content"), "level", "contd", place(blocks).alias("place"))
     # Other blocks only keep the place of a document that has no text: it gets an empty node.
     body_ = ~F.col("type").isin(*SPECIAL, *LARGE, *FURNITURE)
     rows = rows.select("doc_id", "pos", body_.alias("body"), *(F.when(body_, F.col(c)).alias(c) for c in ("id", "type", "content", "level", "contd", "place")))
@@ -80,9 +80,9 @@ def figures(blocks: DataFrame) -> DataFrame:
     Blocks of merged tables may bring their own ``block_ids`` and ``location``.
     """
     ids = "block_ids" if "block_ids" in blocks.columns else F.array("id").alias("block_ids")
-    spots = "location" if "location" in blocks.columns else F.array(_place(blocks)).alias("location")
+    spots = "location" if "location" in blocks.columns else F.array(place(blocks)).alias("location")
     own = blocks.where(F.col("type").isin(*FIGURES)).select("doc_id", "id", "pos", "type", F.col("image").alias("level"), "content", ids, spots)
-    note = F.struct("pos", F.col("id").alias("note"), F.col("type").contains("caption").alias("cap"), "content", _place(blocks).alias("place"))
+    note = F.struct("pos", F.col("id").alias("note"), F.col("type").contains("caption").alias("cap"), "content", place(blocks).alias("place"))
     notes = blocks.where(F.col("type").contains("caption") | F.col("type").contains("footnote")).select("doc_id", F.col("image").alias("id"), note.alias("n"))
     attached = notes.groupBy("doc_id", "id").agg(F.array_sort(F.collect_list("n")).alias("notes"))
     text = lambda cap: F.coalesce(F.array_join(F.transform(F.filter("notes", lambda n: n["cap"] if cap else ~n["cap"]), lambda n: n["content"]), " "), F.lit(""))
@@ -115,7 +115,7 @@ def furniture(blocks: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id", "page", "type").orderBy("pos")
     n = F.row_number().over(w) - 1
     name = F.concat(F.lit("Page "), F.col("page").cast("string"), F.lit(" - "), F.col("type"))
-    return blocks.where(F.col("type").isin(*FURNITURE)).select("doc_id", "id", "pos", "type", F.concat(name, F.when(n > 0, F.concat(F.lit(" - "), n.cast("string"))).otherwise("")).alias("title"), "content", F.array(_place(blocks)).alias("location"))
+    return blocks.where(F.col("type").isin(*FURNITURE)).select("doc_id", "id", "pos", "type", F.concat(name, F.when(n > 0, F.concat(F.lit(" - "), n.cast("string"))).otherwise("")).alias("title"), "content", F.array(place(blocks)).alias("location"))
 
 
 def with_parts(components_: DataFrame, limit: int = 500) -> DataFrame:

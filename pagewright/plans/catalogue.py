@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry, labels, text
-from pagewright.operators import annotate, candidates, chunking, evaluate, prompts, reconcile, responders, tables, tree
+from pagewright.operators import annotate, candidates, chunking, evaluate, prompts, reconcile, responders, staged, tables, tree
 from pagewright.plans import derived as D
+from pagewright.plans import durable
 from pagewright.sources import readers, sinks
 from pagewright.streaming import resume
 
@@ -718,6 +719,67 @@ def _(s, d):
     return got.select("doc_id", "comp", "part", "title", "content", F.array_join(C("block_ids").cast("array<string>"), ",").alias("ids"))
 
 
+# --- staged runs ---------------------------------------------------------------------------------
+
+_RUN_TABLE = "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>"
+
+
+def _run_files(s, d):
+    """Documents as vendor files: lines, and two tables on pages of their own at the end of every third; some files are cut off, some missing."""
+    b = D.doc_blocks(s, d).select("doc_id", "pos", "page", F.when(C("type") == "title", "paragraph_title").otherwise("text").alias("label"), "content")
+    ends = b.where("doc_id % 3 = 0").groupBy("doc_id").agg(F.max("pos").alias("last"), F.max("page").alias("page"))
+    more = ends.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"), "last", "page").select("doc_id", (C("last") + C("k")).alias("pos"), (C("page") + C("k")).cast("int").alias("page"), F.lit("table").alias("label"), F.lit(_RUN_TABLE).alias("content"))
+    at = C("pos") % 8
+    item = F.struct(C("label").alias("block_label"), C("content").alias("block_content"), F.array(F.lit(100.0), at * 10.0, F.lit(900.0), at * 10.0 + 10.0).alias("block_bbox"), C("pos").alias("block_order"))
+    lists = lambda df, keys, o, v: df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(C(o).alias("o"), v.alias("v")))), lambda x: x["v"]).alias("l"))
+    page = F.struct(F.struct(F.lit(1000).alias("width"), F.lit(100).alias("height"), C("l").alias("parsing_res_list")).alias("prunedResult"))
+    docs = lists(lists(b.unionByName(more), ["doc_id", "page"], "pos", item), ["doc_id"], "page", page)
+    js = F.to_json(F.struct(F.struct(C("l").alias("layoutParsingResults")).alias("result")))
+    js = F.when(C("doc_id") % 11 == 4, F.left(js, F.length(js) - 1)).otherwise(js)
+    return docs.where("doc_id % 13 != 5").select(C("doc_id").cast("string").alias("doc_id"), F.lit("paddle").alias("form"), js.alias("json"))
+
+
+def _run_client():
+    """Levels by place; tables are one; a document whose first title is its fourth block can't be answered."""
+
+    def call(prompt: str) -> str:
+        if prompt.startswith(prompts.HEADS["title"]):
+            ids = [int(line.split("<|page|>")[0]) for line in prompt.split("<|id|>")[1:]]
+            if ids[0] == 3:
+                raise RuntimeError("no answer")
+            return "\n".join(f"<|id|>{i}<|level|>{i % 3 + 1}" for i in ids)
+        return "" if prompt.startswith("<image>") else "flags: [0, 0]"
+
+    return call
+
+
+_RUN_SQL = f"""WITH RECURSIVE {D.DOC_BLOCKS}, lines AS (
+  -- Titles of one page are no chunk, so no levels are asked for.
+  SELECT * REPLACE ({NORMAL('content')} AS content), coalesce(min(page) FILTER (type = 'title') OVER d < max(page) FILTER (type = 'title') OVER d, false) AS asked FROM doc_blocks WINDOW d AS (PARTITION BY doc_id)
+), state AS (
+  SELECT doc_id, CASE WHEN doc_id % 13 = 5 THEN 'missing' WHEN doc_id % 11 = 4 THEN 'invalid' WHEN min(pos) FILTER (type = 'title') = 3 AND asked THEN 'failed' ELSE 'ok' END AS status, count(*) AS n FROM lines GROUP BY 1, asked
+), mixed AS (SELECT * REPLACE (CASE WHEN asked THEN type ELSE 'text' END AS type), CASE WHEN type = 'title' AND asked THEN pos % 3 + 1 ELSE -1 END AS level, -1 AS contd FROM lines WHERE doc_id IN (SELECT doc_id FROM state WHERE status = 'ok')), {_COMP}, {_NEST}, {_PARTS},
+size AS (SELECT placed.doc_id, count(*) AS texts, max(depth) AS depth FROM placed JOIN deep ON deep.doc_id = placed.doc_id AND deep.comp = placed.comp GROUP BY 1), cut AS (SELECT doc_id, count(*) AS parts, max(depth) + 1 AS depth FROM subs JOIN deep USING (doc_id, comp) GROUP BY 1),
+hung AS (SELECT doc_id, arg_max(depth, comp) + 1 AS depth FROM deep JOIN comps USING (doc_id, comp) WHERE title <> 'Default Title' AND doc_id % 3 = 0 GROUP BY 1)
+SELECT CAST(s.doc_id AS VARCHAR) AS doc_id, CASE status WHEN 'ok' THEN 'trees' WHEN 'failed' THEN 'answers' ELSE 'blocks' END AS stage, status,
+  CASE WHEN status IN ('missing', 'invalid') THEN 0 ELSE n + CASE WHEN s.doc_id % 3 = 0 THEN 2 ELSE 0 END END AS blocks, coalesce(texts, 0) AS texts, coalesce(parts, 0) AS parts,
+  CASE WHEN h.depth IS NULL THEN 0 ELSE 1 END AS tables, CASE WHEN h.depth IS NULL THEN 0 ELSE 2 END AS table_places, CAST(coalesce(greatest(z.depth, coalesce(c.depth, 0), coalesce(h.depth, 0)), 0) AS INTEGER) AS depth
+FROM state s LEFT JOIN size z ON z.doc_id = s.doc_id LEFT JOIN cut c ON c.doc_id = s.doc_id LEFT JOIN hung h ON h.doc_id = s.doc_id"""
+
+
+@query("run_01_staged_documents", _RUN_SQL)
+def _(s, d):
+    run = staged.Run(s, durable.new_folder(s, "staged"), "paddle", _run_client, tries=2)
+    report = run.go(D.table(s, d, "documents").select(C("doc_id").cast("string").alias("doc_id")), _run_files(s, d))
+    count = lambda cond, name: F.count_if(cond).alias(name)
+    kind = C("type")
+    trees = run.table("trees").groupBy("doc_id").agg(count(kind == "text", "texts"), count(kind == "sub_text", "parts"), count(kind == "table", "tables"), F.sum(F.when(kind == "table", F.size("location")).otherwise(0)).alias("table_places"), F.max("depth").alias("depth"))
+    rows = run.ledger().where("stage = 'blocks'").select("doc_id", C("rows").alias("blocks"))
+    got = report.join(rows, "doc_id").join(trees, "doc_id", "left")
+    number = lambda c, t: F.coalesce(c, F.lit(0)).cast(t).alias(c)
+    return got.select("doc_id", "stage", "status", "blocks", *(number(c, "long") for c in ("texts", "parts", "tables", "table_places")), number("depth", "int"))
+
+
 @query("enr_01_enrichment", f"WITH {D.MIXED} SELECT doc_id, id, type, CASE WHEN type = 'image' THEN 'T' || id WHEN type = 'text' THEN '' END AS title, CASE WHEN type = 'image' THEN 'M' ELSE '[T]T' || id || '[M]M[C]C' END AS metadata, content FROM mixed WHERE type IN ('image', 'text') AND content <> ''")
 def _(s, d):
     m = D.mixed_blocks(s, d).where("type in ('image', 'text') and content != ''").select("doc_id", "id", "type", F.lit("").alias("title"), F.lit("").alias("metadata"), "content")

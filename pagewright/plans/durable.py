@@ -1,18 +1,29 @@
-"""Cutting lineage where executors can be lost: checkpoints in the shared folder."""
+"""Tables that outlive a job: written to the folder that all executors share, and read again."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import SparkSession
 
+_own: dict[str, str] = {}
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir`` (a folder of our own only where it is unset)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
+
+def folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a new one only where that is unset, on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="pagewright-checkpoints-"))
-    return df.checkpoint()
+        app = spark.sparkContext.applicationId
+        found = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="pagewright-runs-"))
+    return found.rstrip("/")
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A folder of its own below ``folder``, deleted when the application ends."""
+    path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
