@@ -3,9 +3,11 @@
 Every scan partition is a run: its rows, sorted by digest, give one entry a text with the
 smallest identifier and the number of rows. Runs are then exchanged in rounds of a binomial
 tree: 2 ** FAN_BITS runs whose numbers agree in the upper bits become one. In a round, a task
-takes a range of digests of all runs of a group, in order, and merges equal entries, keeping
-the smallest identifier; entries are equal if SHA-256, length and a second, independent hash
-agree, which is checked anew in every round. The last round has one run.
+takes a range of digests of all runs of a group, sorts their entries into one order (digest,
+then identifier) and passes over them once with a window: the first of equal entries has the
+smallest identifier and stays, with the number of rows of all. The window needs that order, so
+the sort stays in the plan that runs. Entries are equal if SHA-256, length and a second,
+independent hash agree, which is checked anew in every round. The last round has one run.
 
 The way back down hands each run the root's answers for the entries it brought, round by round,
 so an entry meets at most 2 ** FAN_BITS partners and a document looks up its own run: the rows
@@ -23,7 +25,7 @@ by ``deduplicate``. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm import scratch
@@ -56,8 +58,11 @@ def merged(level: DataFrame, bits: int) -> DataFrame:
     """Runs whose numbers agree but for the lower ``bits`` merged into one, sorted by digest within ranges."""
     part = F.conv(F.hex(F.substring("digest", 1, 2)), 16, 10).cast("int")
     moved = level.withColumn("run", F.shiftright("run", bits)).withColumn("range", F.shiftright(part, 16 - RANGE_BITS))
-    runs = moved.repartition("run", "range").sortWithinPartitions("run", "range", *SAME)
-    return runs.groupBy("run", "range", *SAME).agg(F.min("doc_id").alias("doc_id"), F.sum("n").alias("n")).drop("range")
+    equal = Window.partitionBy("run", "range", *SAME)
+    runs = moved.repartition("run", "range").select(
+        "run", *SAME, "doc_id", F.row_number().over(equal.orderBy(F.asc_nulls_last("doc_id"))).alias("place"), F.sum("n").over(equal).alias("n")
+    )
+    return runs.where("place = 1").drop("place")
 
 
 def rounds(entries: DataFrame) -> list[DataFrame]:

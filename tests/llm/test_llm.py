@@ -199,6 +199,19 @@ def test_exact_duplicates_go_by_row(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_runs_are_sorted_and_merged_in_the_plan_that_runs(spark):
+    """A round sorts its entries by digest and id and passes over them once; no hash aggregation does it instead."""
+    df = spark.createDataFrame([(k, f"text {k % 7}") for k in range(60)], "doc_id long, text string").repartition(5)
+    entries = exact_dedup.entries_of(df, "doc_id", "text").withColumn("n", F.lit(1).cast("long"))
+    merged = exact_dedup.merged(entries, 0)
+    held = merged.collect()
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Sort \[run.*digest.*size.*second.*doc_id", plan) and "Window" in plan and "HashAggregate" not in plan
+    assert len({(r.run, bytes(r.digest)) for r in held}) == len(held) > 7 and sum(r.n for r in held) == 60
+    levels = exact_dedup.rounds(entries.drop("n"))
+    assert {(r.doc_id, r.n) for r in levels[-1].collect()} == {(k, 9 if k < 4 else 8) for k in range(7)}
+
+
 def test_embeddings_match_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((40, 16))
