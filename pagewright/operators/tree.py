@@ -35,14 +35,21 @@ def components(blocks: DataFrame) -> DataFrame:
     # Other blocks only keep the place of a document that has no text: it gets an empty node.
     body_ = ~F.col("type").isin(*SPECIAL, *LARGE, *FURNITURE)
     rows = rows.select("doc_id", "pos", body_.alias("body"), *(F.when(body_, F.col(c)).alias(c) for c in ("id", "type", "content", "level", "contd", "place")))
+    title = F.col("type") == "title"
+    # Of a node that is left out nothing but these needs to be known, so its texts aren't moved for those who ask for places only.
+    rows = rows.withColumn("filled", F.when(title, F.col("content") != NO_TITLE).otherwise(F.col("content") != ""))
     source = rows.where("type != 'title' and contd >= 0").groupBy("doc_id", F.col("contd").alias("id")).agg(F.min("pos").alias("from_pos"))
+    known = rows.where("body").select("doc_id", "id", "pos").join(source, ["doc_id", "id"]).where("from_pos <= pos").select("doc_id", "pos", F.lit(True).alias("continues"))
+    # Marks meet their rows in a window, so a text is dealt by its document once for all that follows.
     w = Window.partitionBy("doc_id").orderBy("pos")
-    rows = rows.withColumn("comp", F.coalesce(F.sum((F.col("type") == "title").cast("int")).over(w), F.lit(0))).join(source, ["doc_id", "id"], "left")
-    title = F.col("type") == "title"
-    marker = F.when(F.col("from_pos") <= F.col("pos"), F.lit(CONTINUED)).otherwise(F.lit(SPLIT))
+    rows = rows.unionByName(known, allowMissingColumns=True).repartition("doc_id").withColumn("continues", F.max("continues").over(Window.partitionBy("doc_id", "pos"))).where("body is not null")
+    rows = rows.withColumn("comp", F.coalesce(F.sum(title.cast("int")).over(w), F.lit(0)))
+    marker = F.when(F.col("continues"), F.lit(CONTINUED)).otherwise(F.lit(SPLIT))
     made = rows.groupBy("doc_id", "comp").agg(
         F.max(F.when(title, F.col("content"))).alias("title"),
         F.max(F.when(title, F.col("level"))).alias("level"),
+        F.coalesce(F.bool_or("filled"), F.lit(False)).alias("filled"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("body"), F.struct("pos", "id")))), lambda p: p["id"]).alias("block_ids"),
         F.array_sort(F.collect_list(F.when(F.col("body"), F.struct("pos", "id", title.alias("t"), marker.alias("m"), F.col("content").alias("c"), "place")))).alias("parts"),
     )
     made = made.withColumn("texts", F.filter("parts", lambda p: ~p["t"]))
@@ -52,10 +59,10 @@ def components(blocks: DataFrame) -> DataFrame:
     body = F.when(first > 0, body).otherwise("")
     made = made.select(
         "doc_id", F.col("comp").cast("int").alias("comp"), F.coalesce("title", F.lit(NO_TITLE)).alias("title"), F.coalesce("level", F.lit(1)).alias("level"),
-        body.alias("content"), F.transform("parts", lambda p: p["id"]).alias("block_ids"), F.transform("parts", lambda p: p["place"]).alias("location"),
+        body.alias("content"), "block_ids", F.transform("parts", lambda p: p["place"]).alias("location"), "filled",
     )
     last = F.max("comp").over(Window.partitionBy("doc_id"))
-    return made.withColumn("last", F.col("comp") == last).where(f"title != '{NO_TITLE}' or content != '' or last").drop("last")
+    return made.withColumn("last", F.col("comp") == last).where("filled or last").drop("last", "filled")
 
 
 def nested(components_: DataFrame, order: str = "comp", stop: bool = False) -> DataFrame:
@@ -74,20 +81,23 @@ def preview(nodes: DataFrame, order: str = "comp") -> DataFrame:
     return lines.unionByName(root)
 
 
-def figures(blocks: DataFrame) -> DataFrame:
+def figures(blocks: DataFrame, whole_: bool = True) -> DataFrame:
     """(doc_id, id, pos, type, level, content, title, metadata, block_ids, location): visual nodes with captions and footnotes in reading order.
 
-    Blocks of merged tables may bring their own ``block_ids`` and ``location``.
+    Blocks of merged tables may bring their own ``block_ids`` and ``location``. Without ``whole_``, ids only:
+    (doc_id, id, pos, level, block_ids).
     """
-    ids = "block_ids" if "block_ids" in blocks.columns else F.array("id").alias("block_ids")
-    spots = "location" if "location" in blocks.columns else F.array(place(blocks)).alias("location")
-    own = blocks.where(F.col("type").isin(*FIGURES)).select("doc_id", "id", "pos", "type", F.col("image").alias("level"), "content", ids, spots)
-    note = F.struct("pos", F.col("id").alias("note"), F.col("type").contains("caption").alias("cap"), "content", place(blocks).alias("place"))
-    notes = blocks.where(F.col("type").contains("caption") | F.col("type").contains("footnote")).select("doc_id", F.col("image").alias("id"), note.alias("n"))
+    ids = F.col("block_ids") if "block_ids" in blocks.columns else F.array("id").alias("block_ids")
+    spots = F.col("location") if "location" in blocks.columns else F.array(place(blocks)).alias("location")
+    own = blocks.where(F.col("type").isin(*FIGURES)).select("doc_id", "id", "pos", F.col("image").alias("level"), ids, *(["type", "content", spots] if whole_ else []))
+    note = ["pos", F.col("id").alias("note"), *([F.col("type").contains("caption").alias("cap"), "content", place(blocks).alias("place")] if whole_ else [])]
+    notes = blocks.where(F.col("type").contains("caption") | F.col("type").contains("footnote")).select("doc_id", F.col("image").alias("id"), F.struct(*note).alias("n"))
     attached = notes.groupBy("doc_id", "id").agg(F.array_sort(F.collect_list("n")).alias("notes"))
     text = lambda cap: F.coalesce(F.array_join(F.transform(F.filter("notes", lambda n: n["cap"] if cap else ~n["cap"]), lambda n: n["content"]), " "), F.lit(""))
     more = lambda own, field: F.when(F.col("notes").isNull(), F.col(own)).otherwise(F.concat(own, F.transform("notes", lambda n: n[field]))).alias(own)
     got = own.join(attached, ["doc_id", "id"], "left")
+    if not whole_:
+        return got.select("doc_id", "id", "pos", "level", more("block_ids", "note"))
     return got.select("doc_id", "id", "pos", "type", "level", "content", text(True).alias("title"), text(False).alias("metadata"), more("block_ids", "note"), more("location", "place"))
 
 
@@ -118,8 +128,9 @@ def furniture(blocks: DataFrame) -> DataFrame:
     return blocks.where(F.col("type").isin(*FURNITURE)).select("doc_id", "id", "pos", "type", F.concat(name, F.when(n > 0, F.concat(F.lit(" - "), n.cast("string"))).otherwise("")).alias("title"), "content", F.array(place(blocks)).alias("location"))
 
 
-def with_parts(components_: DataFrame, limit: int = 500) -> DataFrame:
+def with_parts(components_: DataFrame, limit: int = 500, kind: str = "true") -> DataFrame:
     """Adds ``parts`` (part, title, content, block_ids, location) of long text nodes, cut at markers and packed until over the limit; none if there is one only.
+    Rows of which ``kind`` isn't true have none.
 
     Indexes run over non-empty pieces; a title takes the first place and goes with every
     part; a part whose index has no block is left out.
@@ -144,7 +155,7 @@ def with_parts(components_: DataFrame, limit: int = 500) -> DataFrame:
 
     numbered = F.transform(pieces, lambda p, k: F.struct(p.alias("p"), (k + 1).alias("k")))
     # Columns of their own, so that no part is packed anew for another.
-    rows = components_.withColumn("_packed", F.when(F.length("content") > limit, F.aggregate(numbered, start, step, closed)))
+    rows = components_.withColumn("_packed", F.when(F.expr(kind) & (F.length("content") > limit), F.aggregate(numbered, start, step, closed)))
     untitled = F.col("title") == NO_TITLE
     rows = rows.withColumn("_before", F.when(untitled, F.expr("cast(array() as array<int>)")).otherwise(F.array(F.lit(0)))).withColumn("_off", F.when(untitled, 1).otherwise(0))
     placed = F.transform("_packed", lambda p, k: F.struct((k + 1).alias("part"), p["c"].alias("c"), F.concat("_before", F.transform(p["i"], lambda i: i - F.col("_off"))).alias("at")))
@@ -178,37 +189,45 @@ def whole(blocks: DataFrame, limit: int = 500) -> DataFrame:
 
     No tree is walked: text nodes are in preorder already and know where their subtree stops, so figures of a node
     sort before that place (of several nodes that stop there, the deepest first), and one window ranks all nodes.
+    Places are found on ids alone; a text is shuffled with its document to its node, and with all nodes to its rank.
     """
-    texts = nested(components(blocks), stop=True).withColumn("stop", F.coalesce("stop", F.lit(LAST))).withColumnRenamed("depth", "text_depth")
-    shown = figures(blocks)
-    hung = figure_parents(shown, texts, blocks.where("type = 'title' and level >= 0"), ("text_depth", "stop"))
+    texts = components(blocks)
+    level = F.when(F.col("level") > 0, F.col("level")).otherwise(100)
+    places = kernels.nearest_smaller(texts.select("doc_id", F.col("comp").alias("k"), level.alias("value")))
+    places = places.select("doc_id", "k", F.col("depth").alias("text_depth"), F.coalesce("stop", F.lit(LAST)).alias("stop"))
+    held = texts.select("doc_id", "comp", F.col("comp").cast("long").alias("k"), "block_ids").join(places, ["doc_id", "k"])
+    hung = figure_parents(figures(blocks, False), held, blocks.where("type = 'title' and level >= 0"), ("text_depth", "stop"))
     on_text = F.col("parent_kind") == "text"
     # What a figure's top hangs on goes down its tree: depth and stop of the text node.
     tops = hung.where("parent_kind is not null").withColumn("top", F.when(on_text, F.struct("stop", "text_depth")))
     ranked = kernels.forest(tops.select("doc_id", F.col("pos").alias("ord"), "id", F.when(~on_text, F.col("parent")).alias("parent"), "top.stop", "top.text_depth"))
-    shown = shown.join(ranked, ["doc_id", "id"])
+    shown = figures(blocks).join(ranked, ["doc_id", "id"])
     fields = ["type", "title", "metadata", "content", "level", "block_ids", "location"]
     sort = lambda a, b, c, d: [x.cast("long").alias(n) for x, n in zip((a, b, c, d), ("a", "b", "c", "d"), strict=True)]
     nothing, none = F.lit("").alias("metadata"), F.lit(0)
-    own = F.struct(F.lit(0).alias("part"), "title", "content", "block_ids", "location")
-    every = F.when(F.col("parts").isNull(), F.array(own)).otherwise(F.concat(F.array(own), "parts"))
-    rows = with_parts(texts, limit).select("doc_id", "comp", "text_depth", F.col("level").alias("own_level"), F.explode(every).alias("p"))
-    sub = F.col("p.part") > 0
-    rows = rows.select(
-        "doc_id", (F.col("text_depth") + sub.cast("int")).alias("depth"), F.when(sub, "sub_text").otherwise("text").alias("type"), "p.title", nothing, "p.content",
-        F.when(sub, 1).otherwise(F.col("own_level")).cast("int").alias("level"), "p.block_ids", "p.location", *sort(F.col("comp"), F.lit(1), F.col("p.part"), none),
-    )
+    rows = texts.select("doc_id", F.lit(None).cast("int").alias("depth"), F.lit("text").alias("type"), "title", nothing, "content", "level", "block_ids", "location", *sort(F.col("comp"), F.lit(1), none, none))
     shown = shown.select("doc_id", (F.col("text_depth") + 1 + F.col("depth")).alias("depth"), *fields, *sort(F.col("stop"), F.lit(0), -F.col("text_depth"), F.col("rank")))
     named = furniture(blocks).select("doc_id", F.lit(1).alias("depth"), "type", "title", F.col("content").alias("metadata"), "content", F.lit(-1).alias("level"), F.array("id").alias("block_ids"), "location", *sort(F.lit(LAST), F.lit(1), F.col("pos"), none))
-    under = rows
-    for more in (shown, named):
-        under = under.unionByName(more.withColumn("level", F.col("level").cast("int")))
     root = blocks.select("doc_id").distinct().select(
         "doc_id", none.alias("depth"), F.lit("root").alias("type"), F.lit("").alias("title"), nothing, F.lit("").alias("content"), none.alias("level"),
         F.array().cast("array<bigint>").alias("block_ids"), F.array().cast("array<struct<bbox:array<double>,page:int>>").alias("location"), *sort(F.lit(-1), none, none, none),
     )
-    order = Window.partitionBy("doc_id").orderBy("a", "b", "c", "d")
-    return under.unionByName(root).select("doc_id", (F.row_number().over(order) - 1).alias("preorder"), "depth", *fields)
+    every = rows
+    for more in (shown, named, root):
+        every = every.unionByName(more.withColumn("level", F.col("level").cast("int")))
+    # The depth of a text node comes beside it; then its parts follow it.
+    deep = places.select("doc_id", F.col("k").alias("a"), "text_depth", F.lit(True).alias("beside"))
+    every = every.unionByName(deep, allowMissingColumns=True).repartition("doc_id")
+    every = every.withColumn("text_depth", F.max("text_depth").over(Window.partitionBy("doc_id", "a"))).where("beside is null")
+    every = with_parts(every.withColumn("depth", F.coalesce("depth", "text_depth")), limit, "type = 'text'")
+    own = F.struct(F.lit(0).alias("part"), "title", "content", "block_ids", "location")
+    every = every.select("doc_id", "depth", "type", "metadata", F.col("level").alias("own_level"), "a", "b", "c", "d", F.explode(F.when(F.col("parts").isNull(), F.array(own)).otherwise(F.concat(F.array(own), "parts"))).alias("p"))
+    sub = F.col("p.part") > 0
+    order = Window.partitionBy("doc_id").orderBy("a", "b", "c", "d", "p.part")
+    return every.select(
+        "doc_id", (F.row_number().over(order) - 1).alias("preorder"), (F.col("depth") + sub.cast("int")).alias("depth"), F.when(sub, "sub_text").otherwise(F.col("type")).alias("type"), "p.title",
+        "metadata", "p.content", F.when(sub, 1).otherwise(F.col("own_level")).cast("int").alias("level"), "p.block_ids", "p.location",
+    )
 
 
 def enrich(nodes: DataFrame, answers: DataFrame) -> DataFrame:
