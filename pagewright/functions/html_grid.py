@@ -148,7 +148,8 @@ def _described(grid: Grid, rows: range, nfkc: bool) -> list[list[str]]:
         for c in cells:
             spans = [f"{k}={v}" for k, v in (("rowspan", c.rows), ("colspan", c.cols)) if v > 1]
             shown = "".join(p.strip() for p in c.text.split("\n"))
-            line.append((", ".join([",".join(spans), ""]) if spans else "") + (unicodedata.normalize("NFKC", shown) if nfkc else shown))
+            shown = unicodedata.normalize("NFKC", shown) if nfkc else shown
+            line.append(f"{','.join(spans)}, {shown}" if spans else shown)
         out.append(line)
         if not (len(cells) == 1 and cells[0].cols >= total):
             break

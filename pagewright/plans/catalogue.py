@@ -1001,6 +1001,27 @@ def _(s, d):
     return evaluate.matches(evaluate.candidates(evaluate.truth_blocks(_cases(s, d)), _predicted(s, d)))
 
 
+# Pairs of titles on a page with scores in tenths, so that many are equal; taken one by one in the order of the task.
+_GREEDY_SQL = f"""WITH RECURSIVE {D.DOC_BLOCKS}, t AS (SELECT * FROM doc_blocks WHERE type = 'title'), c AS (
+  SELECT CAST(a.doc_id AS VARCHAR) AS doc_id, CAST(a.pos AS VARCHAR) AS gt_id, CAST(b.pos AS VARCHAR) AS pred_id, CAST((a.pos * 7 + b.pos * 3) % 10 AS DOUBLE) / 10 AS score
+  FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.page = b.page WHERE (a.pos + b.pos) % 4 <> 1
+), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, gt_id DESC, pred_id DESC) AS k FROM c),
+walk(doc_id, k, gts, preds, taken) AS (
+  SELECT DISTINCT doc_id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), false FROM k
+  UNION ALL SELECT w.doc_id, k.k, CASE WHEN list_contains(gts, gt_id) OR list_contains(preds, pred_id) THEN gts ELSE list_append(gts, gt_id) END,
+    CASE WHEN list_contains(gts, gt_id) OR list_contains(preds, pred_id) THEN preds ELSE list_append(preds, pred_id) END, NOT (list_contains(gts, gt_id) OR list_contains(preds, pred_id))
+  FROM walk w JOIN k ON k.doc_id = w.doc_id AND k.k = w.k + 1
+) SELECT k.doc_id, gt_id, pred_id, score FROM walk w JOIN k ON k.doc_id = w.doc_id AND k.k = w.k WHERE taken"""
+
+
+@query("match_01_greedy_pairs", _GREEDY_SQL)
+def _(s, d):
+    t = D.doc_blocks(s, d).where("type = 'title'").select(C("doc_id").cast("string").alias("doc_id"), "page", "pos")
+    both = t.withColumnRenamed("pos", "a").join(t.withColumnRenamed("pos", "b"), ["doc_id", "page"])
+    score = ((C("a") * 7 + C("b") * 3) % 10).cast("double") / 10
+    return evaluate.matches(both.select("doc_id", C("a").cast("string").alias("gt_id"), C("b").cast("string").alias("pred_id"), score.alias("score"), ((C("a") + C("b")) % 4 != 1).alias("close")))
+
+
 @query("evl_04_06_07_title_scores")
 def _(s, d):
     cases, predicted = _cases(s, d), _predicted(s, d)
