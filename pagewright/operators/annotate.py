@@ -118,7 +118,3 @@ def caption_of_page(blocks: DataFrame) -> DataFrame:
     """(doc_id, pos, caption): for each table the first table caption on its page."""
     first = blocks.where(F.col("type").isin("table_caption", "tab-title", "tab-caption")).groupBy("doc_id", "page").agg(F.min_by("content", "pos").alias("caption"))
     return blocks.where("type = 'table'").join(first, ["doc_id", "page"], "left").select("doc_id", "pos", "caption")
-
-
-def ordered(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy(key)))

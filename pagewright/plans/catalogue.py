@@ -491,7 +491,7 @@ def _(s, d):
     return prompts.json_answers(D.table(s, d, "events").select("event_id", F.expr(_JSON_RESPONSE).alias("response"))).select("event_id", "json")
 
 
-@query("udf_responder_titles")
+@query("udf_responder_titles", f"WITH {D.DOC_BLOCKS} SELECT doc_id, CAST(pos AS INTEGER) AS id, CAST(1 + (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1) % 3 AS INTEGER) AS level FROM doc_blocks WHERE type = 'title'")
 def _(s, d):
     asked = prompts.prompts(candidates.title_candidates(D.doc_blocks(s, d)), "title")
     return prompts.level_answers(responders.answered(asked, responders.stub())).select("doc_id", "id", "level")
@@ -936,7 +936,7 @@ def _(s, d):
     return sinks.title_blocks(b).select("doc_id", "block_id", "page", "order", "content")
 
 
-@query("snk_04_07_block_list_json")
+@query("snk_04_07_block_list_json", f"""WITH {D.MIXED} SELECT doc_id, to_json(list({{'id': id, 'page': page, 'type': type, 'content': content, 'level': CAST(level AS INTEGER), 'image': image, 'contd': contd, 'bbox': [x1, y1, x2, y2]}} ORDER BY pos))::VARCHAR AS json FROM mixed GROUP BY doc_id""")
 def _(s, d):
     return sinks.block_list_json(D.mixed_blocks(s, d))
 

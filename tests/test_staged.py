@@ -1,11 +1,13 @@
 """Staged runs: what a second call does, what one failing document does, and responders with slow clients."""
 
 import json
+import threading
 import time
 
 from pyspark.sql import functions as F
 
 from pagewright.operators import responders, staged
+from pagewright.sources import readers, sinks
 
 TABLE = "<table><tr><th>a</th></tr><tr><td>1</td></tr></table>"
 
@@ -84,17 +86,23 @@ def test_rows_of_an_attempt_without_ledger_are_not_read(spark, tmp_path):
 
 def test_calls_are_made_together_and_answers_keep_their_order(spark):
     def slow():
+        lock, open_, most = threading.Lock(), [0], [0]
+
         def call(prompt):
-            time.sleep(0.25)
-            return prompt[::-1]
+            with lock:
+                open_[0] += 1
+                most[0] = max(most[0], open_[0])
+            time.sleep(0.1)
+            with lock:
+                open_[0] -= 1
+            return f"{prompt} {most[0]}"
 
         return call
 
-    asked = spark.range(16).select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("prompt")).coalesce(1)
-    began = time.time()
-    got = responders.answered(asked, slow, in_flight=16).collect()
-    assert [(r.id, r.response) for r in got] == [(k, f"p{k}"[::-1]) for k in range(16)]
-    assert time.time() - began < 16 * 0.25
+    asked = spark.range(32).select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("prompt")).coalesce(1)
+    got = responders.answered(asked, slow, in_flight=6).collect()
+    assert [(r.id, r.response.split()[0]) for r in got] == [(k, f"p{k}") for k in range(32)]
+    assert max(int(r.response.split()[1]) for r in got) == 6
 
 
 def test_a_call_that_hangs_counts_as_failed(spark):
@@ -114,3 +122,15 @@ def test_a_call_that_hangs_counts_as_failed(spark):
 def test_a_run_of_no_documents(spark, tmp_path):
     none = files(spark, "a").limit(0)
     assert staged.Run(spark, str(tmp_path), "paddle", client()).go(none.select("doc_id"), none, "blocks").count() == 0
+
+
+def test_vendor_files_of_a_folder_and_written_documents(spark, tmp_path):
+    """Whole files by stem, through a reader, to one JSON text a document that can be read again."""
+    for doc, _, body in (paddle("x.1", [[("text", "one"), ("paragraph_title", "T")]]), paddle("y", [[("text", "two")]])):
+        (tmp_path / f"{doc}.json").write_text(body, encoding="utf-8")
+    found = readers.json_files(spark, str(tmp_path))
+    assert {r.doc_id for r in found.collect()} == {"x.1", "y"}
+    blocks = readers.read(found.withColumn("form", F.lit("paddle")), "paddle")
+    sinks.write_documents(sinks.serialized(blocks, "normalized", "m"), str(tmp_path / "out"))
+    got = {r.doc_id: [b["content"] for b in json.loads(r.json)["blocks"]] for r in spark.read.json(str(tmp_path / "out")).collect()}
+    assert got == {"x.1": ["one", "T"], "y": ["two"]}
