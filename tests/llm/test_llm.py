@@ -564,6 +564,59 @@ def test_many_documents_share_a_passage(spark):
         assert len(got) == 399 and {r.doc_id for r in got} == set(range(1, 400)) and all(70 <= r.length <= 72 for r in got)
 
 
+def test_decoys_with_both_ends_hide_no_near_copy(spark):
+    """Before each of two near copies stands a smaller document with both ends of the passage, but not next to each other."""
+    rng = random.Random(21)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], {}
+    for k in range(0, 800, 4):
+        one, two = text(47), text(47)
+        decoy = lambda: text(40) + one + text(rng.randrange(30, 60)) + two + text(40)  # noqa: B023, E731
+        lead = text(60)
+        rows += [(k, decoy()), (k + 1, text(70) + one + text(4) + two + text(70)), (k + 2, decoy()), (k + 3, lead + one + text(4) + two + text(50))]
+        want[k + 3] = (60, 158)
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    for size in (8_000_000, 40_000):
+        got = {}
+        for r in substring_dedup.repeats(frame, part_bytes=size).collect():
+            got.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.length))
+        whole = sum(set(range(a, b)) <= got.get(i, set()) for i, (a, b) in want.items())
+        assert whole >= 0.97 * len(want) and set(got) <= set(want)
+
+
+def test_families_of_edited_copies_against_brute_force(spark):
+    """Ten edited copies each, none with 50 equal words in a row: every copy near an earlier one, by comparison of all pairs, is found."""
+    rng = random.Random(22)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, passage = [], {}
+    for _ in range(40):
+        base = text(rng.randrange(60, 200))
+        for _ in range(10):
+            p = list(base)
+            for at in range(rng.randrange(10, 45), len(p), 45):
+                if rng.random() < 0.6:
+                    p[at] = text(1)[0]
+            i = len(rows)
+            rows.append((i, " ".join(text(rng.randrange(20, 80)) + p + text(30))))
+            passage[i] = (i // 10, shingles(p))
+    want = {i for i, (f, x) in passage.items() if any(g == f and len(x & y) >= 0.8 * len(x | y) for j, (g, y) in passage.items() if f * 10 <= j < i)}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (8_000_000, 60_000):
+        got = {r.doc_id for r in substring_dedup.repeats(frame, part_bytes=size).collect()}
+        assert len(want & got) >= 0.97 * len(want)
+
+
+def test_no_part_is_asked_for_what_all_share(spark):
+    """Candidates of a passage that all documents have are spread over the parts."""
+    rng = random.Random(23)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    p = text(70)
+    df = spark.createDataFrame([(i, f"{text(40)} {p} {text(30)}") for i in range(3000)], "doc_id long, text string")
+    per_part = sorted(r["count"] for r in substring_dedup.candidates(df, part_bytes=30_000)[1].where(f"kind = {substring_dedup.CANDIDATE}").groupBy("part").count().collect())
+    assert len(per_part) > 30 and per_part[-1] <= 3 * per_part[len(per_part) // 2]
+
+
 def test_near_duplicates_go_by_row(spark):
     rng = random.Random(11)
     text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
