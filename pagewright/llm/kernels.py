@@ -105,12 +105,12 @@ def slices(offs: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
     release()
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, starts, ends (positions in ``data``) and first word of each document (one more at the end)."""
+def words(data: np.ndarray, offs: np.ndarray, step: int = 4 * SLICE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, starts, ends (positions in ``data``) and first word of each document (one more at the end); ``step`` bytes at a time."""
     lo, hi = int(offs[0]), int(offs[-1])
     parts, at = [], lo
     while at < hi:
-        end = min(hi, at + 4 * SLICE)
+        end = min(hi, at + step)
         while end < hi:  # cut before white space
             found = np.flatnonzero(_SPACE[data[max(at, end - 65536) : end]])
             if len(found) and max(at, end - 65536) + found[-1] > at:
