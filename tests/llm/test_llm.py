@@ -506,6 +506,38 @@ def test_a_smaller_document_with_a_part_hides_no_pair(spark):
     assert got == {i: set(range(*span)) for i, span in want.items()}
 
 
+def test_numbers_of_runs_come_back():
+    rng = np.random.default_rng(8)
+    values = rng.integers(-(2**62), 2**62, 1000)
+    values[:300] %= 1000
+    ends = np.sort(np.concatenate([[0, 0, 1000], rng.integers(0, 1000, 40)]))
+    column = substring_dedup.blobs(values, ends)
+    assert (substring_dedup.unblobbed(column, np.int64) == values).all()
+    assert (substring_dedup.unblobbed(column.slice(5, 10), np.int64) == values[ends[5] : ends[15]]).all()
+    assert not len(substring_dedup.unblobbed(substring_dedup.blobs(values[:0], np.zeros(1, np.int64)), np.int64))
+
+
+def test_pairs_verified_together_equal_those_alone():
+    rng = np.random.default_rng(9)
+    pairs = []
+    for k in range(120):  # copies with edits, moved by some words; repeated words; texts with nothing in common
+        x = rng.integers(0, [2**60, 40][k % 2], rng.integers(5, 300)).astype(np.uint64)
+        moved = int(rng.integers(0, 9))
+        y = np.concatenate([rng.integers(0, 2**60, moved).astype(np.uint64), np.delete(x, rng.integers(0, len(x), k % 4))])
+        if len(y) < substring_dedup.WIDTH or k % 10 == 9:
+            y = rng.integers(0, 2**60, 80).astype(np.uint64)
+        pairs.append((x, y, -moved))
+    shingled = [[kernels.shingles(w, np.array([0, len(w)]), substring_dedup.WIDTH)[0][: len(w) - substring_dedup.WIDTH + 1] for w in p[:2]] for p in pairs]
+    x, y = zip(*shingled, strict=True)
+    sizes = [np.array([len(w) for w in side]) for side in (x, y)]
+    near, equal = substring_dedup.passages_of(np.concatenate(x), sizes[0], np.concatenate(y), sizes[1], np.array([p[2] for p in pairs]))
+    for k, pair in enumerate(pairs):
+        alone = substring_dedup.passages(*pair)
+        for together, found in zip((near, equal), alone, strict=True):
+            assert [tuple(r) for r in together[together[:, 0] == k][:, 1:].tolist()] == found
+    assert len(near) > 30 and len(equal) > 10
+
+
 def test_windows_are_the_wide_nodes_of_the_cartesian_tree():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 700, dtype=np.uint64)
