@@ -616,6 +616,33 @@ def test_decoys_with_both_ends_hide_no_near_copy(spark):
         assert whole >= 0.97 * len(want) and set(got) <= set(want)
 
 
+@pytest.mark.parametrize("size", [8_000_000, 60_000])
+def test_decoys_on_all_sides_hide_no_near_copy(spark, size):
+    """Many smaller documents hold an edited passage with more edits: each partner by signatures, or by pairs of them, may be one of them."""
+    rng = random.Random(31)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], {}
+    for _ in range(40):
+        one, two = text(42), text(42)
+
+        def decoy():  # a word in twelve is another one
+            p = one + text(1) + two
+            for at in range(rng.randrange(12), len(p), 12):
+                p[at : at + 1] = text(1)
+            return text(40) + p + text(40)
+
+        decoys = lambda n: [decoy() for _ in range(n)]  # noqa: B023, E731
+        whole = lambda lead: text(lead) + one + text(1) + two + text(40)  # noqa: B023, E731
+        rows += [*decoys(6), whole(70), *decoys(24)]
+        want[len(rows)] = (60, 145)
+        rows += [whole(60), *decoys(2)]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {}
+    for r in substring_dedup.repeats(frame, part_bytes=size).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.length))
+    assert all(set(range(x, y)) <= got.get(i, set()) for i, (x, y) in want.items()) and set(got) == set(want)
+
+
 def test_families_of_edited_copies_against_brute_force(spark):
     """Ten edited copies each, none with 50 equal words in a row: every copy near an earlier one, by comparison of all pairs, is found."""
     rng = random.Random(22)
