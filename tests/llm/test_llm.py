@@ -643,6 +643,30 @@ def test_decoys_on_all_sides_hide_no_near_copy(spark, size):
     assert all(set(range(x, y)) <= got.get(i, set()) for i, (x, y) in want.items()) and set(got) == set(want)
 
 
+def test_a_decoy_in_the_part_of_a_copy_hides_no_near_copy(spark):
+    """Two parts: one has the first copy of an edited passage, the other a decoy that stands for the second copy there."""
+    rng = random.Random(41)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    families, want, rows = [], {}, []
+    for _ in range(60):
+        one, two = text(42), text(42)
+        whole = lambda lead: text(lead) + one + text(1) + two + text(40)  # noqa: B023, E731
+        families.append((whole(70), text(40) + one + text(60) + two + text(40), whole(60)))
+    size = sum(len(" ".join(w)) for f in families for w in f)
+    parts = [r.part for r in spark.range(6000).selectExpr("pmod(xxhash64(id), 2) as part").collect()]
+    at = 0
+    for first, *others in families:
+        for k, words in enumerate([first, *others]):
+            at = next(i for i in range(at + 1, 6000) if parts[i] == (k > 0))
+            rows.append((at, " ".join(words)))
+        want[at] = (60, 145)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in substring_dedup.repeats(frame, part_bytes=size // 2 + 200).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.length))
+    assert all(set(range(x, y)) <= got.get(i, set()) for i, (x, y) in want.items()) and set(got) == set(want)
+
+
 def test_families_of_edited_copies_against_brute_force(spark):
     """Ten edited copies each, none with 50 equal words in a row: every copy near an earlier one, by comparison of all pairs, is found."""
     rng = random.Random(22)
