@@ -643,6 +643,31 @@ def test_decoys_on_all_sides_hide_no_near_copy(spark, size):
     assert all(set(range(x, y)) <= got.get(i, set()) for i, (x, y) in want.items()) and set(got) == set(want)
 
 
+def test_a_near_copy_that_its_document_repeats_is_found_at_both_places(spark):
+    """Decoys hide a near copy from all partners; the second place of it equals the first one, which has no equal passage elsewhere."""
+    rng = random.Random(51)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], {}
+    for _ in range(30):
+        one, two = text(42), text(42)
+
+        def decoy():  # a word in twelve is another one
+            p = one + text(1) + two
+            for at in range(rng.randrange(12), len(p), 12):
+                p[at : at + 1] = text(1)
+            return text(40) + p + text(40)
+
+        twice = one + text(1) + two
+        rows += [*(decoy() for _ in range(6)), text(70) + one + text(1) + two + text(40), *(decoy() for _ in range(24))]
+        want[len(rows)] = {*range(60, 145), *range(175, 260)}
+        rows.append(text(60) + twice + text(30) + twice + text(40))
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {}
+    for r in substring_dedup.repeats(frame, part_bytes=60_000).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.length))
+    assert all(w <= got.get(i, set()) for i, w in want.items()) and set(got) == set(want)
+
+
 def test_a_decoy_in_the_part_of_a_copy_hides_no_near_copy(spark):
     """Two parts: one has the first copy of an edited passage, the other a decoy that stands for the second copy there."""
     rng = random.Random(41)
