@@ -336,7 +336,8 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     documents of their own, rows with a null id are compared like others, and of repeated rows one stays.
     """
     key = F.xxhash64("doc_id", "text")
-    found = scratch.written(components_of(docs.select(key.alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias("key"), "component_id"), "found")
+    # Of all tables that the components take, only they are read again.
+    found = scratch.settled(lambda: components_of(docs.select(key.alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias("key"), "component_id"), "found", docs.sparkSession)
     member = found.groupBy("key", "component_id").agg(F.count(F.lit(1)).alias("n"))
     member = scratch.written(member.join(docs.select(key.alias("key"), "doc_id").dropDuplicates(["key"]), "key"), "member")
     first = member.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("m")).select(F.col("m.key").alias("key"), F.lit(True).alias("first"))
