@@ -779,3 +779,17 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert {p.doc_id for p in pieces} == {r[0] for r in kept[3]}
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_leave_no_table_of_the_way(spark):
+    from pathlib import Path
+
+    from pagewright.llm import near_dedup, scratch
+
+    folder = Path(scratch.shared_folder(spark).removeprefix("file:").replace("//", "/"))
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    df = spark.createDataFrame([(i, " ".join(f"w{i % 3}x{k}" for k in range(40))) for i in range(9)], "doc_id long, text string")
+    rows = near_dedup.deduplicate(df)
+    kinds = {p.name.split("-")[0] for p in folder.iterdir() if p.name not in before}
+    assert kinds == {"found", "member", "decided", "marks"}
+    assert sorted(r.doc_id for r in rows.collect()) == [0, 1, 2]
