@@ -49,6 +49,7 @@ U = np.uint64
 PAIR_MASS, PAIR_FALL, TRIPLE_MASS = 0.75, 0.06, 0.5
 PART_TOKENS, STRETCH = 2_000_000, 512
 END_HASH, START_HASH = K.mixed(np.array([0xE0D, 0x57A], U))
+K.keep_blocks()
 TRAIN = "crc32(cast(doc_id as string)) % 7 != 2"
 
 
@@ -159,8 +160,9 @@ class Automaton:
 
     @staticmethod
     def of(g: Grams, count: np.ndarray, n: int, v: int) -> Automaton:
-        words, pairs, triples = (np.unique(x) for x in (g.word, g.pair[_inner(g.first, 1)], g.triple[_inner(g.first, 2)]))
         size = len(g.keys)
+        two, three = _inner(g.first, 1), _inner(g.first, 2)
+        words, pairs, triples = (_different(x, size) for x in (g.word, g.pair[two], g.triple[three]))
         p = np.zeros(size)
         p[words] = (count[words] + 1.0) / (n + v + 1)
         root = np.zeros(size)
@@ -172,7 +174,6 @@ class Automaton:
         failure = np.zeros(size + 1, np.int64)
         # Some token of each n-gram tells its parts.
         at = np.zeros(size, np.int64)
-        two, three = _inner(g.first, 1), _inner(g.first, 2)
         at[g.pair[two]] = two
         at[g.triple[three]] = three
         for grams, context, shorter in ((pairs, g.word, g.word), (triples, g.pair, g.pair)):
@@ -222,6 +223,13 @@ class Automaton:
         return np.where(has_pair & (self.count[pair] > 0), pair + 1, np.where(self.count[word] > 0, word + 1, 0))
 
 
+def _different(places: np.ndarray, size: int) -> np.ndarray:
+    """The different ones of places below ``size``, ascending: marked, as they are dense (np.unique hashes each of them)."""
+    met = np.zeros(size, bool)
+    met[places] = True
+    return np.flatnonzero(met)
+
+
 def _inner(first: np.ndarray, least: int) -> np.ndarray:
     """Tokens with at least so many before them in their document."""
     place = np.arange(int(first[-1])) - np.repeat(first[:-1], np.diff(first))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from math import log, log10
@@ -793,3 +794,18 @@ def test_near_duplicates_leave_no_table_of_the_way(spark):
     kinds = {p.name.split("-")[0] for p in folder.iterdir() if p.name not in before}
     assert kinds == {"found", "member", "decided", "marks"}
     assert sorted(r.doc_id for r in rows.collect()) == [0, 1, 2]
+
+
+def test_lm_automaton_costs_no_more_than_its_ngrams():
+    rng = np.random.default_rng(5)
+    h = kernels.mixed(rng.zipf(1.1, 1_000_000).astype(np.uint64))
+    first = np.arange(0, len(h) + 1, 500)
+    took = []
+    for _ in range(2):
+        began = time.process_time()
+        g = lm_scoring.Grams.of(h, first, 10, 6)
+        middle = time.process_time()
+        a = lm_scoring.Automaton.of(g, g.seen(np.ones(len(first) - 1, np.int32)), len(h), 1000)
+        took.append((time.process_time() - middle) / (middle - began))
+    assert min(took) < 3, took
+    assert (a.failure[1 + g.pair[lm_scoring._inner(first, 1)]] == 1 + g.word[lm_scoring._inner(first, 1)]).all()
