@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter
@@ -809,3 +811,24 @@ def test_lm_automaton_costs_no_more_than_its_ngrams():
         took.append((time.process_time() - middle) / (middle - began))
     assert min(took) < 3, took
     assert (a.failure[1 + g.pair[lm_scoring._inner(first, 1)]] == 1 + g.word[lm_scoring._inner(first, 1)]).all()
+
+
+def test_substring_dedup_loads_no_pandas_into_its_workers():
+    said = subprocess.run([sys.executable, "-c", "import sys, pagewright.llm.substring_dedup; print('pandas' in sys.modules)"], capture_output=True, text=True, check=True)
+    assert said.stdout.split()[-1] == "False"
+
+
+def test_repeated_passages_get_what_their_first_places_met():
+    rng = np.random.default_rng(6)
+    n, least = 40, substring_dedup.LEAST
+    ids = rng.integers(0, 5, n)
+    found = [ids, rng.integers(0, 2, n), rng.integers(0, 30, n) + 200, rng.integers(least, least + 6, n), np.where(rng.random(n) < 0.7, ids, 9), rng.integers(0, 30, n)]
+    met = [rng.integers(0, 5, 60), rng.integers(0, 34, 60), rng.integers(-5, 0, 60), rng.integers(0, 99, 60)]
+    want = Counter()
+    for d, variant, start, length, source, first in zip(*(c.tolist() for c in found), strict=True):
+        for k in range(length - least + 1 if d == source else 0):
+            for i, place, *other in zip(*(c.tolist() for c in met), strict=True):
+                want[d, variant << 32 | start + k, *other] += (i, place) == (d, first + k)
+    assert Counter(zip(*(c.tolist() for c in substring_dedup.met_again(found, met)), strict=True)) == +want and len(+want) > 20
+    none = [np.zeros(0, np.int64)] * 4
+    assert [len(c) for c in substring_dedup.met_again(found, none)] == [0] * 4
