@@ -832,3 +832,55 @@ def test_repeated_passages_get_what_their_first_places_met():
     assert Counter(zip(*(c.tolist() for c in substring_dedup.met_again(found, met)), strict=True)) == +want and len(+want) > 20
     none = [np.zeros(0, np.int64)] * 4
     assert [len(c) for c in substring_dedup.met_again(found, none)] == [0] * 4
+
+
+def test_open_words_are_sent_once_a_part_however_many_have_their_runs(spark, monkeypatch):
+    """A large family of heavily edited copies: rows sent to be compared follow documents and parts, not pairs, and what all pairs would find is found."""
+    rng = random.Random(61)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base, rows = text(150), []
+    for i in range(240):
+        rows.append((i, " ".join(text(1)[0] if rng.random() < 0.06 else w for w in base)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    sent = []
+    grouped_ = type(frame.groupBy("doc_id").cogroup(frame.groupBy("doc_id")))
+    original = grouped_.applyInArrow
+
+    def counted(self, func, schema):
+        out = original(self, func, schema)
+        if getattr(func, "__name__", "") in ("_asking", "_further"):
+            sent.append(out)
+        return out
+
+    monkeypatch.setattr(grouped_, "applyInArrow", counted)
+    size = sum(len(t) for _, t in rows) // 3
+    got = {}
+    for r in substring_dedup.repeats(frame, part_bytes=size).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.length))
+    assert sent and all(0 < d.count() <= 4 * 2 * len(rows) for d in sent)
+    # All pairs, seeded at the same place, as copies are edited in place.
+    h = [np.array([zlib.crc32(w.encode()) for w in t.split()], np.uint64) for _, t in rows]
+    missed = wanted = 0
+    for i, x in enumerate(h):
+        want = set()
+        for y in h[:i]:
+            for a, b, _ in substring_dedup.passages(x, y, 0)[0]:
+                want.update(range(a, b))
+        wanted += len(want)
+        missed += len(want - got.get(i, set()))
+    assert wanted > 1000 and missed <= 0.03 * wanted
+
+
+def test_reachable_words_against_all_windows():
+    rng = np.random.default_rng(62)
+    span = substring_dedup.SPAN
+    for n in (span - 1, span, span + 1, 120, 200):
+        shared = np.array([np.repeat(rng.random(n // 8 + 1) < p, 8)[:n] for p in (0.6, 0.75, 0.8, 0.85, 0.9, 1)])
+        want = np.zeros((len(shared), n + 4), bool)
+        for k, row in enumerate(shared):
+            for i in range(n):
+                for j in range(i + span, n + 1):
+                    if 5 * row[i:j].sum() >= 4 * (j - i):
+                        want[k, i : j + 4] = True
+        at = np.flatnonzero(rng.random(n + 4) < 0.7)
+        assert (substring_dedup.reachable(shared, at) == want[:, at]).all()
