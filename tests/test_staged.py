@@ -3,6 +3,7 @@
 import json
 import threading
 import time
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -124,6 +125,25 @@ def test_a_run_of_no_documents(spark, tmp_path):
     assert staged.Run(spark, str(tmp_path), "paddle", client()).go(none.select("doc_id"), none, "blocks").count() == 0
 
 
+def test_slices_give_the_same_rows_and_leave_no_shuffles(spark, tmp_path, monkeypatch):
+    source = files(spark, *"abcdefgh")
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffled = lambda: {str(f) for d in dirs for f in Path(d).rglob("shuffle_*")}
+    monkeypatch.setattr(staged, "SLICE_DOCS", 1, raising=False)
+    got = []
+    for slices in (1, 3):
+        monkeypatch.setattr(staged, "SLICES", slices, raising=False)
+        run = staged.Run(spark, str(tmp_path / str(slices)), "paddle", client())
+        before, setting = shuffled(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+        run.go(source.select("doc_id"), source)
+        assert not shuffled() - before
+        assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+        assert states(run) == dict.fromkeys("abcdefgh", ("trees", "ok"))
+        assert run.ledger().where("stage = 'trees'").select("attempt").distinct().count() == slices
+        got.append({stage: sorted(map(repr, run.table(stage).collect())) for stage in staged.STAGES})
+    assert got[0] == got[1]
+
+
 def test_vendor_files_of_a_folder_and_written_documents(spark, tmp_path):
     """Whole files by stem, through a reader, to one JSON text a document that can be read again."""
     for doc, _, body in (paddle("x.1", [[("text", "one"), ("paragraph_title", "T")]]), paddle("y", [[("text", "two")]])):
