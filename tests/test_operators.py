@@ -208,6 +208,28 @@ def test_json_part_of_an_answer(spark):
     assert [prompts.is_json(r or "") for r in rows] == [g != prompts.NO_JSON for g in got]
 
 
+def test_simple_tables_are_read_without_the_parser(monkeypatch):
+    body = "<tr><th>a b</th><td> x\n</td></tr><tr></tr><tr><td>é</td></th></tr>"
+    odd = ["", "x", "<table></table>", body, "<table>" + body, "<table><tr><td colspan=2>a</td></tr></table>", "<table><tr><td>a&amp;b</td></tr></table>", "<TABLE><tr><td>a</td></tr></TABLE>", "<table><tr><td>a<b>c</b></td></tr></table>"]
+    simple = ["<table></table>", "<table><tr></tr></table>", "<table><tr><th>a b</th><td> x\n</td></tr><tr><td>é</td><td></td></tr></table>"]
+
+    def shown(grid):
+        return grid.tabled, [[(c.text, c.cols, c.rows, c.tag) for c in row] for row in grid.rows], grid.total_columns(), grid.effective_columns()
+
+    def read(source):
+        reader = html_grid._Reader()
+        reader.feed(source)
+        reader.close()
+        return reader.grid
+
+    for source in (*odd, *simple):
+        assert shown(html_grid.parse(source)) == shown(read(source))
+    want = [shown(read(source)) for source in simple]
+    monkeypatch.setattr(html_grid, "_Reader", None)
+    monkeypatch.setattr(html_grid.Grid, "placed", None)
+    assert [shown(html_grid.parse(source)) for source in simple] == want
+
+
 def test_spans_are_bounded():
     g = html_grid.parse('<table><tr><td colspan="1000000000" rowspan="99999999">a</td></tr><tr><td>b</td></tr></table>')
     assert g.total_columns() == 1001 and g.rows[0][0].rows == 65534
