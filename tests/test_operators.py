@@ -208,6 +208,21 @@ def test_json_part_of_an_answer(spark):
     assert [prompts.is_json(r or "") for r in rows] == [g != prompts.NO_JSON for g in got]
 
 
+def test_screening_works_tables_out_once(spark):
+    rng = random.Random(4)
+    kinds = ["table", "table", "table_caption", "table_footnote", "text", "title", "image", "list", None]
+    contents = ["Table 1 a", "Table 1 a (continued)", "a b", "", " ", None, "表 2 甲", "1.2 b"]
+    rows = [(d, pos, pos // rng.choice([2, 3]) + 1, rng.choice(kinds), rng.choice(contents), 0.1, 0.1, rng.choice([0.5, 0.9]), 0.2) for d in range(60) for pos in range(rng.randint(1, 9))]
+    blocks = spark.createDataFrame(rows, "doc_id long, pos long, page int, type string, content string, x1 double, y1 double, x2 double, y2 double")
+    apart = tables.captions(blocks).join(tables.footnote_counts(blocks), ["doc_id", "pos"]).join(tables.texts_around(blocks), ["doc_id", "pos"])
+    want = {(r.doc_id, r.pos): (r.caption, r.notes, r.text_before, r.text_after) for r in apart.collect()}
+    got = {(r.doc_id, r.pos): (r.caption, r.notes, r.text_before, r.text_after) for r in tables.facts(blocks).collect()}
+    assert got == want and len(got) > 50
+    # The blocks are read for the tables and for both ends of a pair; it was more than three times that.
+    plan = tables.screened(blocks, candidates.table_pairs(blocks))._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() <= 3
+
+
 def test_simple_tables_are_read_without_the_parser(monkeypatch):
     body = "<tr><th>a b</th><td> x\n</td></tr><tr></tr><tr><td>é</td></th></tr>"
     odd = ["", "x", "<table></table>", body, "<table>" + body, "<table><tr><td colspan=2>a</td></tr></table>", "<table><tr><td>a&amp;b</td></tr></table>", "<TABLE><tr><td>a</td></tr></TABLE>", "<table><tr><td>a<b>c</b></td></tr></table>"]
